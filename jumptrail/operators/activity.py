@@ -104,10 +104,9 @@ def mac_attribution(droids: DataFrame) -> DataFrame:
 
 
 def activity_by_day(entries: DataFrame) -> DataFrame:
-    """Entries per host and day."""
-    return entries.groupBy("host", F.to_date("last_modified").alias("day")).agg(
-        F.count("*").alias("n")
-    )
+    """Entries per host and day, the day as the time it starts."""
+    day = F.to_date("last_modified").cast("timestamp_ntz").alias("day")
+    return entries.groupBy("host", day).agg(F.count("*").alias("n"))
 
 
 def timeline_gaps(entries: DataFrame) -> DataFrame:

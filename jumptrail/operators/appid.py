@@ -64,37 +64,36 @@ CLASS_VARIANTS = [
 # The env form is upper-cased, so an identifier with a lower-case letter cannot occur in it.
 _KNOWN_GUID = r"\{(?:" + "|".join(re.escape(g[1:-1]) for g in GUIDS if g == g.upper()) + r")\}"
 
+# Directory and file name: at least one character on each side of the last backslash.
+_LAST_CUT = r"\A([^\n]+)\\([^\\]+)\z"
+
 # Whatever has the shape of an identifier; two of them cannot overlap.
 _ANY_GUID = r"\{[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\}"
 
 
 def with_split(df: DataFrame) -> DataFrame:
     """Adds `dir` and `fname`, cut at the last backslash; both null where there is no such cut."""
-    fname = F.substring_index("path", "\\", -1)
-    folder = F.substring(F.col("path"), F.lit(1), F.length("path") - F.length("_fname") - 1)
-    splits = (F.col("_fname") != "") & (F.col("_dir") != "") & ~F.contains("_dir", F.lit("\n"))
-    return (
-        df.withColumn("_fname", fname)
-        .withColumn("_dir", folder)
-        .withColumn("dir", F.when(splits, F.col("_dir")))
-        .withColumn("fname", F.when(splits, F.col("_fname")))
-        .drop("_dir", "_fname")
+    none = F.lit("")
+    return df.withColumns(
+        {
+            "dir": F.nullif(F.regexp_extract("path", _LAST_CUT, 1), none),
+            "fname": F.nullif(F.regexp_extract("path", _LAST_CUT, 2), none),
+        }
     )
 
 
 def env_form(folder: Column) -> Column:
-    """Directory with its well-known beginnings as environment variables, upper-cased."""
-    rewritten = folder
+    """Directory with its well-known beginnings as environment variables, in its own case."""
     for pattern, variable in ENV_REWRITES:
         if variable not in _SPENT:
-            rewritten = F.regexp_replace(rewritten, "(?i)" + pattern, variable)
-    on_drive = F.contains(F.upper(folder), F.lit("C:"))
-    return upper_invariant(F.when(on_drive, rewritten).otherwise(folder))
+            folder = F.regexp_replace(folder, "(?i)" + pattern, variable)
+    return folder
 
 
 def with_env_dir(df: DataFrame) -> DataFrame:
     """Adds `env_dir`; needs `dir`."""
-    return df.withColumn("env_dir", env_form(F.col("dir")))
+    rewritten = df.withColumn("env_dir", env_form(F.col("dir")))
+    return rewritten.withColumn("env_dir", upper_invariant("env_dir"))
 
 
 def with_known_folder_form(df: DataFrame, column: str) -> DataFrame:
@@ -160,7 +159,9 @@ def with_candidates(df: DataFrame) -> DataFrame:
 def candidates(paths: DataFrame) -> DataFrame:
     """0 to 3 rows per path: its columns, class, variant, env_path, guid_path."""
     listed = with_candidates(classified(paths))
-    return listed.select(*paths.columns, "class", F.inline("candidates"))
+    # The outer form, as Spark would copy the whole chain into a filter before a plain explode.
+    one = listed.select(*paths.columns, "class", F.explode_outer("candidates").alias("one"))
+    return one.select(*paths.columns, "class", "one.*").filter("variant IS NOT NULL")
 
 
 def appids(paths: DataFrame) -> DataFrame:
@@ -183,10 +184,8 @@ def decode_name(df: DataFrame, name: str = "name") -> DataFrame:
 def path_ambiguity(paths: DataFrame) -> DataFrame:
     """(class, n_candidates, n_paths), counted before the candidates become rows."""
     listed = with_candidates(classified(paths))
-    n_candidates = F.coalesce(F.size("candidates"), F.lit(0))
-    return listed.groupBy("class", F.when(F.col("candidates").isNull(), 0).otherwise(n_candidates).alias("n_candidates")).agg(
-        F.count("*").alias("n_paths")
-    )
+    n_candidates = F.size(F.coalesce("candidates", F.array())).alias("n_candidates")
+    return listed.groupBy("class", n_candidates).agg(F.count("*").alias("n_paths"))
 
 
 def appid_collisions(cands: DataFrame) -> DataFrame:
@@ -201,7 +200,8 @@ def appid_collisions(cands: DataFrame) -> DataFrame:
 def named_guids(paths: DataFrame) -> DataFrame:
     """(path_id, guid): every identifier-shaped text in the env form, once per path."""
     found = F.array_distinct(F.regexp_extract_all("env_dir", F.lit(_ANY_GUID), 0))
-    return with_env_dir(with_split(paths)).select("path_id", F.explode(found).alias("guid"))
+    named = with_env_dir(with_split(paths)).select("path_id", F.explode_outer(found).alias("guid"))
+    return named.filter("guid IS NOT NULL")
 
 
 def guid_containment(paths: DataFrame) -> DataFrame:

@@ -156,13 +156,14 @@ def resolve_processes(spark, sf_dir):
 @query
 def process_by_id(spark, sf_dir):
     return identify.select_processes(
-        fx.view(spark, sf_dir, "fx_processes"), fx.view(spark, sf_dir, "fx_ids")
+        fx.view(spark, sf_dir, "fx_processes").drop("path_id"), fx.view(spark, sf_dir, "fx_ids")
     )
 
 
 @query
 def window_by_id(spark, sf_dir):
-    windows = fx.view(spark, sf_dir, "fx_processes").withColumnRenamed("pid", "window_id")
+    processes = fx.view(spark, sf_dir, "fx_processes").drop("path_id")
+    windows = processes.withColumnRenamed("pid", "window_id")
     return identify.select_processes(windows, fx.view(spark, sf_dir, "fx_ids"), "window_id")
 
 

@@ -9,8 +9,6 @@ from jumptrail.operators.activity import with_positions
 from jumptrail.operators.appid import EXTENSION, appids
 from jumptrail.operators.documents import documents
 
-TABLES = ("part", "events", "customer", "documents")
-
 FX_PATHS = """
 SELECT p_partkey AS path_id, CASE p_partkey % 12
  WHEN 0 THEN concat('C:',b,'Windows',b,'System32',b,exe)
@@ -85,6 +83,18 @@ VIEWS = {
     "fx_hex": (FX_HEX, []),
 }
 
+# The table each view comes from.
+BASE = {
+    "fx_paths": "part",
+    "fx_entries": "events",
+    "fx_processes": "customer",
+    "fx_lnks": "events",
+    "fx_known_files": "events",
+    "fx_droids": "events",
+    "fx_ids": "customer",
+    "fx_hex": "documents",
+}
+
 
 def closure(names: list[str]) -> list[str]:
     """The named views with those they read, in order."""
@@ -106,8 +116,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the views over the tables of a folder."""
-    for base in TABLES:
-        table(spark, sf_dir, base).createOrReplaceTempView(base)
+    table(spark, sf_dir, BASE[name]).createOrReplaceTempView(BASE[name])
     return spark.sql(f"WITH {', '.join(with_clause([name], 'text, ' + repr('UTF-8')))} SELECT * FROM {name}")
 
 

@@ -21,14 +21,18 @@ def _quoted(text: str) -> str:
 _TABLE = "[" + ",".join(f"{value}::UBIGINT" for value in byte_table().tolist()) + "]"
 
 
+def _upper(text: str) -> str:
+    """Upper case that leaves the sharp s alone; DuckDB has a capital for it."""
+    return f"array_to_string(list_transform(string_split({text}, 'ß'), lambda s: upper(s)), 'ß')"
+
+
 def _crc(text: str) -> str:
     """AppID of a text expression; `tb` is the table of single-byte values."""
     units = (
-        f"list_transform(range(1, length({text}) + 1), "
-        f"lambda i: (unicode(upper(substr({text}, i, 1))) & 255)::UBIGINT)"
+        f"list_transform(string_split({_upper(text)}, ''), lambda s: (unicode(s) & 255)::UBIGINT)"
     )
-    low = "xor(c >> 8, tb[(xor(c, u) & 255) + 1])"
-    both = f"xor({low} >> 8, tb[({low} & 255) + 1])"
+    low = "xor(c >> 8, tb[(xor(c, u) & 255)::INTEGER + 1])"
+    both = f"xor({low} >> 8, tb[({low} & 255)::INTEGER + 1])"
     return f"ltrim(printf('%016X', list_reduce({units}, lambda c, u: {both}, {START}::UBIGINT)), '0')"
 
 
@@ -122,9 +126,7 @@ FROM lnks_placed SEMI JOIN eligible USING (host, appid)
 """
 
 _PAIRS = r"""
-SELECT doc_id, length(hex_text) % 2 = 1 AS odd_length,
- list_transform(range(1, length(hex_text), 2), lambda i: substr(hex_text, i, 2)) AS pairs
-FROM fx_hex
+SELECT doc_id, length(hex_text) % 2 = 1 AS odd_length, regexp_extract_all(hex_text, '(?s)..') AS pairs FROM fx_hex
 """
 
 # name -> (SQL, parts it reads); parts may read parts.
@@ -251,11 +253,11 @@ CASE WHEN lower(id_text[1:2]) = '0x' THEN
 """
 
 _DUMP = r"""
-SELECT doc_id, o AS "offset", rpad(array_to_string(b, ' '), 50, ' ') AS hex,
+SELECT doc_id, 16 * (nr - 1) AS "offset", rpad(array_to_string(b, ' '), 50, ' ') AS hex,
  array_to_string(list_transform(list_transform(b, lambda x: CAST('0x' || x AS INTEGER)),
   lambda v: CASE WHEN v > 32 AND v < 254 AND v <> 127 THEN chr(v) ELSE '.' END), '') AS text
-FROM (SELECT doc_id, o, list_transform(range(o, least(o + 16, n)), lambda k: substr(h, (2 * k + 1)::BIGINT, 2)) AS b
- FROM (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n, unnest(range(0, octet_length(encode(text)), 16)) AS o FROM documents) d) r
+FROM (SELECT doc_id, regexp_extract_all(unnest(p), '..') AS b, generate_subscripts(p, 1) AS nr
+ FROM (SELECT doc_id, regexp_extract_all(hex(encode(text)), '.{1,32}') AS p FROM documents) d) r
 """
 
 ORACLE: dict[str, str] = {
@@ -314,11 +316,11 @@ ORACLE: dict[str, str] = {
         "fx_processes", "cands_id",
     ),
     "process_by_id": _sql(
-        f"SELECT * FROM fx_processes WHERE pid IN (SELECT {_ID} FROM fx_ids) AND pid <> 0",
+        f"SELECT host, pid, process_name FROM fx_processes WHERE pid IN (SELECT {_ID} FROM fx_ids) AND pid <> 0",
         "fx_processes", "fx_ids",
     ),
     "window_by_id": _sql(
-        "SELECT host, pid AS window_id, process_name, path_id FROM fx_processes "
+        "SELECT host, pid AS window_id, process_name FROM fx_processes "
         f"WHERE pid IN (SELECT {_ID} FROM fx_ids) AND pid <> 0",
         "fx_processes", "fx_ids",
     ),
@@ -350,7 +352,7 @@ ORACLE: dict[str, str] = {
         "fx_droids",
     ),
     "activity_by_day": _sql(
-        "SELECT host, CAST(last_modified AS DATE) AS day, count(*) AS n FROM fx_entries GROUP BY 1, 2",
+        "SELECT host, CAST(CAST(last_modified AS DATE) AS TIMESTAMP) AS day, count(*) AS n FROM fx_entries GROUP BY 1, 2",
         "fx_entries",
     ),
     "timeline_gaps": _sql(
@@ -409,13 +411,12 @@ ORACLE: dict[str, str] = {
     "crc64_values": _sql(
         f"SELECT doc_id, {_crc("text")} AS crc FROM documents, crc_table", "crc_table"
     ),
-    "invariant_upper": "SELECT doc_id, upper(text) AS upper_text FROM documents",
+    "invariant_upper": f"SELECT doc_id, {_upper('text')} AS upper_text FROM documents",
     "byte_rows": _DUMP,
     "bytes_reversed": (
         "SELECT doc_id, array_to_string(list_reverse(p), '') AS whole, "
         "CASE WHEN len(p) >= 100 THEN array_to_string(list_reverse(p[101:]), '') END AS after_100 FROM ("
-        "SELECT doc_id, list_transform(range(0, octet_length(encode(text))), lambda i: substr(h, 2 * i + 1, 2)) AS p "
-        "FROM (SELECT doc_id, text, hex(encode(text)) AS h FROM documents) a) b"
+        "SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS p FROM documents) b"
     ),
     "hex_bytes": _sql(
         f"SELECT doc_id, CASE WHEN NOT odd_length THEN array_to_string(list_transform(pairs, lambda p: {_PAIR_VALUE}), '') END AS bytes, "

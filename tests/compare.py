@@ -39,7 +39,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def rows(frame: pd.DataFrame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
     values = [
-        tuple(None if v is None or v is pd.NaT or v != v else v for v in row)
+        tuple(None if pd.api.types.is_scalar(v) and pd.isna(v) else v for v in row)
         for row in frame.astype(object).itertuples(index=False)
     ]
     return sorted(values, key=lambda row: tuple((v is not None, str(v)) for v in row))
@@ -81,12 +81,16 @@ def main() -> None:
         except Exception as error:
             print(f"SQL  {name}: {str(error)[:700]}", flush=True)
             continue
-        told = difference(got, want)
+        try:
+            told = difference(got, want)
+        except Exception as error:
+            told = f"cannot compare: {error}"
         print(
             f"{'DIFF' if told else 'ok  '} {name}: {len(got)} rows, Spark {middle - start:.1f}s, "
             f"DuckDB {time.time() - middle:.1f}s {told or ''}",
             flush=True,
         )
+    spark.stop()
 
 
 if __name__ == "__main__":
