@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jumptrail.operators.lookup import join_lookup
+
 ENTRY = "struct<_EntryNumber:string,_Path:string,_LastModified:string>"
 LNK = (
     "struct<LinkInfo:struct<_LocalBasePath:string>,NAME_STRING:struct<_String:string>,"
@@ -25,6 +27,35 @@ DOCUMENT_RECORDS = 1000
 IDENTITY = ("host", "appid")
 
 
+# What XML 1.0 has no way to write.
+_UNWRITABLE = r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
+
+
+def _cannot_write(*columns: str) -> Column:
+    return F.rlike(F.concat_ws("", *columns), F.lit(_UNWRITABLE))
+
+
+def split_unwritable(
+    entries: DataFrame, lnks: DataFrame
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entries and link records of the containers that XML can hold, and the other containers.
+
+    One bad character would fail the whole export; so its container is left out and reported.
+    """
+    bad = (
+        entries.filter(_cannot_write("host", "appid", "path"))
+        .select(*IDENTITY)
+        .unionByName(
+            lnks.filter(
+                _cannot_write("host", "appid", "local_base_path", "name_string", "arguments")
+            ).select(*IDENTITY)
+        )
+        .distinct()
+    )
+    good = [join_lookup(rows, bad, IDENTITY, "left_anti") for rows in (entries, lnks)]
+    return good[0], good[1], bad.withColumn("file", F.concat("appid", F.lit(".xml")))
+
+
 def _attribute(value: str, element: str) -> Column:
     present = F.col(value).isNotNull()
     return F.when(present, F.struct(F.col(value).alias(element)))

@@ -39,10 +39,10 @@ def _section(rows: DataFrame, name: str, *cells: Column) -> DataFrame:
 
 
 def report_rows(index: DataFrame, entries: DataFrame, lnks: DataFrame) -> DataFrame:
-    """(host, file, appid, section, position, c1..c4) of the listed containers."""
+    """(host, file, appid, section, position, c1..c4) of the listed containers, times as written."""
     listed, linked = index_join(index, entries), index_join(index, lnks)
     return _section(
-        listed, "DestList", F.col("entry_number"), F.col("path"), F.col("last_modified")
+        listed, "DestList", F.col("entry_number"), F.col("path"), F.col("last_modified_text")
     ).unionByName(
         _section(
             linked,

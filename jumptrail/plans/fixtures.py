@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jumptrail.operators.activity import with_positions
 from jumptrail.operators.appid import EXTENSION, appids
-from jumptrail.operators.documents import documents
+from jumptrail.operators.documents import documents, split_unwritable
 
 FX_PATHS = """
 SELECT p_partkey AS path_id, CASE p_partkey % 12
@@ -149,6 +149,7 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def container_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(
-        with_positions(entries(spark, sf_dir)), with_positions(lnks(spark, sf_dir))
-    ).withColumn("file", F.concat("appid", F.lit(".xml")))
+    """Documents of all containers that XML can hold."""
+    placed = with_positions(entries(spark, sf_dir)), with_positions(lnks(spark, sf_dir))
+    good_entries, good_lnks, _ = split_unwritable(*placed)
+    return documents(good_entries, good_lnks).withColumn("file", F.concat("appid", F.lit(".xml")))
