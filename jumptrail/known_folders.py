@@ -116,7 +116,8 @@ GUIDS = sorted({guid for _, _, _, guid in ROWS})
 
 def known_folders(spark: SparkSession) -> DataFrame:
     """The dimension: 92 rows of (folder_set, seq, name, guid)."""
-    return spark.createDataFrame(ROWS, "folder_set string, seq int, name string, guid string")
+    rows = ", ".join(f"('{kind}', {seq}, r'{name}', '{guid}')" for kind, seq, name, guid in ROWS)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(folder_set, seq, name, guid)")
 
 
 def known_guids(folders: DataFrame) -> DataFrame:

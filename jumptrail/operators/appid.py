@@ -65,7 +65,7 @@ CLASS_VARIANTS = [
 _KNOWN_GUID = r"\{(?:" + "|".join(re.escape(g[1:-1]) for g in GUIDS if g == g.upper()) + r")\}"
 
 # Directory and file name: at least one character on each side of the last backslash.
-_LAST_CUT = r"\A([^\n]+)\\([^\\]+)\z"
+_LAST_CUT = r"\A([^\n]+)\\[^\\]+\z"
 
 # Whatever has the shape of an identifier; two of them cannot overlap.
 _ANY_GUID = r"\{[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\}"
@@ -73,13 +73,9 @@ _ANY_GUID = r"\{[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}\}"
 
 def with_split(df: DataFrame) -> DataFrame:
     """Adds `dir` and `fname`, cut at the last backslash; both null where there is no such cut."""
-    none = F.lit("")
-    return df.withColumns(
-        {
-            "dir": F.nullif(F.regexp_extract("path", _LAST_CUT, 1), none),
-            "fname": F.nullif(F.regexp_extract("path", _LAST_CUT, 2), none),
-        }
-    )
+    folder = F.nullif(F.regexp_extract("path", _LAST_CUT, 1), F.lit(""))
+    name = F.when(F.col("dir").isNotNull(), F.substring_index("path", "\\", -1))
+    return df.withColumn("dir", folder).withColumn("fname", name)
 
 
 def env_form(folder: Column) -> Column:
@@ -210,5 +206,5 @@ def guid_containment(paths: DataFrame) -> DataFrame:
     Known identifiers are looked up by equality among the ones found in the text, so the
     dimension of 92 rows is a hash join and not a comparison with every row.
     """
-    folders = known_folders(paths.sparkSession).select("guid", "name").distinct()
+    folders = known_folders(paths.sparkSession).select("guid", "name")
     return named_guids(paths).join(F.broadcast(folders), "guid").select("path_id", "guid", "name")

@@ -25,9 +25,6 @@ TOP = 10
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-# Exports already written by this application, by input folder.
-_EXPORTS: dict[tuple[str, str], str] = {}
-
 
 def query(function: Query) -> Query:
     QUERIES[function.__name__] = function
@@ -45,10 +42,10 @@ def _new_export(spark: SparkSession, sf_dir: str, per_container: bool = False) -
 
 
 def _export(spark: SparkSession, sf_dir: str) -> str:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _EXPORTS:
-        _EXPORTS[key] = _new_export(spark, sf_dir)
-    return _EXPORTS[key]
+    def write(path: str) -> None:
+        xml.write_documents(fx.container_documents(spark, sf_dir), path)
+
+    return fx.kept(spark, sf_dir, "export", write)
 
 
 # --- paths and AppIDs ---
@@ -82,7 +79,7 @@ def candidates(spark, sf_dir):
 
 @query
 def appid_candidates(spark, sf_dir):
-    return fx.candidate_paths(spark, sf_dir)
+    return appid.appids(_paths(spark, sf_dir))
 
 
 @query
@@ -96,7 +93,7 @@ def appid_sql(spark, sf_dir):
 
 @query
 def jumplist_names(spark, sf_dir):
-    found = fx.candidate_paths(spark, sf_dir)
+    found = appid.appids(_paths(spark, sf_dir))
     return found.select("path_id", "variant", appid.file_name("appid").alias("name"))
 
 
@@ -113,7 +110,7 @@ def path_ambiguity(spark, sf_dir):
 
 @query
 def appid_collisions(spark, sf_dir):
-    return appid.appid_collisions(fx.candidate_paths(spark, sf_dir))
+    return appid.appid_collisions(fx.dictionary(spark, sf_dir))
 
 
 @query
@@ -131,25 +128,25 @@ def known_guids(spark, sf_dir):
 
 @query
 def identify_apps(spark, sf_dir):
-    return identify.identify_apps(fx.containers(spark, sf_dir), fx.candidate_paths(spark, sf_dir))
+    return identify.identify_apps(fx.containers(spark, sf_dir), fx.dictionary(spark, sf_dir))
 
 
 @query
 def candidate_matches(spark, sf_dir):
     return identify.candidate_matches(
-        fx.containers(spark, sf_dir), fx.candidate_paths(spark, sf_dir)
+        fx.containers(spark, sf_dir), fx.dictionary(spark, sf_dir)
     )
 
 
 @query
 def unidentified(spark, sf_dir):
-    return identify.unidentified(fx.containers(spark, sf_dir), fx.candidate_paths(spark, sf_dir))
+    return identify.unidentified(fx.containers(spark, sf_dir), fx.dictionary(spark, sf_dir))
 
 
 @query
 def resolve_processes(spark, sf_dir):
     return identify.resolve_processes(
-        fx.view(spark, sf_dir, "fx_processes"), fx.candidate_paths(spark, sf_dir)
+        fx.view(spark, sf_dir, "fx_processes"), fx.dictionary(spark, sf_dir)
     )
 
 
@@ -410,10 +407,10 @@ def stream_ingest(spark, sf_dir):
 def stream_recents(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema
     known = fx.view(spark, sf_dir, "fx_known_files")
-    paths = _paths(spark, sf_dir)
+    cands = fx.dictionary(spark, sf_dir)
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
     events.parquet(sf_dir).createOrReplaceTempView("events")
-    adds = fx.with_appid(spark.sql(fx.FX_ENTRIES), paths)
+    adds = fx.with_appid(spark.sql(fx.FX_ENTRIES), cands)
     out, checkpoint = fresh_path(spark, "recents"), fresh_path(spark, "recents-checkpoint")
     recents.stream_recents(adds, known, out, checkpoint).awaitTermination()
     return recents.recents(spark, out)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jumptrail.operators.activity import with_positions
 from jumptrail.operators.appid import EXTENSION, appids
 from jumptrail.operators.documents import documents, split_unwritable
+from jumptrail.shared import fresh_path
 
 FX_PATHS = """
 SELECT p_partkey AS path_id, CASE p_partkey % 12
@@ -120,32 +123,54 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {', '.join(with_clause([name], 'text, ' + repr('UTF-8')))} SELECT * FROM {name}")
 
 
-def with_appid(df: DataFrame, paths: DataFrame) -> DataFrame:
+# Tables and exports already written by this application: (application, folder, name) -> path.
+_KEPT: dict[tuple[str, str, str], str] = {}
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of something written once per application in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _KEPT:
+        path = fresh_path(spark, name)
+        write(path)
+        _KEPT[key] = path
+    return _KEPT[key]
+
+
+def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate AppIDs of all paths as a written table: joins read it, they do not hash again."""
+
+    def write(path: str) -> None:
+        appids(view(spark, sf_dir, "fx_paths")).write.parquet(path)
+
+    return spark.read.parquet(kept(spark, sf_dir, "dictionary", write))
+
+
+def with_appid(df: DataFrame, cands: DataFrame) -> DataFrame:
     """Adds the AppID a container of the path is named by."""
-    observed = (
-        appids(paths)
-        .filter(F.col("variant").isin("1", ""))
-        .select("path_id", F.lower("appid").alias("appid"))
+    observed = cands.filter(F.col("variant").isin("1", "")).select(
+        "path_id", F.lower("appid").alias("appid")
     )
     unknown = F.concat(F.lit("0bad"), F.col("path_id").cast("string"))
     return df.join(observed, "path_id", "left").withColumn("appid", F.coalesce("appid", unknown))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_appid(view(spark, sf_dir, "fx_entries"), view(spark, sf_dir, "fx_paths"))
+    return with_appid(view(spark, sf_dir, "fx_entries"), dictionary(spark, sf_dir))
 
 
 def lnks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_appid(view(spark, sf_dir, "fx_lnks"), view(spark, sf_dir, "fx_paths"))
+    return with_appid(view(spark, sf_dir, "fx_lnks"), dictionary(spark, sf_dir))
 
 
-def candidate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return appids(view(spark, sf_dir, "fx_paths"))
+def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observed containers as a written table."""
 
+    def write(path: str) -> None:
+        found = entries(spark, sf_dir).select("host", "appid").distinct()
+        found.withColumn("file", F.concat("appid", F.lit(EXTENSION))).write.parquet(path)
 
-def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = entries(spark, sf_dir).select("host", "appid").distinct()
-    return found.withColumn("file", F.concat("appid", F.lit(EXTENSION)))
+    return spark.read.parquet(kept(spark, sf_dir, "containers", write))
 
 
 def container_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
