@@ -9,7 +9,7 @@ ROW_BYTES = 16
 HEX_WIDTH = 50
 
 # Bytes shown as a dot: 0 to 32, 127, 254 and 255.
-_UNPRINTABLE = r"[\x00-\x20\x7F\xFE\xFF]"
+_UNPRINTABLE = "".join(map(chr, [*range(33), 127, 254, 255]))
 _DIGIT = "[0-9A-Fa-f]"
 
 
@@ -19,25 +19,21 @@ def _column(value: Column | str) -> Column:
 
 def hexdump(df: DataFrame, column: str, id_column: str) -> DataFrame:
     """Rows of 16 bytes: (id, offset, hex, text). Empty and null input give no row."""
-    # Cut first, explode second: exploded rows carry 16 bytes each and not the whole value.
     starts = F.sequence(F.lit(0), F.octet_length(column) - 1, F.lit(ROW_BYTES))
-    rows = F.transform(
-        starts,
-        lambda start: F.struct(
-            start.cast("bigint").alias("offset"),
-            F.substring(F.col(column), start + 1, F.lit(ROW_BYTES)).alias("bytes"),
-        ),
+    starts = F.when(F.octet_length(column) > 0, starts)
+    # Explode and cut are one generated loop: the value is referred to, not copied to every row.
+    rows = df.select(F.col(id_column), F.col(column), F.explode(starts).alias("start")).select(
+        id_column,
+        F.col("start").cast("bigint").alias("offset"),
+        F.substring(F.col(column), F.col("start") + 1, F.lit(ROW_BYTES)).alias("bytes"),
     )
-    rows = F.when(F.octet_length(column) > 0, rows)
-    digits = F.rtrim(F.regexp_replace(F.hex("row.bytes"), "(..)", "$1 "))
-    return (
-        df.select(F.col(id_column), F.explode(rows).alias("row"))
-        .select(
-            id_column,
-            "row.offset",
-            F.rpad(digits, HEX_WIDTH, " ").alias("hex"),
-            F.regexp_replace(F.decode("row.bytes", "ISO-8859-1"), _UNPRINTABLE, ".").alias("text"),
-        )
+    pairs = [F.hex(F.substring("bytes", at, 1)) for at in range(1, ROW_BYTES + 1)]
+    letters = F.decode("bytes", "ISO-8859-1")
+    return rows.select(
+        id_column,
+        "offset",
+        F.rpad(F.rtrim(F.concat_ws(" ", *pairs)), HEX_WIDTH, " ").alias("hex"),
+        F.translate(letters, _UNPRINTABLE, "." * len(_UNPRINTABLE)).alias("text"),
     )
 
 
@@ -62,12 +58,15 @@ def bytes_from_hex(text: Column | str) -> Column:
 
     Within a pair one digit with a blank beside it, or a zero character after it, is a number too.
     """
-    units = _utf16_units(_column(text))
-    pair = rf"(?s)({_DIGIT}{{2}})|[\x09-\x0D\x20]({_DIGIT})|({_DIGIT})[\x00\x09-\x0D\x20]|.."
+    text = _column(text)
+    units = _utf16_units(text)
+    pair = rf"(?s)((?:{_DIGIT}{{2}})++)|[\x09-\x0D\x20]({_DIGIT})|({_DIGIT})[\x00\x09-\x0D\x20]|.."
     marked = F.regexp_replace(units, pair, "$1$2$3;")
     padded = F.regexp_replace(marked, rf"(?<!{_DIGIT})({_DIGIT});", "0$1;")
     filled = F.regexp_replace(padded, rf"(?<!{_DIGIT});", "00;")
-    return F.when(F.length(units) % 2 == 0, F.unhex(F.replace(filled, F.lit(";"), F.lit(""))))
+    repaired = F.unhex(F.replace(filled, F.lit(";"), F.lit("")))
+    # Text of hex digits only, the usual case, needs no repair.
+    return F.when(F.length(units) % 2 == 0, F.coalesce(F.unhex(text), repaired))
 
 
 def has_odd_length(text: Column | str) -> Column:

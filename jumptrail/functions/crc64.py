@@ -44,14 +44,17 @@ def unit_table() -> np.ndarray:
     return (low >> np.uint64(8)) ^ table[(value >> np.uint64(8)) ^ (low & np.uint64(0xFF))]
 
 
+def upper_letter(letter: str) -> str:
+    """Upper case of one character, or the character where that is not one character of its kind."""
+    upper = letter.upper()
+    single = len(upper) == 1 and letter not in KEPT_LETTERS and letter <= "\uffff"
+    return upper if single else letter
+
+
 def upper_units(text: str) -> bytes:
     """Low bytes of the UTF-16 units of the text, upper-cased one character to one character."""
-    letters = []
-    for letter in text:
-        upper = letter.upper()
-        single = len(upper) == 1 and letter not in KEPT_LETTERS and letter <= "￿"
-        letters.append(upper if single else letter)
-    return "".join(letters).encode("utf-16-le")[::2]
+    letters = {ord(letter): upper_letter(letter) for letter in set(text)}
+    return text.translate(letters).encode("utf-16-le")[::2]
 
 
 def low_bytes(texts: pa.Array) -> pa.Array:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jumptrail.functions.binary import bytes_from_hex, has_odd_length, hexdump, reverse_bytes
+from jumptrail.functions import binary
 from jumptrail.functions.crc64 import crc64
 from jumptrail.functions.ids import parse_id
 from jumptrail.functions.registry import register_functions
@@ -368,27 +368,27 @@ def _blobs(spark, sf_dir):
 
 
 @query
-def byte_rows(spark, sf_dir):
-    return hexdump(_blobs(spark, sf_dir), "data", "doc_id")
+def hexdump(spark, sf_dir):
+    return binary.hexdump(_blobs(spark, sf_dir), "data", "doc_id")
 
 
 @query
-def bytes_reversed(spark, sf_dir):
+def reverse_bytes(spark, sf_dir):
     blobs = _blobs(spark, sf_dir)
     return blobs.select(
         "doc_id",
-        F.hex(reverse_bytes("data")).alias("whole"),
-        F.hex(reverse_bytes("data", 100)).alias("after_100"),
+        F.hex(binary.reverse_bytes("data")).alias("whole"),
+        F.hex(binary.reverse_bytes("data", 100)).alias("after_100"),
     )
 
 
 @query
-def hex_bytes(spark, sf_dir):
+def bytes_from_hex(spark, sf_dir):
     texts = fx.view(spark, sf_dir, "fx_hex")
     return texts.select(
         "doc_id",
-        F.hex(bytes_from_hex("hex_text")).alias("bytes"),
-        has_odd_length("hex_text").alias("odd_length"),
+        F.hex(binary.bytes_from_hex("hex_text")).alias("bytes"),
+        binary.has_odd_length("hex_text").alias("odd_length"),
     )
 
 
@@ -397,8 +397,7 @@ def hex_bytes(spark, sf_dir):
 
 @query
 def stream_ingest(spark, sf_dir):
-    out = fresh_path(spark, "ingested")
-    checkpoint = fresh_path(spark, "ingest-checkpoint")
+    out, checkpoint = fresh_path(spark, "ingested"), fresh_path(spark, "ingest-checkpoint")
     ingest.stream_ingest(spark, _export(spark, sf_dir), out, checkpoint).awaitTermination()
     return ingest.ingested(spark, out).drop("last_modified_text")
 

@@ -175,6 +175,6 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def container_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of all containers that XML can hold."""
-    placed = with_positions(entries(spark, sf_dir)), with_positions(lnks(spark, sf_dir))
-    good_entries, good_lnks, _ = split_unwritable(*placed)
-    return documents(good_entries, good_lnks).withColumn("file", F.concat("appid", F.lit(".xml")))
+    good_entries, good_lnks, _ = split_unwritable(entries(spark, sf_dir), lnks(spark, sf_dir))
+    placed = documents(with_positions(good_entries), with_positions(good_lnks))
+    return placed.withColumn("file", F.concat("appid", F.lit(".xml")))

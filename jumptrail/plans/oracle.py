@@ -412,13 +412,13 @@ ORACLE: dict[str, str] = {
         f"SELECT doc_id, {_crc("text")} AS crc FROM documents, crc_table", "crc_table"
     ),
     "invariant_upper": f"SELECT doc_id, {_upper('text')} AS upper_text FROM documents",
-    "byte_rows": _DUMP,
-    "bytes_reversed": (
+    "hexdump": _DUMP,
+    "reverse_bytes": (
         "SELECT doc_id, array_to_string(list_reverse(p), '') AS whole, "
         "CASE WHEN len(p) >= 100 THEN array_to_string(list_reverse(p[101:]), '') END AS after_100 FROM ("
         "SELECT doc_id, regexp_extract_all(hex(encode(text)), '..') AS p FROM documents) b"
     ),
-    "hex_bytes": _sql(
+    "bytes_from_hex": _sql(
         f"SELECT doc_id, CASE WHEN NOT odd_length THEN array_to_string(list_transform(pairs, lambda p: {_PAIR_VALUE}), '') END AS bytes, "
         "odd_length FROM pairs",
         "pairs",

@@ -45,9 +45,10 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return _identified(_options(spark.read).load(path))
 
 
-def stream_documents(spark: SparkSession, path: str) -> DataFrame:
+def stream_documents(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
     """`read_documents` as a stream of newly exported files."""
-    return _identified(_options(spark.readStream).load(path))
+    reader = _options(spark.readStream).option("maxFilesPerTrigger", files_per_batch)
+    return _identified(reader.load(path))
 
 
 def read_entries(spark: SparkSession, path: str) -> DataFrame:

@@ -12,7 +12,9 @@ ENTRIES = "entries"
 REJECTS = "rejects"
 
 
-def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str) -> StreamingQuery:
+def stream_ingest(
+    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, files_per_batch: int = 10_000
+) -> StreamingQuery:
     """Append the entries of files not seen before, and the text of unreadable ones.
 
     A batch writes folders named by its number and overwrites them when it is repeated, so a
@@ -26,7 +28,7 @@ def stream_ingest(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
         docs.unpersist()
 
     return (
-        stream_documents(spark, in_dir)
+        stream_documents(spark, in_dir, files_per_batch)
         .writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

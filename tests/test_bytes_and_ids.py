@@ -67,7 +67,7 @@ def test_bytes_from_hex(spark):
     rng = random.Random(5)
     texts = ["", "4142", "41G2", " A", "A ", "\tA", "A\0", "\0A", "  ", "é1", "😀41", "a😀b", "4", "41\n", "A;", ";;"]
     texts += ["".join(rng.choice(HEX + " ;G\n\0") for _ in range(rng.randrange(40))) for _ in range(500)]
-    texts.append("0G41" * 60_000)
+    texts += ["0G41" * 60_000, "4a" * 300_000 + "??" + "4b" * 300_000]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
     got = df.select("id", bytes_from_hex("t").alias("b"), has_odd_length("t").alias("odd")).collect()
     for row in got:

@@ -22,7 +22,7 @@ def test_ingest_restarts_where_it_stopped(spark, tmp_path):
     stream_ingest(spark, folder, out, checkpoint).awaitTermination()
     (tmp_path / "in" / "b.xml").write_text(container("b", 2))
     for _ in range(2):
-        stream_ingest(spark, folder, out, checkpoint).awaitTermination()
+        stream_ingest(spark, folder, out, checkpoint, files_per_batch=1).awaitTermination()
     got = sorted((r.appid, r.position, r.path) for r in ingested(spark, out).collect())
     assert got == [("a", i + 1, f"a{i}.txt") for i in range(3)] + [("b", i + 1, f"b{i}.txt") for i in range(2)]
     assert [r.file for r in ingested(spark, out, REJECTS).collect()] == ["bad.xml"]
