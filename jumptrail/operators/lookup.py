@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 # At most this many keys count as hot, which bounds what is broadcast whatever the data size.
 # A key with more than 1 / HOT_KEYS of all rows is always among them.
-HOT_KEYS = 1024
+HOT_KEYS = 20_000
 
 # Keys with fewer rows than this are left to the shuffle.
 HOT_ROWS = 100_000

@@ -64,10 +64,11 @@ def _title_line(section: str, titles: list[str]) -> Column:
     row = "".join(f"<th>{title}</th>" for title in titles)
     head = f'<tr bgcolor="{HEADER_COLOR}">{row}</tr>'
     if section == "DestList":
+        start = F.concat(F.lit("<h2>"), html_text("file"), F.lit(f"</h2><h2>{section}</h2>"))
         table = F.concat(F.lit('<table border="1" id="_t'), html_text("appid"), F.lit('">'))
     else:
-        table = F.lit('<table border="1">')
-    return F.concat(F.lit(f"<h2>{section}</h2>"), table, F.lit(head))
+        start, table = F.lit(f"<h2>{section}</h2>"), F.lit('<table border="1">')
+    return F.concat(start, table, F.lit(head))
 
 
 def _row_line() -> Column:
@@ -83,11 +84,11 @@ def _row_line() -> Column:
     return line
 
 
-def report_html(index: DataFrame, rows: DataFrame) -> DataFrame:
+def report_html(rows: DataFrame) -> DataFrame:
     """HTML lines: (host, file, appid, section, part, position, html).
 
     A table is a title line (part 0), a line per row (part 1) and an end line (part 2), so a long
-    table is many rows and never one value. A listed container has both tables, even empty ones.
+    table is many rows and never one value. A container has both tables, even if one is empty.
     """
     columns = [*CONTAINER, "appid", "section", "part", "position", "html"]
     lines = rows.withColumn("part", F.lit(1)).withColumn("html", _row_line()).select(*columns)
@@ -99,7 +100,7 @@ def report_html(index: DataFrame, rows: DataFrame) -> DataFrame:
         )
     )
     ends = (
-        index.select(*CONTAINER, "appid").distinct()
+        rows.select(*CONTAINER, "appid").distinct()
         .select("*", F.inline(frames))
         .withColumn("position", F.lit(0).cast("bigint"))
     )

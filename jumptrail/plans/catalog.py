@@ -305,20 +305,16 @@ def index_join(spark, sf_dir):
     return report.index_join(_index(spark, sf_dir), found).select("host", "file", "position", "path")
 
 
-def _report_rows(spark, sf_dir, index):
-    path = _export(spark, sf_dir)
-    return report.report_rows(index, xml.read_entries(spark, path), xml.read_lnks(spark, path))
-
-
 @query
 def report_rows(spark, sf_dir):
-    return _report_rows(spark, sf_dir, _index(spark, sf_dir))
+    path = _export(spark, sf_dir)
+    entries, lnks = xml.read_entries(spark, path), xml.read_lnks(spark, path)
+    return report.report_rows(_index(spark, sf_dir), entries, lnks)
 
 
 @query
 def report_html(spark, sf_dir):
-    index = _index(spark, sf_dir)
-    return report.report_html(index, _report_rows(spark, sf_dir, index))
+    return report.report_html(report_rows(spark, sf_dir))
 
 
 @query

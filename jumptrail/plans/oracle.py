@@ -228,7 +228,7 @@ SELECT host, file, appid, section, 1 AS part, position,
  '<tr>' || {_escaped("c1")} || {_escaped("c2")} || {_escaped("c3")}
  || CASE section WHEN 'LNKs' THEN {_escaped("c4")} ELSE '' END || '</tr>' AS html FROM report
 UNION ALL
-SELECT host, file, appid, 'DestList', 0, 0, '<h2>DestList</h2><table border="1" id="_t' || appid || '"><tr bgcolor="#9acd32"><th>Entry #</th><th>Path</th><th>Last Modified</th></tr>' FROM eligible
+SELECT host, file, appid, 'DestList', 0, 0, '<h2>' || file || '</h2><h2>DestList</h2><table border="1" id="_t' || appid || '"><tr bgcolor="#9acd32"><th>Entry #</th><th>Path</th><th>Last Modified</th></tr>' FROM eligible
 UNION ALL
 SELECT host, file, appid, 'LNKs', 0, 0, '<h2>LNKs</h2><table border="1"><tr bgcolor="#9acd32"><th>Entry #</th><th>Path</th><th>Name string</th><th>Command line arguments</th></tr>' FROM eligible
 UNION ALL

@@ -73,10 +73,11 @@ def test_index_and_report(spark, folder):
     name = "9b9cdc69c1c24e2b.xml"
     assert set(got) == {("DestList", 1), ("DestList", 2), ("LNKs", 1), ("LNKs", 2), ("LNKs", 3)}
     assert got["LNKs", 3] == (name, "3", None, "n", "--v") and got["LNKs", 2] == (name, "2", None, None, None)
-    lines = report.report_html(index, rows)
+    lines = report.report_html(rows)
     html = {(r.file, r.section, r.part, r.position): r.html for r in lines.collect()}
     assert html[name, "DestList", 1, 1].startswith("<tr><td>2</td><td>C:\\a &amp; &lt;b&gt;.txt</td><td>2024")
-    assert html["gone.xml", "LNKs", 2, 0] == "</table>" and len(html) == 5 + 8
+    assert html[name, "LNKs", 2, 0] == "</table>" and len(html) == 5 + 4
+    assert html[name, "DestList", 0, 0].startswith(f'<h2>{name}</h2><h2>DestList</h2><table border="1" id="_t{name[:-4]}">')
 
 
 def test_report_shows_last_modified_as_it_is_written(spark, folder):
@@ -92,11 +93,10 @@ def test_written_report_reads_in_order(spark, tmp_path):
         (F.col("id") + 1).alias("position"), F.col("id").cast("string").alias("c1"),
         *(F.lit(None).cast("string").alias(f"c{i}") for i in (2, 3, 4)),
     )
-    index = rows.select("host", "file", "appid").distinct()
-    report.write_report(report.report_html(index, rows.repartition(7)), str(tmp_path / "r"))
+    report.write_report(report.report_html(rows.repartition(7)), str(tmp_path / "r"))
     parts = sorted((tmp_path / "r" / "host=H" / "appid=a").glob("*.txt"))
     lines = "".join(part.read_text() for part in parts).splitlines()
-    assert lines[0].startswith("<h2>DestList</h2>") and lines[501] == "</table>" and lines[502].startswith("<h2>LNKs</h2>")
+    assert lines[0].startswith("<h2>a.xml</h2><h2>DestList</h2>") and lines[501] == "</table>" and lines[502].startswith("<h2>LNKs</h2>")
     assert lines[1:501] == [f"<tr><td>{i}</td><td></td><td></td></tr>" for i in range(500)]
 
 
