@@ -40,9 +40,10 @@ def main() -> None:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    # Start the workers and write the tables that joins read; both belong to no single query.
+    # The tables that joins read; the first step also pays for the start of the workers.
+    start = time.perf_counter()
     fixtures.containers(spark, sf_dir).count()
-    seconds = {}
+    seconds = {"written_tables": round(time.perf_counter() - start, 3)}
     for name in sys.argv[1:] or HEADLINE:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()

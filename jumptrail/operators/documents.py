@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from jumptrail.operators.lookup import join_lookup
-
 ENTRY = "struct<_EntryNumber:string,_Path:string,_LastModified:string>"
 LNK = (
     "struct<LinkInfo:struct<_LocalBasePath:string>,NAME_STRING:struct<_String:string>,"
@@ -32,28 +30,7 @@ _UNWRITABLE = r"[^\t\n\r\x20-\x{D7FF}\x{E000}-\x{FFFD}\x{10000}-\x{10FFFF}]"
 
 
 def _cannot_write(*columns: str) -> Column:
-    return F.rlike(F.concat_ws("", *columns), F.lit(_UNWRITABLE))
-
-
-def split_unwritable(
-    entries: DataFrame, lnks: DataFrame
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entries and link records of the containers that XML can hold, and the other containers.
-
-    One bad character would fail the whole export; so its container is left out and reported.
-    """
-    bad = (
-        entries.filter(_cannot_write("host", "appid", "path"))
-        .select(*IDENTITY)
-        .unionByName(
-            lnks.filter(
-                _cannot_write("host", "appid", "local_base_path", "name_string", "arguments")
-            ).select(*IDENTITY)
-        )
-        .distinct()
-    )
-    good = [join_lookup(rows, bad, IDENTITY, "left_anti") for rows in (entries, lnks)]
-    return good[0], good[1], bad.withColumn("file", F.concat("appid", F.lit(".xml")))
+    return F.rlike(F.concat_ws("", *columns), F.lit(_UNWRITABLE)).alias("unwritable")
 
 
 def _attribute(value: str, element: str) -> Column:
@@ -62,7 +39,10 @@ def _attribute(value: str, element: str) -> Column:
 
 
 def documents(entries: DataFrame, lnks: DataFrame) -> DataFrame:
-    """Nested documents of flat entries and link records; both need host, appid and position."""
+    """Nested documents of flat entries and link records; both need host, appid and position.
+
+    `unwritable` tells documents with a character that XML cannot hold.
+    """
     first = F.floor((F.col("position") - 1) / DOCUMENT_RECORDS) * DOCUMENT_RECORDS
     entry = F.struct(
         F.col("entry_number").cast("string").alias("_EntryNumber"),
@@ -79,16 +59,19 @@ def documents(entries: DataFrame, lnks: DataFrame) -> DataFrame:
         *head,
         F.struct("position", entry.alias("one")).alias("entry"),
         F.lit(None).cast(f"struct<position:bigint,one:{LNK}>").alias("lnk"),
+        _cannot_write(*IDENTITY, "path"),
     ).unionByName(
         lnks.select(
             *head,
             F.lit(None).cast(f"struct<position:bigint,one:{ENTRY}>").alias("entry"),
             F.struct("position", lnk.alias("one")).alias("lnk"),
+            _cannot_write(*IDENTITY, "local_base_path", "name_string", "arguments"),
         )
     )
     grouped = records.groupBy(*IDENTITY, "first").agg(
         F.array_sort(F.collect_list("entry")).alias("entries"),
         F.array_sort(F.collect_list("lnk")).alias("lnks"),
+        F.bool_or("unwritable").alias("unwritable"),
     )
     return grouped.select(
         *IDENTITY,
@@ -97,9 +80,22 @@ def documents(entries: DataFrame, lnks: DataFrame) -> DataFrame:
             F.size("entries") > 0, F.struct(F.col("entries.one").alias("DestListEntryV2"))
         ).alias("DestList"),
         F.when(F.size("lnks") > 0, F.struct(F.col("lnks.one").alias("LNK"))).alias("LNKs"),
+        "unwritable",
     )
 
 
+def split_unwritable(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of the containers that XML can hold, and the names of the other containers.
+
+    One bad character would fail the whole export; so its container is left out and reported.
+    Hand over a table: it is read for the bad containers and again for the rest. The right side
+    of the join is a plain scan, so Spark's skew join may cut a hot container on the left.
+    """
+    bad = docs.filter("unwritable").select(*IDENTITY)
+    rejects = bad.distinct().withColumn("file", F.concat("appid", F.lit(".xml")))
+    return docs.join(bad, [*IDENTITY], "left_anti"), rejects
+
+
 def parse_documents(df: DataFrame, column: str) -> DataFrame:
     """Container documents held as text in a column; the other columns stay."""
     parsed = F.from_xml(column, DOCUMENT_SCHEMA, {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})

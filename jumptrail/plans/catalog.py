@@ -15,7 +15,7 @@ from jumptrail.functions.text import appid_hex, upper_invariant
 from jumptrail.known_folders import known_folders, with_guid_use
 from jumptrail.operators import activity, appid, documents, identify, report
 from jumptrail.plans import fixtures as fx
-from jumptrail.shared import fresh_path
+from jumptrail.shared import fresh_path, written
 from jumptrail.sources import containers as files
 from jumptrail.sources import xml
 from jumptrail.streaming import ingest, recents
@@ -35,17 +35,18 @@ def _paths(spark, sf_dir):
     return fx.view(spark, sf_dir, "fx_paths")
 
 
-def _new_export(spark: SparkSession, sf_dir: str, per_container: bool = False) -> str:
-    path = fresh_path(spark, "export")
-    xml.write_documents(fx.container_documents(spark, sf_dir), path, per_container)
+def _new_export(
+    spark: SparkSession, sf_dir: str, path: str | None = None, per_container: bool = False
+) -> str:
+    path = path or fresh_path(spark, "export")
+    docs = written(fx.container_documents(spark, sf_dir), "documents")
+    good, _ = documents.split_unwritable(docs)
+    xml.write_documents(good, path, per_container)
     return path
 
 
 def _export(spark: SparkSession, sf_dir: str) -> str:
-    def write(path: str) -> None:
-        xml.write_documents(fx.container_documents(spark, sf_dir), path)
-
-    return fx.kept(spark, sf_dir, "export", write)
+    return fx.kept(spark, sf_dir, "export", lambda path: _new_export(spark, sf_dir, path))
 
 
 # --- paths and AppIDs ---

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from jumptrail.operators.activity import with_positions
 from jumptrail.operators.appid import EXTENSION, appids
-from jumptrail.operators.documents import documents, split_unwritable
+from jumptrail.operators.documents import documents
 from jumptrail.shared import fresh_path
 
 FX_PATHS = """
@@ -174,7 +174,5 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def container_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of all containers that XML can hold."""
-    good_entries, good_lnks, _ = split_unwritable(entries(spark, sf_dir), lnks(spark, sf_dir))
-    placed = documents(with_positions(good_entries), with_positions(good_lnks))
+    placed = documents(with_positions(entries(spark, sf_dir)), with_positions(lnks(spark, sf_dir)))
     return placed.withColumn("file", F.concat("appid", F.lit(".xml")))

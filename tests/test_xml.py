@@ -150,9 +150,9 @@ def test_characters_xml_cannot_hold(spark, tmp_path):
         [("H", "c", 1, None, "\uffff", None), ("H", "b", 1, "p", None, None), ("H", "a", 1, "p", None, None)],
         "host string, appid string, position bigint, local_base_path string, name_string string, arguments string",
     )
-    good_entries, good_lnks, rejects = docs.split_unwritable(entries, lnks)
+    good, rejects = docs.split_unwritable(docs.documents(entries, lnks))
     path = str(tmp_path / "x")
-    xml.write_documents(docs.documents(good_entries, good_lnks), path)
+    xml.write_documents(good, path)
     assert [(r.appid, r.path) for r in xml.read_entries(spark, path).collect()] == [("b", "fine \t\n\r é日😀")]
     assert [r.appid for r in xml.read_lnks(spark, path).collect()] == ["b"]
     assert sorted((r.host, r.file) for r in rejects.collect()) == [("H", "a.xml"), ("H", "c.xml")]
