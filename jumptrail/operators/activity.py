@@ -17,6 +17,14 @@ CONTAINER = ("host", "appid")
 GROUP_LIMIT = 1000
 
 
+# What tells entries apart and keeps those of a container in document order.
+_PLACE = ("host", "appid", "position", "event_id")
+
+
+def _place(entries: DataFrame) -> list[str]:
+    return [name for name in _PLACE if name in entries.columns]
+
+
 def _first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """Ranked rows of each group, the first k of them; all of them for 0."""
     if 0 < k <= GROUP_LIMIT:
@@ -52,7 +60,7 @@ def frequent_docs(entries: DataFrame, k: int = 10) -> DataFrame:
 
 def top_entries(entries: DataFrame, k: int) -> DataFrame:
     """The k newest entries of all."""
-    return entries.orderBy(F.desc("last_modified"), "event_id").limit(k)
+    return entries.orderBy(F.desc("last_modified"), *_place(entries)).limit(k)
 
 
 def existing(df: DataFrame, known_files: DataFrame, key: str = "path") -> DataFrame:
@@ -111,13 +119,11 @@ def activity_by_day(entries: DataFrame) -> DataFrame:
 
 def timeline_gaps(entries: DataFrame) -> DataFrame:
     """Every entry with the time of the host's previous one and the seconds between them."""
-    columns = entries.select("host", "last_modified", "event_id", "path")
-    lined = with_previous(columns, "last_modified", ["last_modified", "event_id"], ["host"])
+    order = ["last_modified", *(name for name in _place(entries) if name != "host")]
+    lined = with_previous(entries, "last_modified", order, ["host"])
     gap = (F.col("last_modified") - F.col("prev")).cast("interval second")
-    return lined.select(
-        "host", "event_id", "last_modified", "path", "prev",
-        gap.cast("decimal(24,6)").cast("double").alias("gap_seconds"),
-    )
+    seconds = gap.cast("decimal(24,6)").cast("double").alias("gap_seconds")
+    return lined.select(*entries.columns, "prev", seconds)
 
 
 def sort_by_number(
@@ -126,7 +132,7 @@ def sort_by_number(
     """Entries of each container ranked by their number; the report shows one table each."""
     number = F.expr("try_cast(entry_number AS BIGINT)")
     first = number.asc_nulls_first() if ascending else number.desc_nulls_last()
-    return ranked(entries, [first, F.asc("event_id")], keys)
+    return ranked(entries, [first, *map(F.asc, _place(entries))], keys)
 
 
 def sort_by_text(
@@ -134,9 +140,10 @@ def sort_by_text(
 ) -> DataFrame:
     """Entries of each container ranked by lower-cased text; equal texts keep their order."""
     text = F.lower(F.coalesce(F.col(column).cast("string"), F.lit("")))
-    return ranked(entries, [text.asc() if ascending else text.desc(), F.asc("event_id")], keys)
+    first = text.asc() if ascending else text.desc()
+    return ranked(entries, [first, *map(F.asc, _place(entries))], keys)
 
 
 def with_positions(df: DataFrame, keys: Sequence[str] = CONTAINER) -> DataFrame:
     """Adds `position`, the 1-based place of a row in its container's document."""
-    return ranked(df, [F.asc("entry_number"), F.asc("event_id")], keys, into="position")
+    return ranked(df, [F.asc("entry_number"), *map(F.asc, _place(df))], keys, into="position")

@@ -211,7 +211,8 @@ def activity_by_day(spark, sf_dir):
 
 @query
 def timeline_gaps(spark, sf_dir):
-    return activity.timeline_gaps(fx.view(spark, sf_dir, "fx_entries"))
+    found = fx.view(spark, sf_dir, "fx_entries")
+    return activity.timeline_gaps(found.select("host", "event_id", "last_modified", "path"))
 
 
 @query

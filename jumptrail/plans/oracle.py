@@ -366,7 +366,7 @@ ORACLE: dict[str, str] = {
         "fx_entries", "fx_known_files",
     ),
     "top_entries": _sql(
-        f"SELECT event_id, host, path, last_modified FROM fx_entries ORDER BY last_modified DESC, event_id LIMIT {TOP}",
+        f"SELECT event_id, host, path, last_modified FROM fx_entries ORDER BY last_modified DESC, host, event_id LIMIT {TOP}",
         "fx_entries",
     ),
     "sort_by_number": _sql(_rank("entry_number"), "entries"),
@@ -374,7 +374,7 @@ ORACLE: dict[str, str] = {
     "sort_by_path": _sql(_rank("lower(coalesce(path, ''))"), "entries"),
     "sort_by_modified": _sql(_rank("CAST(last_modified AS VARCHAR) DESC"), "entries"),
     "sort_all_by_path": _sql(
-        "SELECT event_id, row_number() OVER (ORDER BY lower(coalesce(path, '')), event_id) AS rank FROM fx_entries",
+        "SELECT event_id, row_number() OVER (ORDER BY lower(coalesce(path, '')), host, event_id) AS rank FROM fx_entries",
         "fx_entries",
     ),
     "container_inventory": _sql(

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from jumptrail.operators import documents as docs
 from jumptrail.operators import report
-from jumptrail.operators.activity import with_positions
+from jumptrail.operators.activity import (
+    container_counts, sort_by_number, sort_by_text, timeline_gaps, top_entries, with_positions,
+)
 from jumptrail.sources import containers, xml
 
 FILES = {
@@ -66,6 +68,27 @@ def test_documents_in_a_column(spark):
     assert {"malformed.xml", "truncated.xml"} == {r.file for r in rejects.collect()}
 
 
+def test_orders_of_entries_as_read(spark, folder):
+    entries = xml.read_entries(spark, folder)
+    by_number = {(r.file, r.position): r["rank"] for r in sort_by_number(entries).collect()}
+    assert by_number["9b9cdc69c1c24e2b.xml", 1] == 2 and by_number["9b9cdc69c1c24e2b.xml", 2] == 1
+    by_path = {(r.file, r.position): r["rank"] for r in sort_by_text(entries, "path", False).collect()}
+    assert by_path["9b9cdc69c1c24e2b.xml", 1] == 1 and by_path["9b9cdc69c1c24e2b.xml", 2] == 2
+    whole = {(r.file, r.position): r["rank"] for r in sort_by_text(entries, "path", keys=()).collect()}
+    assert sorted(whole.values()) == [1, 2, 3, 4] and whole["9b9cdc69c1c24e2b.xml", 2] == 1
+    assert [r.path for r in top_entries(entries, 1).collect()] == ["C:\\a & <b>.txt"]
+    assert timeline_gaps(entries).filter("prev IS NOT NULL").count() == 0
+
+
+def test_union_of_hosts_and_counts(spark, folder):
+    one, two = (xml.read_entries(spark, folder).withColumn("host", F.lit(h)) for h in "AB")
+    both = docs.union_hosts(one, two)
+    counts = container_counts(both, xml.read_lnks(spark, folder).withColumn("host", F.lit("A")))
+    got = {(r.host, r.appid): (r.n_entries, r.n_lnks) for r in counts.collect()}
+    assert got["A", "9b9cdc69c1c24e2b"] == (2, 3) and got["B", "9b9cdc69c1c24e2b"] == (2, 0)
+    assert got["A", "nolist"] == (0, 1) and got["A", "nolnk"] == (1, 0)
+
+
 def test_index_and_report(spark, folder):
     index = xml.read_index(spark, folder + "/master.xml")
     rows = report.report_rows(index, xml.read_entries(spark, folder), xml.read_lnks(spark, folder))
