@@ -141,9 +141,7 @@ def with_guid_use(folders: DataFrame, paths: DataFrame) -> DataFrame:
     """Every distinct identifier with the number of paths whose env form names it."""
     from jumptrail.operators.appid import named_guids
 
-    uses = named_guids(paths).groupBy("guid").agg(F.count("*").alias("n_paths"))
-    return (
-        F.broadcast(known_guids(folders))
-        .join(uses, "guid", "left")
-        .select("guid", F.coalesce("n_paths", F.lit(0)).alias("n_paths"))
-    )
+    known = F.broadcast(known_guids(folders))
+    uses = named_guids(paths).join(known, "guid").groupBy("guid").agg(F.count("*").alias("n"))
+    # Both sides have one row per identifier here, 85 at most.
+    return known.join(uses, "guid", "left").select("guid", F.coalesce("n", F.lit(0)).alias("n_paths"))

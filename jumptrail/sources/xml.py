@@ -11,6 +11,10 @@ from jumptrail.operators.documents import DOCUMENT_SCHEMA, entries_of, lnks_of
 ROW_TAG = "AutomaticDestinations"
 INDEX_SCHEMA = "_host string, _file string, _appid string"
 
+# One task reads a file, as XML cannot be split; so writers start a new file after this many rows.
+DOCUMENTS_PER_FILE = 2000
+INDEX_ROWS_PER_FILE = 1_000_000
+
 
 def _options(reader):
     return (
@@ -75,7 +79,12 @@ def write_documents(docs: DataFrame, path: str, per_container: bool = False) ->
         "DestList",
         "LNKs",
     )
-    writer = shown.write.format("xml").option("rootTag", "jumpLists").option("rowTag", ROW_TAG)
+    writer = (
+        shown.write.format("xml")
+        .option("rootTag", "jumpLists")
+        .option("rowTag", ROW_TAG)
+        .option("maxRecordsPerFile", DOCUMENTS_PER_FILE)
+    )
     (writer.partitionBy("host", "appid") if per_container else writer).save(path)
 
 
@@ -88,6 +97,7 @@ def write_index(containers: DataFrame, path: str) -> None:
         .write.format("xml")
         .option("rootTag", "autoFiles")
         .option("rowTag", "autoFile")
+        .option("maxRecordsPerFile", INDEX_ROWS_PER_FILE)
         .save(path)
     )
 

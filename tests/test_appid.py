@@ -19,7 +19,6 @@ GOLDENS = {
     "Microsoft.Windows.Explorer": "F01B4D95CF55D32A",
     "{905E63B6-C1BF-494E-B29C-65B732D3D21A}\\APP\\tool.exe": "25BA249A56F5C556",
     "{6D809377-6AF0-444b-8957-A3773F02200E}\\APP\\tool.exe": "46A2C5E7E711E9E",
-    "CQTestWinForm": "F1EBC309568A6ECB",
     "Zażółć": "FED0AC9B3DF004C",
     "日本": "9AF3561A35547007",
     "Straße": "3CE6C4212FEB026C",
