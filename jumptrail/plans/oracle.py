@@ -9,7 +9,7 @@ from jumptrail.functions.crc64 import START, byte_table
 from jumptrail.known_folders import FOLDER_IDS, FOLDER_PATHS, ROWS
 from jumptrail.operators.appid import CLASS_VARIANTS, ENV_REWRITES, EXTENSION
 from jumptrail.plans.catalog import TOP
-from jumptrail.plans.fixtures import VIEWS, with_clause
+from jumptrail.plans.fixtures import VIEWS
 
 _B = "chr(92)"
 
