@@ -18,8 +18,10 @@ def stream_recents(
     """
 
     def write_batch(batch_adds: DataFrame, batch: int) -> None:
-        maxima = latest(admissible_names(batch_adds))
+        # The lookup reads its input more than once.
+        maxima = latest(admissible_names(batch_adds)).persist()
         existing(maxima, known_files).write.mode("overwrite").parquet(f"{out_dir}/batch={batch}")
+        maxima.unpersist()
 
     return (
         adds.writeStream.foreachBatch(write_batch)
