@@ -228,33 +228,40 @@ def top_entries(spark, sf_dir):
     )
 
 
+def _sortable(spark, sf_dir, column):
+    # Only what the sort needs, as a ranked table is written in between.
+    return fx.entries(spark, sf_dir).select("host", "appid", "event_id", column)
+
+
 def _placed(df):
     return df.select("host", "appid", "event_id", "rank")
 
 
 @query
 def sort_by_number(spark, sf_dir):
-    return _placed(activity.sort_by_number(fx.entries(spark, sf_dir)))
+    return _placed(activity.sort_by_number(_sortable(spark, sf_dir, "entry_number")))
 
 
 @query
 def sort_by_number_desc(spark, sf_dir):
-    return _placed(activity.sort_by_number(fx.entries(spark, sf_dir), ascending=False))
+    found = _sortable(spark, sf_dir, "entry_number")
+    return _placed(activity.sort_by_number(found, ascending=False))
 
 
 @query
 def sort_by_path(spark, sf_dir):
-    return _placed(activity.sort_by_text(fx.entries(spark, sf_dir), "path"))
+    return _placed(activity.sort_by_text(_sortable(spark, sf_dir, "path"), "path"))
 
 
 @query
 def sort_by_modified(spark, sf_dir):
-    return _placed(activity.sort_by_text(fx.entries(spark, sf_dir), "last_modified", ascending=False))
+    found = _sortable(spark, sf_dir, "last_modified")
+    return _placed(activity.sort_by_text(found, "last_modified", ascending=False))
 
 
 @query
 def sort_all_by_path(spark, sf_dir):
-    everything = fx.view(spark, sf_dir, "fx_entries")
+    everything = fx.view(spark, sf_dir, "fx_entries").select("host", "event_id", "path")
     return activity.sort_by_text(everything, "path", keys=()).select("event_id", "rank")
 
 
