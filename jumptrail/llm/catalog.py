@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from jumptrail.llm.language import op2_language
+from jumptrail.llm.nearest import op8_nearest
 from jumptrail.llm.packing import op3_best_fit_packing
+from jumptrail.llm.toxicity import op10_toxicity
 from jumptrail.llm.training_order import op6_training_order
 from jumptrail.llm.url_rules import OP5_SQL, op5_url_filters
 
 QUERIES = {
+    "op2_language": op2_language,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_url_filters": op5_url_filters,
     "op6_training_order": op6_training_order,
+    "op8_nearest": op8_nearest,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {

@@ -55,22 +55,26 @@ class Sums:
         """How many times the combination can be taken."""
         return min(self.counts[n] // times for n, times in Counter(combination).items())
 
-    def pair(self, gap: int, least: int = 1) -> tuple[int, int] | None:
-        """Two available lengths of at least `least` that fill the gap, the longer one as long as possible."""
+    def pair(self, gap: int) -> tuple[int, int] | None:
+        """Two available lengths that fill the gap, the longer one as long as possible."""
         low = bisect.bisect_left(self.lengths, (gap + 1) // 2)
-        high = bisect.bisect_right(self.lengths, gap - least)
+        high = bisect.bisect_left(self.lengths, gap)
         for long in reversed(self.lengths[low:high]):
             short = gap - long
             if self.counts[long] > 0 and self.counts[short] > (short == long):
                 return long, short
         return None
 
-    def exact(self, gap: int) -> tuple[int, ...] | None:
-        """A combination of one, two or three available lengths that fills the gap."""
+    def exact(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
+        """A combination of one, two or three available lengths that fills the gap, of `most` lengths at most."""
         if self.counts[gap] > 0:
             return (gap,)
+        if most < 2:
+            return None
         if found := self.pair(gap):
             return found
+        if most < 3:
+            return None
         high = bisect.bisect_left(self.lengths, gap)
         for long in reversed(self.lengths[:high]):
             if 3 * long < gap:
@@ -85,7 +89,17 @@ class Sums:
 
 
 def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns of piece lengths with their numbers of sequences, together using up the histogram."""
+    """Patterns of piece lengths with their numbers of sequences, together using up the histogram.
+
+    Filling gaps exactly spends the short pieces that best fit would need at the end, so plans that look for up to
+    three, two and one lengths are made, and the one with the fewest sequences is taken.
+    """
+    plans = [complements(histogram, length, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda patterns: sum(number for _, number in patterns))
+
+
+def complements(histogram: dict[int, int], length: int, most: int) -> list[tuple[tuple[int, ...], int]]:
+    """Exact complements of up to `most` lengths, then best fit."""
     counts = Counter({n: count for n, count in histogram.items() if count > 0})
     sums, patterns, rest = Sums(counts), [], Counter()
     for longest in sorted(counts, reverse=True):
@@ -95,7 +109,7 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[in
                 counts[longest] = 0
                 break
             counts[longest] -= 1
-            found = sums.exact(length - longest)
+            found = sums.exact(length - longest, most)
             counts[longest] += 1
             if not found:
                 rest[longest] += counts[longest]

@@ -89,7 +89,14 @@ class Words:
 
     def __call__(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The hash of every word in order, and where each text's words begin (with a last end)."""
-        hashes, starts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        hashes, first = self.with_beginnings(data, bounds, ())
+        return hashes[0], first
+
+    def with_beginnings(
+        self, data: np.ndarray, bounds: np.ndarray, sizes: tuple[int, ...]
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """As above, with a row of hashes for the first bytes of each word, for each size; 0 where it is shorter."""
+        hashes, starts = [np.empty((1 + len(sizes), 0), np.uint64)], [np.empty(0, np.int64)]
         for first, last in self.slices(data, bounds):
             part = data[first:last]
             if part.size > self.up.size:
@@ -106,9 +113,14 @@ class Words:
             at, end = np.flatnonzero(begin), np.flatnonzero(finish)
             summed = np.cumsum(self.codes[part] * self.up[: part.size], dtype=np.uint64)
             before = np.where(at > 0, summed[at - 1], np.uint64(0))
-            hashes.append(mix((summed[end] - before) * self.down[at]))
+            rows = [mix((summed[end] - before) * self.down[at])]
+            for size in sizes:
+                reached = np.minimum(at + size - 1, end)
+                begun = mix((summed[reached] - before) * self.down[at])
+                rows.append(np.where(at + size - 1 <= end, begun, np.uint64(0)))
+            hashes.append(np.stack(rows))
             starts.append(at + first)
-        return np.concatenate(hashes), np.searchsorted(np.concatenate(starts), bounds)
+        return np.concatenate(hashes, axis=1), np.searchsorted(np.concatenate(starts), bounds)
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -129,3 +141,17 @@ def distinct(values: np.ndarray) -> np.ndarray:
     if values.size < 2:
         return values
     return values[np.concatenate(([True], values[1:] != values[:-1]))]
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches whose texts (column number `text`) have about `most` bytes, one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        _, bounds = raw_bytes(batch.column(text))
+        start = 0
+        while start < batch.num_rows:
+            end = int(np.searchsorted(bounds, bounds[start] + most, side="right")) - 1
+            end = min(max(end, start + 1), batch.num_rows)
+            yield batch.slice(start, end - start)
+            start = end
