@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from jumptrail.llm.decontamination import OP1_SQL, op1_decontamination
 from jumptrail.llm.language import op2_language
 from jumptrail.llm.nearest import op8_nearest
 from jumptrail.llm.packing import op3_best_fit_packing
@@ -10,6 +11,7 @@ from jumptrail.llm.training_order import op6_training_order
 from jumptrail.llm.url_rules import OP5_SQL, op5_url_filters
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_language": op2_language,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op5_url_filters": op5_url_filters,
@@ -19,5 +21,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op1_decontamination": OP1_SQL,
     "op5_url_filters": OP5_SQL,
 }
