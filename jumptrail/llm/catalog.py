@@ -7,6 +7,7 @@ from jumptrail.llm.language import op2_language
 from jumptrail.llm.near_duplicates import op9_near_duplicates
 from jumptrail.llm.nearest import op8_nearest
 from jumptrail.llm.packing import op3_best_fit_packing
+from jumptrail.llm.suffixes import op4_suffix_dedup
 from jumptrail.llm.toxicity import op10_toxicity
 from jumptrail.llm.training_order import op6_training_order
 from jumptrail.llm.url_rules import OP5_SQL, op5_url_filters
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_language": op2_language,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_training_order": op6_training_order,
     "op8_nearest": op8_nearest,

@@ -3,8 +3,9 @@
 Documents with the same set of shingles become one class first, however many copies there are. A class has a
 signature of `PERMUTATIONS` minima; `TREES` orders of the signature are the trees of the forest. Classes that share
 the first `DEPTHS[0]` values of an order are a region; a region of more than `DENSE` classes is looked at again under
-longer prefixes, so the depth adapts to how crowded a region is. Candidates are first each region's leader (the class
-of the smallest document) with every other member, at every depth. Candidates whose signatures agree far too little
+longer prefixes, so the depth adapts to how crowded a region is. Candidates are first each region's leaders with every
+other member, at every depth: the class of the smallest document, and the class whose regions hold the most members
+over all trees, which is the text that many copies were made from. Candidates whose signatures agree far too little
 are put aside, and the rest are confirmed on their full sets. Only members of one region that are then still in
 different components become candidates of a second pass, so a group of many copies never yields all its pairs.
 
@@ -33,7 +34,7 @@ TREES = 32
 DEPTHS = (4, 6, 8)
 DENSE = 256
 # A pair of similarity s agrees in s * PERMUTATIONS values on average; this many standard deviations less still pass.
-DEVIATIONS = 5.0
+DEVIATIONS = 4.5
 
 
 def factors() -> tuple[np.ndarray, np.ndarray]:
@@ -53,6 +54,11 @@ def signature(hashes: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.nda
     return least.view(np.int32)
 
 
+def low_bits(signatures: np.ndarray) -> np.ndarray:
+    """One bit of every value, as two 64-bit numbers a row."""
+    return np.packbits((signatures & 1).astype(np.uint8), axis=1).view(np.int64)
+
+
 def document_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
@@ -94,12 +100,13 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     pa.array(np.array(sums, np.uint64).view(np.int64)),
                     pa.array(np.array(others, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(ends, np.concatenate(signed)),
+                    *(pa.array(part) for part in low_bits(np.stack(signed)).T),
                 ],
-                ["doc_id", "k", "n", "h", "g", "signature"],
+                ["doc_id", "k", "n", "h", "g", "signature", "low", "high"],
             )
 
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("k"))
-    found = rows.mapInArrow(sign, "doc_id long, k long, n long, h long, g long, signature array<int>")
+    found = rows.mapInArrow(sign, "doc_id long, k long, n long, h long, g long, signature array<int>, low long, high long")
     return found.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("h", "g", "n"))).drop("h", "g")
 
 
@@ -144,7 +151,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = written(
         signed.filter("node is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.max("n").alias("n"), F.first("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"), F.first("signature").alias("signature"))
         .withColumn("member", F.struct("least", "node", "n")),
         "classes",
     )
@@ -163,6 +170,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         several = rows.join(seen.filter("size > 2").select("tree", "region", "size", "leader"), ["tree", "region"])
         several = written(several, "members")
         pairs.append(several.select("leader", "member"))
+        central = several.groupBy(F.col("member.node").alias("node")).agg(F.sum("size").alias("central"))
+        ranked = several.withColumn("node", F.col("member.node")).join(written(central, "central"), "node")
+        hubs = ranked.groupBy("tree", "region").agg(F.max(F.struct("central", "member")).alias("hub"))
+        hubs = written(hubs.select("tree", "region", F.col("hub.member").alias("leader")), "hubs")
+        pairs.append(several.drop("leader").join(hubs, ["tree", "region"]).select("leader", "member"))
         last = depth == DEPTHS[-1]
         crowded.append(several if last else several.filter(F.col("size") <= DENSE))
         dense = several.filter(F.col("size") > DENSE).select(F.col("member.node").alias("node")).distinct()
@@ -189,12 +201,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     mixed = inside.groupBy("tree", "region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = inside.join(written(mixed.filter("low < high").select("tree", "region"), "mixed"), ["tree", "region"], "left_semi")
+    mixed = mixed.withColumn("node", F.col("member.node")).join(classes.select("node", "low", "high"), "node").drop("node")
     mixed = written(mixed, "unsettled")
-    one = mixed.select("tree", "region", F.col("member").alias("leader"), F.col("component").alias("one"))
-    two = mixed.select("tree", "region", "member", F.col("component").alias("two"))
+    one = mixed.select("tree", "region", F.col("member").alias("leader"), F.struct("component", "low", "high").alias("one"))
+    two = mixed.select("tree", "region", "member", F.struct("component", "low", "high").alias("two"))
     an, bn = F.col("leader.n"), F.col("member.n")
+    differing = F.bit_count(F.col("one.low").bitwiseXOR(F.col("two.low"))) + F.bit_count(F.col("one.high").bitwiseXOR(F.col("two.high")))
+    chance = (1 - percent / 100) / 2  # of one bit to differ in a pair that is just alike enough
+    most = PERMUTATIONS * chance + DEVIATIONS * (PERMUTATIONS * chance * (1 - chance)) ** 0.5
     across = one.join(two, ["tree", "region"]).filter(
-        (F.col("one") < F.col("two")) & (F.least(an, bn) * 100 >= F.greatest(an, bn) * percent)
+        (F.col("one.component") < F.col("two.component"))
+        & (F.least(an, bn) * 100 >= F.greatest(an, bn) * percent)
+        & (differing <= int(most) + 1)
     )
     second = written(distinct_pairs([across.select("leader", "member")]).join(first, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
