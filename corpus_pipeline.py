@@ -1,16 +1,78 @@
-"""The corpus pipeline; its stages follow as their operators do."""
+"""The corpus pipeline: each stage works on all that the one before it kept, and all but the last return documents.
+
+Documents without letters, or whose language stays uncertain, go; repeated lines are cut, and documents that held
+nothing else go; of near-duplicates the one with the smallest id stays; documents that hold a passage of the benchmark
+go; what is left is packed into sequences. Other columns, whatever their names, are carried along unseen.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from jumptrail.llm.decontamination import contamination, document_key
+from jumptrail.llm.language import UNDETERMINED, fit, identify
+from jumptrail.llm.lines import repeated_lines, without_lines
+from jumptrail.llm.near_duplicates import near_duplicates
+from jumptrail.llm.packing import pack_documents
+from jumptrail.shared import fresh_path
+
+LEAST_SCORE = 0.25  # what four languages share alike
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents whose language is identified."""
+    found = identify(docs.select(F.struct("*").alias("row"), "text"), fit(docs))
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut later copies of lines; a document that had no other lines goes."""
+    lines = repeated_lines(docs.select("doc_id", "text"))
+    found = without_lines(docs.select(F.struct("*").alias("row"), "doc_id", "text"), lines)
+    found = found.filter((F.col("_removed") == 0) | (F.trim("_kept") != ""))
+    row = F.col("row").withField("text", F.col("_kept"))
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length("_kept").cast(docs.schema["n_chars"].dataType))
+    return found.select(row.alias("row")).select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays; rows that repeat id and text stay once."""
+    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", document_key().alias("k"))
+    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id", "k"]).select("row.*")
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share ten words in a row, or a whole shorter item, with the benchmark go."""
+    found = contamination(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = docs.select(F.struct("*").alias("row"), document_key().alias("k"))
+    return rows.join(found.filter("contaminated").select("k").distinct(), "k", "left_anti").select("row.*")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every document's pieces in sequences."""
+    return pack_documents(docs)
+
 
-STAGES = []
+STAGES = [
+    ("language", language),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", packing),
+]
 
+# A trained network, similarity over hashes and token ids are beyond SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents; what each returns is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        path = fresh_path(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs

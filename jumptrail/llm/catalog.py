@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from jumptrail.llm.decontamination import OP1_SQL, op1_decontamination
 from jumptrail.llm.language import op2_language
+from jumptrail.llm.lines import op7_line_dedup
 from jumptrail.llm.near_duplicates import op9_near_duplicates
 from jumptrail.llm.nearest import op8_nearest
 from jumptrail.llm.packing import op3_best_fit_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_url_filters": op5_url_filters,
     "op6_training_order": op6_training_order,
+    "op7_line_dedup": op7_line_dedup,
     "op8_nearest": op8_nearest,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
