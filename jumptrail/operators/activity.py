@@ -52,7 +52,7 @@ def recent_docs(entries: DataFrame, k: int = 0) -> DataFrame:
     return _first_per_group(latest(entries), ["appid"], order, k)
 
 
-def frequent_docs(entries: DataFrame, k: int = 10) -> DataFrame:
+def frequent_docs(entries: DataFrame, k: int) -> DataFrame:
     """Documents of each AppID with the most entries: (appid, path, n, rank)."""
     counted = named(entries).groupBy("appid", "path").agg(F.count("*").alias("n"))
     return _first_per_group(counted, ["appid"], [F.desc("n"), F.asc("path")], k)

@@ -104,9 +104,10 @@ def parse_documents(df: DataFrame, column: str) -> DataFrame:
 
 
 def split_rejects(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable documents, and the raw text of the others; the run goes on either way."""
+    """Readable documents, and the others by file (host, AppID and first record where known) with their raw text."""
     broken = F.col("_corrupt_record").isNotNull()
-    rejects = docs.filter(broken).select("file", F.col("_corrupt_record").alias("raw"))
+    known = [name for name in (*IDENTITY, "first") if name in docs.columns]
+    rejects = docs.filter(broken).select(*known, "file", F.col("_corrupt_record").alias("raw"))
     return docs.filter(~broken).drop("_corrupt_record"), rejects
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from jumptrail.functions.text import file_stem
 from jumptrail.operators.appid import EXTENSION
+from jumptrail.sources.xml import partition_value
 
 
 def scan_containers(spark: SparkSession, path: str, pattern: str = "*" + EXTENSION) -> DataFrame:
@@ -32,11 +33,11 @@ def scan_export(spark: SparkSession, path: str) -> DataFrame:
         .option("recursiveFileLookup", "true")
         .load(path)
     )
-    place = F.regexp_extract
+    appid = F.coalesce(partition_value(F.col("_metadata.file_path"), "appid"), F.lit(""))
     return files.select(
-        place("path", "/host=([^/]*)/", 1).alias("host"),
-        place("path", "/appid=([^/]*)/", 1).alias("appid"),
-        F.concat(place("path", "/appid=([^/]*)/", 1), F.lit(".xml")).alias("file"),
+        F.coalesce(partition_value(F.col("_metadata.file_path"), "host"), F.lit("")).alias("host"),
+        appid.alias("appid"),
+        F.concat(appid, F.lit(".xml")).alias("file"),
         "length",
         F.col("modificationTime").alias("modified"),
     )

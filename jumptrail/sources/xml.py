@@ -2,67 +2,90 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jumptrail.functions.text import file_stem
-from jumptrail.operators.documents import DOCUMENT_SCHEMA, entries_of, lnks_of
+from jumptrail.operators.documents import entries_of, lnks_of, parse_documents, split_rejects
 
 ROW_TAG = "AutomaticDestinations"
 INDEX_SCHEMA = "_host string, _file string, _appid string"
 
-# One task reads a file, as XML cannot be split; so writers start a new file after this many rows.
+# Layout only: writers start a new file after this many rows.
 DOCUMENTS_PER_FILE = 2000
 INDEX_ROWS_PER_FILE = 1_000_000
 
 
-def _options(reader):
-    return (
-        reader.format("xml")
-        .option("rowTag", ROW_TAG)
-        .option("mode", "PERMISSIVE")
-        .option("ignoreSurroundingSpaces", "false")
-        .schema(DOCUMENT_SCHEMA)
-    )
+START, END = f"<{ROW_TAG}", f"</{ROW_TAG}>"
+
+# What follows the start of a document's tag: its end, or an attribute. The head of a file looks otherwise.
+_AFTER_START = r"^\s*(/?>|[\w:.-]+\s*=)"
+
+
+def _records(reader, path: str) -> DataFrame:
+    """A row per document: files are cut before every start tag, wherever a document may break off.
+
+    So a broken document costs only itself, and large files are split among tasks.
+    """
+    return reader.format("text").schema("value string").option("lineSep", START).load(path)
 
 
-def _identified(raw: DataFrame) -> DataFrame:
+def _identified(lines: DataFrame, host: str) -> DataFrame:
     """Documents with host, AppID and file.
 
-    An export by Spark says them in attributes; any other export says the AppID in the file name.
+    An export by Spark says them in attributes; any other export says the AppID in the file name, and the host in a
+    `host=` folder or by argument.
     """
-    source = F.col("_metadata.file_name")
-    appid = F.coalesce("_appid", file_stem(source))
-    return raw.select(
-        F.coalesce("_host", F.lit("")).alias("host"),
+    text, source = F.col("value"), F.col("_metadata.file_name")
+    end = F.locate(END, text)
+    whole = F.concat(F.lit(START), F.when(end > 0, F.substring(text, F.lit(1), end + len(END) - 1)).otherwise(text))
+    alone = F.regexp_extract(text, r"^[^<]*?/>", 0)
+    kept = lines.filter(F.rlike(text, F.lit(_AFTER_START))).select(
+        F.when((end == 0) & (alone != ""), F.concat(F.lit(START), alone)).otherwise(whole).alias("text"),
+        F.concat(F.lit(START), F.regexp_extract(text, r"^[^<>]*", 0), F.lit("/>")).alias("tag"),
+        source.alias("source"),
+        partition_value(F.col("_metadata.file_path"), "host").alias("folder"),
+    )
+    kept = kept.withColumn("tag", F.regexp_replace("tag", "/+>$", "/>"))
+    head = F.from_xml("tag", "_host string, _appid string, _first string", {"mode": "PERMISSIVE"})
+    named = kept.select("text", "source", "folder", head.alias("tag")).select("text", "source", "folder", "tag.*")
+    appid = F.coalesce("_appid", file_stem(F.col("source")))
+    named = named.select(
+        "text",
+        F.coalesce("_host", F.lit(host) if host else F.lit(None).cast("string"), "folder", F.lit("")).alias("host"),
         appid.alias("appid"),
         F.concat(appid, F.lit(".xml")).alias("file"),
         F.coalesce(F.col("_first").try_cast("bigint"), F.lit(0)).alias("first"),
-        "DestList",
-        "LNKs",
-        "_corrupt_record",
     )
+    return parse_documents(named, "text").drop("_host", "_appid", "_first")
+
+
+def partition_value(path: Column, key: str) -> Column:
+    """What a `key=value` folder of a file's path says, with the escapes of the path and of the folder undone."""
+    value = F.regexp_extract(path, f"/{key}=([^/]*)/", 1)
+    for _ in range(2):
+        value = F.try_url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+    return F.when(value.isin("", "__HIVE_DEFAULT_PARTITION__"), None).otherwise(value)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
+def read_documents(spark: SparkSession, path: str, host: str = "") -> DataFrame:
     """Container documents under a directory; unreadable ones have their text in _corrupt_record."""
-    return _identified(_options(spark.read).load(path))
+    return _identified(_records(spark.read, path), host)
 
 
-def stream_documents(spark: SparkSession, path: str, files_per_batch: int) -> DataFrame:
+def stream_documents(spark: SparkSession, path: str, files_per_batch: int, host: str = "") -> DataFrame:
     """`read_documents` as a stream of newly exported files."""
-    reader = _options(spark.readStream).option("maxFilesPerTrigger", files_per_batch)
-    return _identified(reader.load(path))
+    return _identified(_records(spark.readStream.option("maxFilesPerTrigger", files_per_batch), path), host)
 
 
-def read_entries(spark: SparkSession, path: str) -> DataFrame:
-    """DestList entries of all exported containers."""
-    return entries_of(read_documents(spark, path))
+def read_entries(spark: SparkSession, path: str, host: str = "") -> DataFrame:
+    """DestList entries of all exported containers that can be read."""
+    return entries_of(split_rejects(read_documents(spark, path, host))[0])
 
 
-def read_lnks(spark: SparkSession, path: str) -> DataFrame:
-    """Link records of all exported containers."""
-    return lnks_of(read_documents(spark, path))
+def read_lnks(spark: SparkSession, path: str, host: str = "") -> DataFrame:
+    """Link records of all exported containers that can be read."""
+    return lnks_of(split_rejects(read_documents(spark, path, host))[0])
 
 
 def write_documents(docs: DataFrame, path: str, per_container: bool = False) -> None:

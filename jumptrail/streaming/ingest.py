@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from jumptrail.operators.documents import entries_of, split_rejects
+from jumptrail.operators.documents import entries_of, lnks_of, split_rejects
 from jumptrail.sources.xml import stream_documents
 
 ENTRIES = "entries"
+LNKS = "lnks"
 REJECTS = "rejects"
 
 
 def stream_ingest(
-    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, files_per_batch: int = 10_000
+    spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, files_per_batch: int = 10_000, host: str = ""
 ) -> StreamingQuery:
-    """Append the entries of files not seen before, and the text of unreadable ones.
+    """Append the entries and link records of files not seen before, and the text of unreadable ones.
 
     A batch writes folders named by its number and overwrites them when it is repeated, so a
     restart from the checkpoint neither loses nor doubles rows.
@@ -24,11 +25,12 @@ def stream_ingest(
     def write_batch(docs: DataFrame, batch: int) -> None:
         good, rejects = split_rejects(docs.persist())
         entries_of(good).write.mode("overwrite").parquet(f"{out_dir}/{ENTRIES}/batch={batch}")
+        lnks_of(good).write.mode("overwrite").parquet(f"{out_dir}/{LNKS}/batch={batch}")
         rejects.write.mode("overwrite").parquet(f"{out_dir}/{REJECTS}/batch={batch}")
         docs.unpersist()
 
     return (
-        stream_documents(spark, in_dir, files_per_batch)
+        stream_documents(spark, in_dir, files_per_batch, host)
         .writeStream.foreachBatch(write_batch)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -5,7 +5,7 @@ import shutil
 from pyspark.sql import functions as F
 
 from jumptrail.operators.activity import admissible, latest, recent_docs
-from jumptrail.streaming.ingest import REJECTS, ingested, stream_ingest
+from jumptrail.streaming.ingest import LNKS, REJECTS, ingested, stream_ingest
 from jumptrail.streaming.recents import recents, stream_recents
 
 
@@ -25,6 +25,7 @@ def test_ingest_restarts_where_it_stopped(spark, tmp_path):
         stream_ingest(spark, folder, out, checkpoint, files_per_batch=1).awaitTermination()
     got = sorted((r.appid, r.position, r.path) for r in ingested(spark, out).collect())
     assert got == [("a", i + 1, f"a{i}.txt") for i in range(3)] + [("b", i + 1, f"b{i}.txt") for i in range(2)]
+    assert sorted((r.appid, r.position) for r in ingested(spark, out, LNKS).collect()) == [("a", 1), ("b", 1)]
     assert [r.file for r in ingested(spark, out, REJECTS).collect()] == ["bad.xml"]
 
 

@@ -179,3 +179,32 @@ def test_characters_xml_cannot_hold(spark, tmp_path):
     assert [(r.appid, r.path) for r in xml.read_entries(spark, path).collect()] == [("b", "fine \t\n\r é日😀")]
     assert [r.appid for r in xml.read_lnks(spark, path).collect()] == ["b"]
     assert sorted((r.host, r.file) for r in rejects.collect()) == [("H", "a.xml"), ("H", "c.xml")]
+
+
+def test_a_broken_document_costs_only_itself(spark, tmp_path):
+    def one(name, body="<DestList><DestListEntryV2 EntryNumber='1' Path='p'/></DestList><LNKs><LNK/></LNKs>", end="</AutomaticDestinations>"):
+        return f'<AutomaticDestinations host="H" appid="{name}" first="0">{body}{end}'
+
+    cut = one("cut", end="")
+    open_ = one("open", "<DestList><DestListEntryV2")
+    quoted = one("quoted", "<DestList><DestListEntryV2 Path='x/></DestList>")
+    parts = [one("a"), cut, one("b"), open_, one("c"), quoted, one("d"), "<AutomaticDestinations appid='none'/>", one("e", end="")]
+    (tmp_path / "many.xml").write_text("<?xml version='1.0'?>\n<jumpLists>\n" + "\n".join(parts))
+    good, rejects = docs.split_rejects(xml.read_documents(spark, str(tmp_path)))
+    assert sorted(r.appid for r in good.collect()) == ["a", "b", "c", "d", "none"]
+    found = {r.appid: (r.host, r.first, r.raw.strip()) for r in rejects.collect()}
+    assert found == {name: ("H", 0, text) for name, text in (("cut", cut), ("open", open_), ("quoted", quoted), ("e", parts[-1]))}
+    assert sorted(r.appid for r in xml.read_entries(spark, str(tmp_path)).collect()) == ["a", "b", "c", "d"]
+
+
+def test_host_of_foreign_exports(spark, tmp_path):
+    entry = "<AutomaticDestinations><DestList><DestListEntryV2 EntryNumber='1'/></DestList></AutomaticDestinations>"
+    lnk = "<AutomaticDestinations><LNKs><LNK/></LNKs></AutomaticDestinations>"
+    for host, text in (("A", entry), ("HO%3AST%251", lnk)):
+        (tmp_path / f"host={host}").mkdir()
+        (tmp_path / f"host={host}" / "x1.xml").write_text(text)
+    found = xml.read_documents(spark, str(tmp_path))
+    assert sorted((r.host, r.appid) for r in found.collect()) == [("A", "x1"), ("HO:ST%1", "x1")]
+    assert docs.eligible(found).collect() == []
+    named = xml.read_documents(spark, str(tmp_path / "host=A" / "x1.xml"), host="given")
+    assert [r.host for r in named.collect()] == ["given"]
