@@ -338,18 +338,36 @@ def custom_report(spark, sf_dir):
     return report.custom_report(report_rows(spark, sf_dir), sections)
 
 
+def _damaged_export(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    """An export in which the documents of one host break off among others in the same files, and those documents."""
+    docs = fx.container_documents(spark, sf_dir).select(
+        F.col("host").alias("_host"), F.col("appid").alias("_appid"), F.col("first").alias("_first"), "DestList", "LNKs"
+    )
+    text = F.to_xml(F.struct(*docs.columns), {"rowTag": xml.ROW_TAG})
+    cut = F.when(F.col("_host") == "HOST-3", F.expr("left(text, length(text) - 30)")).otherwise(F.col("text"))
+    texts = written(docs.select("_host", "_appid", "_first", text.alias("text")).withColumn("text", cut), "texts")
+    path = fresh_path(spark, "damaged")
+    texts.select("text").write.text(path)
+    return path, texts.filter("_host = 'HOST-3'")
+
+
 @query
 def rejects(spark, sf_dir):
-    """Documents as text, those of one host cut short: the broken ones, by name and length."""
-    docs = fx.container_documents(spark, sf_dir)
-    text = F.to_xml(F.struct("DestList", "LNKs"), {"rowTag": xml.ROW_TAG})
-    cut = F.when(F.col("host") == "HOST-3", F.expr("left(text, length(text) - 30)"))
-    texts = docs.select("host", "appid", "file", "first", text.alias("text")).withColumn(
-        "text", F.coalesce(cut, "text")
+    """Documents that break off inside shared files: by name, and whether their text is theirs alone."""
+    path, broken = _damaged_export(spark, sf_dir)
+    _, found = documents.split_rejects(xml.read_documents(spark, path))
+    same = F.trim(F.regexp_replace("raw", "\\s+$", "")) == F.trim(F.regexp_replace("text", "\\s+$", ""))
+    theirs = (F.col("host") == F.col("_host")) & (F.col("appid") == F.col("_appid")) & (F.col("first") == F.col("_first"))
+    return found.join(broken, theirs, "left").select(
+        F.concat_ws("/", "host", "file", "first").alias("file"), F.coalesce(same, F.lit(False)).alias("has_text")
     )
-    parsed = documents.parse_documents(texts, "text")
-    _, broken = documents.split_rejects(parsed.withColumn("file", F.concat_ws("/", "host", "file", "first")))
-    return broken.select("file", (F.length("raw") > 0).alias("has_text"))
+
+
+@query
+def survivors(spark, sf_dir):
+    """Entries of the documents beside broken ones: all of them."""
+    path, _ = _damaged_export(spark, sf_dir)
+    return xml.read_entries(spark, path).select("host", "file", "position", "path")
 
 
 # --- text and bytes ---
@@ -407,6 +425,13 @@ def stream_ingest(spark, sf_dir):
     return ingest.ingested(spark, out).drop("last_modified_text")
 
 
+@query
+def stream_ingest_lnks(spark, sf_dir):
+    out, checkpoint = fresh_path(spark, "ingested"), fresh_path(spark, "ingest-checkpoint")
+    ingest.stream_ingest(spark, _export(spark, sf_dir), out, checkpoint).awaitTermination()
+    return ingest.ingested(spark, out, ingest.LNKS)
+
+
 @query
 def stream_recents(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema

@@ -427,6 +427,13 @@ ORACLE: dict[str, str] = {
         "SELECT host, appid, appid || '.xml' AS file, position, entry_number, path, last_modified FROM entries_placed",
         "entries_placed",
     ),
+    "survivors": _sql(
+        "SELECT host, appid || '.xml' AS file, position, path FROM entries_placed WHERE host <> 'HOST-3'", "entries_placed"
+    ),
+    "stream_ingest_lnks": _sql(
+        "SELECT host, appid, appid || '.xml' AS file, position, local_base_path, name_string, arguments FROM lnks_placed",
+        "lnks_placed",
+    ),
     "stream_recents": _sql(
         "SELECT appid, path, max(last_modified) AS last_modified FROM entries WHERE lower(path) LIKE '%.txt' "
         "AND path IN (SELECT path FROM fx_known_files) GROUP BY 1, 2",
