@@ -12,9 +12,8 @@ from jumptrail.operators.ordering import ranked, with_previous
 
 CONTAINER = ("host", "appid")
 
-# Up to this many rows per group Spark cuts each group down before it shuffles
-# (the default of spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+# Up to this many rows per group Spark cuts each group down before it shuffles.
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 # What tells entries apart and keeps those of a container in document order.
@@ -27,7 +26,7 @@ def _place(entries: DataFrame) -> list[str]:
 
 def _first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int) -> DataFrame:
     """Ranked rows of each group, the first k of them; all of them for 0."""
-    if 0 < k <= GROUP_LIMIT:
+    if 0 < k <= int(df.sparkSession.conf.get(GROUP_LIMIT)):
         place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
         return df.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= k)
     placed = ranked(df, order, keys)
