@@ -6,8 +6,9 @@ the first `DEPTHS[0]` values of an order are a region; a region of more than `DE
 longer prefixes, so the depth adapts to how crowded a region is. Candidates are first each region's leaders with every
 other member, at every depth: the class of the smallest document, and the class whose regions hold the most members
 over all trees, which is the text that many copies were made from. Candidates whose signatures agree far too little
-are put aside, and the rest are confirmed on their full sets. Only members of one region that are then still in
-different components become candidates of a second pass, so a group of many copies never yields all its pairs.
+are put aside, and the rest are confirmed on their full sets. Members of one region that are then still in
+different components go through a second pass: their full sets are filed under their rarest shingles, and prefix,
+position and length filters leave the pairs to confirm, so a group of many copies never yields all its pairs.
 
 Defined results: a text without words (or null) has the empty set, no links and is its own component; two rows of one
 set are linked whatever their ids; component_id ignores null ids and is null only if all ids reachable are; kept
@@ -54,11 +55,6 @@ def signature(hashes: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.nda
     return least.view(np.int32)
 
 
-def low_bits(signatures: np.ndarray) -> np.ndarray:
-    """One bit of every value, as two 64-bit numbers a row."""
-    return np.packbits((signatures & 1).astype(np.uint8), axis=1).view(np.int64)
-
-
 def document_key() -> Column:
     return F.xxhash64("doc_id", "text")
 
@@ -100,13 +96,12 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     pa.array(np.array(sums, np.uint64).view(np.int64)),
                     pa.array(np.array(others, np.uint64).view(np.int64)),
                     pa.ListArray.from_arrays(ends, np.concatenate(signed)),
-                    *(pa.array(part) for part in low_bits(np.stack(signed)).T),
                 ],
-                ["doc_id", "k", "n", "h", "g", "signature", "low", "high"],
+                ["doc_id", "k", "n", "h", "g", "signature"],
             )
 
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("k"))
-    found = rows.mapInArrow(sign, "doc_id long, k long, n long, h long, g long, signature array<int>, low long, high long")
+    found = rows.mapInArrow(sign, "doc_id long, k long, n long, h long, g long, signature array<int>")
     return found.withColumn("node", F.when(F.col("n") > 0, F.xxhash64("h", "g", "n"))).drop("h", "g")
 
 
@@ -122,8 +117,21 @@ def alike_in_size(percent: int) -> Column:
     return F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent
 
 
+def alike(both: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets (one, two) are alike: 100 * intersection >= percent * union."""
+    same = F.size(F.array_intersect("one", "two"))
+    union = F.size("one") + F.size("two") - same
+    return both.filter(same * 100 >= union * percent).select("a", "b")
+
+
+def sets_of(keys: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """k and the full set of each document in keys (column k, unique)."""
+    texts = docs.select("text", document_key().alias("k")).join(keys, "k", "left_semi").dropDuplicates(["k"])
+    return written(shingle_sets(texts, words, "k"), "sets")
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets are alike: 100 * intersection >= percent * union."""
+    """Pairs (a, b) whose full sets are alike; those whose signatures agree far too little are put aside first."""
     share = percent / 100
     least = PERMUTATIONS * share - DEVIATIONS * (PERMUTATIONS * share * (1 - share)) ** 0.5
     agree = F.aggregate(
@@ -137,12 +145,40 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int,
         pairs.join(sides["a"], "a").join(sides["b"], "b").filter(agree >= int(least)).select("a", "ak", "b", "bk"), "likely"
     )
     wanted = written(likely.select(F.col("ak").alias("k")).union(likely.select("bk")).distinct(), "wanted")
-    texts = docs.select("text", document_key().alias("k")).join(wanted, "k", "left_semi").dropDuplicates(["k"])
-    sets = written(shingle_sets(texts, words, "k"), "sets")
-    both = likely.join(sets.toDF("ak", "one"), "ak").join(sets.toDF("bk", "two"), "bk")
-    same = F.size(F.array_intersect("one", "two"))
-    union = F.size("one") + F.size("two") - same
-    return both.filter(same * 100 >= union * percent).select("a", "b")
+    sets = sets_of(wanted, docs, words)
+    return alike(likely.join(sets.toDF("ak", "one"), "ak").join(sets.toDF("bk", "two"), "bk"), percent)
+
+
+def settled(unsettled: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Links (a, b) between different components among the rows of unsettled: node, k, component.
+
+    Every set is filed under the shared ones of its rarest shingles, so many that two sets that are alike have one in
+    common; sizes and the place of that shingle in both orders must allow the overlap. A shingle that no other set has
+    counts in the order without being filed, so copies that each changed too much on their own never become a pair.
+    """
+    held = written(unsettled.join(sets_of(unsettled.select("k"), docs, words), "k"), "unsettled")
+    tokens = held.select("node", F.explode("hashes").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("many")).filter("many > 1")
+    rare = tokens.join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("many", "token"))).alias("shared"))
+    sized = held.select("node", "component", F.size("hashes").alias("n")).join(rare, "node")
+    alone = F.col("n") - F.size("shared")
+    length = F.col("n") - F.expr(f"(n * {percent}L + 99) div 100") + 1 - alone
+    prefix = F.slice("shared", F.lit(1), F.greatest(length, F.lit(0)).cast("int"))
+    rows = sized.select("node", "component", "n", alone.alias("alone"), F.posexplode(prefix).alias("at", "shingle"))
+    rows = rows.select("node", "component", "n", F.col("shingle.token").alias("token"), (F.col("alone") + F.col("at")).alias("pos"))
+    rows = written(rows, "prefixes")
+
+    one = rows.select("token", *[F.col(name).alias(f"a_{name}") for name in ("node", "component", "n", "pos")])
+    two = rows.select("token", *[F.col(name).alias(f"b_{name}") for name in ("node", "component", "n", "pos")])
+    overlap = F.expr(f"((a_n + b_n) * {percent}L + {99 + percent}) div {100 + percent}")
+    pairs = one.join(two, "token").filter(
+        (F.col("a_component") < F.col("b_component"))
+        & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
+        & (F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos")) >= overlap)
+    )
+    pairs = written(pairs.select(F.col("a_node").alias("a"), F.col("b_node").alias("b")).distinct(), "pairs")
+    sets = held.select("node", "hashes")
+    return alike(pairs.join(sets.toDF("a", "one"), "a").join(sets.toDF("b", "two"), "b"), percent)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -151,7 +187,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     classes = written(
         signed.filter("node is not null")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.max("n").alias("n"), F.max("low").alias("low"), F.max("high").alias("high"), F.first("signature").alias("signature"))
+        .agg(F.min("doc_id").alias("least"), F.min("k").alias("k"), F.max("n").alias("n"), F.first("signature").alias("signature"))
         .withColumn("member", F.struct("least", "node", "n")),
         "classes",
     )
@@ -201,23 +237,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     )
     mixed = inside.groupBy("tree", "region").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     mixed = inside.join(written(mixed.filter("low < high").select("tree", "region"), "mixed"), ["tree", "region"], "left_semi")
-    mixed = mixed.withColumn("node", F.col("member.node")).join(classes.select("node", "low", "high"), "node").drop("node")
-    mixed = written(mixed, "unsettled")
-    one = mixed.select("tree", "region", F.col("member").alias("leader"), F.struct("component", "low", "high").alias("one"))
-    two = mixed.select("tree", "region", "member", F.struct("component", "low", "high").alias("two"))
-    an, bn = F.col("leader.n"), F.col("member.n")
-    differing = F.bit_count(F.col("one.low").bitwiseXOR(F.col("two.low"))) + F.bit_count(F.col("one.high").bitwiseXOR(F.col("two.high")))
-    chance = (1 - percent / 100) / 2  # of one bit to differ in a pair that is just alike enough
-    most = PERMUTATIONS * chance + DEVIATIONS * (PERMUTATIONS * chance * (1 - chance)) ** 0.5
-    across = one.join(two, ["tree", "region"]).filter(
-        (F.col("one.component") < F.col("two.component"))
-        & (F.least(an, bn) * 100 >= F.greatest(an, bn) * percent)
-        & (differing <= int(most) + 1)
-    )
-    second = written(distinct_pairs([across.select("leader", "member")]).join(first, ["a", "b"], "left_anti"), "pairs")
-    if not second.isEmpty():
-        links = written(links.union(confirmed(second, classes, docs, words, percent)), "links")
-        found = written(components(links), "components")
+    unsettled = mixed.select(F.col("member.node").alias("node"), "component").distinct().join(classes.select("node", "k"), "node")
+    more = written(settled(written(unsettled, "mixed"), docs, words, percent), "links")
+    if not more.isEmpty():
+        found = written(components(links.union(more)), "components")
 
     # Documents whose set or component holds more than themselves; all others are their own component.
     placed = classes.select("node", "least").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
