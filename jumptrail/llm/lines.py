@@ -34,6 +34,7 @@ from jumptrail.shared import written
 RARITY = 1 << 17
 SEEN = 200_000  # sets a task remembers having filed
 LINE_BREAK = 10
+BITS = 40  # of a word's hash, enough within a line; pairs are verified on all 64
 
 
 def line_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -44,34 +45,60 @@ def line_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.append(starts, data.size), np.diff(texts)
 
 
-def token_sets(hashed: Words, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """The distinct word hashes of every line, its text's number and its number in the text."""
-    data, bounds = raw_bytes(texts)
-    lines, many = line_bounds(data, bounds)
-    words, first = hashed(data, lines)
-    sets = [distinct(words[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-    text = np.repeat(np.arange(many.size), many)
-    return sets, text, np.arange(text.size) - np.repeat(np.cumsum(many) - many, many)
+def sorted_sets(tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of every line in order, all in one array, and how many each line has."""
+    parts, sizes = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for low in range(0, first.size - 1, 1 << (64 - BITS)):
+        bounds = first[low : low + (1 << (64 - BITS)) + 1]
+        line = np.repeat(np.arange(bounds.size - 1, dtype=np.uint64) << np.uint64(BITS), np.diff(bounds))
+        keys = distinct(line | tokens[bounds[0] : bounds[-1]])
+        parts.append(keys & np.uint64((1 << BITS) - 1))
+        sizes.append(np.bincount((keys >> np.uint64(BITS)).astype(np.int64), minlength=bounds.size - 1))
+    return np.concatenate(parts), np.concatenate(sizes)
 
 
-def set_hash(tokens: np.ndarray) -> int:
-    return int(mix(tokens ^ np.uint64(tokens.size)).sum(dtype=np.uint64).view(np.int64))
+def per_line(values: np.ndarray, sizes: np.ndarray, combine: np.ufunc) -> np.ndarray:
+    """The values of each line combined; 0 for a line without any."""
+    out = np.zeros(sizes.size, np.uint64)
+    some = np.flatnonzero(sizes)
+    if some.size:
+        out[some] = combine.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
+
+
+def set_hashes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each line's set, whatever the order of its tokens."""
+    return mix(per_line(mix(tokens), sizes, np.add) ^ sizes.astype(np.uint64)).view(np.int64)
+
+
+class Lines:
+    """The lines of a batch of texts: word hashes, where each line's begin, its text's number and its number there."""
+
+    def __init__(self, hashed: Words, texts: pa.Array) -> None:
+        data, bounds = raw_bytes(texts)
+        lines, many = line_bounds(data, bounds)
+        self.words, self.first = hashed(data, lines)
+        self.tokens = self.words >> np.uint64(64 - BITS)
+        self.text = np.repeat(np.arange(many.size), many)
+        self.line = np.arange(self.text.size) - np.repeat(np.cumsum(many) - many, many)
 
 
 def all_lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, k, line, words and set of every line that takes part."""
+    """doc_id, k, line and set of every line that takes part."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Words()
         for batch in small_batches(batches, 0):
-            sets, text, line = token_sets(hashed, batch.column(0))
-            keep = [number for number, tokens in enumerate(sets) if tokens.size >= least_words]
+            lines = Lines(hashed, batch.column(0))
+            tokens, sizes = sorted_sets(lines.tokens, lines.first)
+            keep = np.flatnonzero(sizes >= max(least_words, 1))
+            text = pa.array(lines.text[keep])
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(1).take(pa.array(text[keep])),
-                    batch.column(2).take(pa.array(text[keep])),
-                    pa.array(line[keep].astype(np.int32)),
-                    pa.array([set_hash(sets[number]) for number in keep], pa.int64()),
+                    batch.column(1).take(text),
+                    batch.column(2).take(text),
+                    pa.array(lines.line[keep].astype(np.int32)),
+                    pa.array(set_hashes(tokens, sizes)[keep]),
                 ],
                 ["doc_id", "k", "line", "set"],
             )
@@ -81,14 +108,13 @@ def all_lines(docs: DataFrame, least_words: int) -> DataFrame:
 
 
 def rarity(docs: DataFrame) -> np.ndarray:
-    """How many lines have a word of each hash bucket; the table's size is fixed."""
+    """How many words fall into each hash bucket; the table's size is fixed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, total = Words(), np.zeros(RARITY, np.int64)
         for batch in small_batches(batches, 0):
-            sets, _, _ = token_sets(hashed, batch.column(0))
-            if sets:
-                total += np.bincount((np.concatenate(sets) % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
+            words, _ = hashed(*raw_bytes(batch.column(0)))
+            total += np.bincount(((words >> np.uint64(64 - BITS)) % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
 
@@ -99,58 +125,60 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -> DataFrame:
-    """A row for each set and prefix word: token, set, n, pos, sketch, and a place where the set occurs."""
+    """A row for each set and prefix word: token (as its place in the order of rarity), set, n, pos, sketch, doc_id."""
+    by_rarity = np.argsort(counts, kind="stable").astype(np.uint64)
+    rank = np.empty(RARITY, np.uint64)
+    rank[by_rarity] = np.arange(RARITY, dtype=np.uint64)
+    bucket_bits = RARITY.bit_length() - 1
+    rest_bits = np.uint64(BITS - bucket_bits)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, seen = Words(), set()
         for batch in small_batches(batches, 0):
-            sets, text, line = token_sets(hashed, batch.column(0))
-            ids = batch.column(1)
-            tokens, rows, marks, sizes, sketches, chosen = [np.empty(0, np.uint64)], [], [], [], [], []
-            for number, words in enumerate(sets):
-                if words.size < least_words:
-                    continue
-                mark = set_hash(words)
-                if mark in seen:
-                    continue
-                seen.add(mark)
-                n = words.size
-                length = n - -(-n * percent // 100) + 1
-                order = np.lexsort((words, counts[(words % np.uint64(RARITY)).astype(np.int64)]))[:length]
-                tokens.append(words[order])
-                rows.append(length)
-                marks.append(mark)
-                sizes.append(n)
-                sketches.append(int(np.bitwise_or.reduce(np.uint64(1) << (words >> np.uint64(58)))))
-                chosen.append(number)
+            lines = Lines(hashed, batch.column(0))
+            places = rank[lines.tokens % np.uint64(RARITY)] << rest_bits | lines.tokens >> np.uint64(bucket_bits)
+            places, sizes = sorted_sets(places, lines.first)
+            rest = places & ((np.uint64(1) << rest_bits) - np.uint64(1))
+            tokens = rest << np.uint64(bucket_bits) | by_rarity[places >> rest_bits]
+            marks = set_hashes(tokens, sizes)
+            sketches = per_line(np.uint64(1) << (tokens >> np.uint64(BITS - 6)), sizes, np.bitwise_or).view(np.int64)
+            chosen = []
+            for number in np.flatnonzero(sizes >= max(least_words, 1)).tolist():
+                mark = int(marks[number])
+                if mark not in seen:
+                    seen.add(mark)
+                    chosen.append(number)
             if len(seen) > SEEN:
                 seen = set()
-            rows = np.array(rows, np.int64)
-            pos = np.arange(rows.sum()) - np.repeat(np.cumsum(rows) - rows, rows)
-            of = np.repeat(np.arange(rows.size), rows)
             chosen = np.array(chosen, np.int64)
+            n = sizes[chosen]
+            length = n - -(-n * percent // 100) + 1
+            of = np.repeat(chosen, length)
+            pos = np.arange(of.size) - np.repeat(np.cumsum(length) - length, length)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate(tokens).view(np.int64)),
-                    pa.array(np.array(marks, np.int64)[of]),
-                    pa.array(np.array(sizes, np.int32)[of]),
+                    pa.array(places[(np.cumsum(sizes) - sizes)[of] + pos].view(np.int64)),
+                    pa.array(marks[of]),
+                    pa.array(sizes[of].astype(np.int32)),
                     pa.array(pos.astype(np.int32)),
-                    pa.array(np.array(sketches, np.uint64).view(np.int64)[of]),
-                    ids.take(pa.array(text[chosen][of])),
-                    pa.array(line[chosen][of].astype(np.int32)),
+                    pa.array(sketches[of]),
+                    batch.column(1).take(pa.array(lines.text[of])),
                 ],
-                ["token", "set", "n", "pos", "sketch", "doc_id", "line"],
+                ["token", "set", "n", "pos", "sketch", "doc_id"],
             )
 
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
-    return rows.mapInArrow(prefixes, "token long, set long, n int, pos int, sketch long, doc_id long, line int")
+    return rows.mapInArrow(prefixes, "token long, set long, n int, pos int, sketch long, doc_id long")
 
 
 def store_by_token(rows: DataFrame, spark: SparkSession) -> str:
-    """The name of a table that holds the rows in buckets of their token, so joins on it need no shuffle."""
+    """The name of a table with a row for each token and set, in buckets of tokens, so joins on it need no shuffle."""
     name = f"line_prefixes_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows.repartition(buckets, "token").write.bucketBy(buckets, "token").sortBy("token").format("parquet").saveAsTable(name)
+    once = rows.repartition(buckets, "token").groupBy("token", "set").agg(
+        F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")
+    )
+    once.write.bucketBy(buckets, "token").sortBy("token").format("parquet").saveAsTable(name)
     return name
 
 
@@ -184,18 +212,20 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, percent: int,
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed = Words()
         for batch in small_batches(batches, 0):
-            found, text, line = token_sets(hashed, batch.column(0))
-            wished = [set(lines) for lines in batch.column(1).to_pylist()]
-            keep = [
-                number
-                for number, (t, n) in enumerate(zip(text.tolist(), line.tolist()))
-                if n in wished[t] and found[number].size >= least_words
-            ]
-            values = [found[number].view(np.int64) for number in keep]
-            marks = [set_hash(found[number]) for number in keep]
-            yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["set", "words"])
-
-    texts = docs.select("text", document_key().alias("k")).join(wanted, "k").dropDuplicates(["k"]).select("text", "lines")
+            lines = Lines(hashed, batch.column(0))
+            wished = batch.column(1)
+            many = np.diff(wished.offsets.to_numpy())
+            wanted_lines = wished.flatten().to_numpy().astype(np.int64)
+            begin = np.searchsorted(lines.text, np.arange(len(wished)))
+            numbers = np.repeat(begin, many) + wanted_lines
+            values = [distinct(lines.words[lines.first[one] : lines.first[one + 1]]) for one in numbers.tolist()]
+            ends = np.cumsum([0, *(one.size for one in values)]).astype(np.int32)
+            flat = np.concatenate([np.empty(0, np.uint64), *values])
+            tokens, sizes = sorted_sets(flat >> np.uint64(64 - BITS), ends)
+            words = pa.ListArray.from_arrays(ends, flat.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(set_hashes(tokens, sizes)), words], ["set", "words"])
+
+    texts = docs.select("text", document_key().alias("k")).join(wanted, "k").select("text", "lines")
     held = written(texts.mapInArrow(sets, "set long, words array<long>").dropDuplicates(["set"]), "sets")
     both = ordered.join(held.toDF("a", "one"), "a").join(held.toDF("b", "two"), "b")
     same = F.size(F.array_intersect("one", "two"))
@@ -211,11 +241,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 3) ->
     first = written(lines.groupBy("set").agg(F.min(place).alias("place")), "first")
 
     stored = store_by_token(filed(docs, rarity(docs), percent, least_words), spark)
-    rows = spark.table(stored).groupBy("token", "set").agg(
-        F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("sketch").alias("sketch"),
-        F.min("doc_id").alias("doc_id"), F.min("line").alias("line"),
-    )
-    entry = F.struct("doc_id", "line", "set", "n", "pos", "sketch")
+    rows = spark.table(stored)
+    entry = F.struct("doc_id", "set", "n", "pos", "sketch")
     leaders = rows.groupBy("token").agg(F.min(entry).alias("lead"), F.count("*").alias("many")).filter("many > 1")
     leaders = leaders.select("token", "lead.set", "lead.n", "lead.pos", "lead.sketch")
     removed = written(verified(either_way(candidates(leaders, rows, percent)), first, docs, percent, least_words), "removed")
