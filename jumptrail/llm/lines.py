@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jumptrail.llm.near_duplicates import document_key
@@ -32,11 +32,17 @@ from jumptrail.llm.text_arrays import Words, distinct, mix, raw_bytes, small_bat
 from jumptrail.shared import written
 
 RARITY = 1 << 17
+MARKS = 1 << 24  # bits of the table that says which sets to fetch
+BROADCAST_ROWS = 2_000_000
 SEEN = 200_000  # sets a task remembers having filed
 LINE_BREAK = 10
 BITS = 40  # of a word's hash, enough within a line; pairs are verified on all 64
 
 
+def last_if_null(doc_id: str) -> Column:
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
+
+
 def line_bounds(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where lines begin (with a last end), and how many lines each text has; breaks belong to the line before."""
     breaks = np.flatnonzero(data == LINE_BREAK) + 1
@@ -125,7 +131,7 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -> DataFrame:
-    """A row for each set and prefix word: token (as its place in the order of rarity), set, n, pos, sketch, doc_id."""
+    """A row for each set and prefix word: token (as its place in the order of rarity), set, n, pos, sketch, doc_id (the smallest so far)."""
     by_rarity = np.argsort(counts, kind="stable").astype(np.uint64)
     rank = np.empty(RARITY, np.uint64)
     rank[by_rarity] = np.arange(RARITY, dtype=np.uint64)
@@ -133,7 +139,7 @@ def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -
     rest_bits = np.uint64(BITS - bucket_bits)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, seen = Words(), set()
+        hashed, seen = Words(), {}
         for batch in small_batches(batches, 0):
             lines = Lines(hashed, batch.column(0))
             places = rank[lines.tokens % np.uint64(RARITY)] << rest_bits | lines.tokens >> np.uint64(bucket_bits)
@@ -141,15 +147,15 @@ def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -
             rest = places & ((np.uint64(1) << rest_bits) - np.uint64(1))
             tokens = rest << np.uint64(bucket_bits) | by_rarity[places >> rest_bits]
             marks = set_hashes(tokens, sizes)
-            sketches = per_line(np.uint64(1) << (tokens >> np.uint64(BITS - 6)), sizes, np.bitwise_or).view(np.int64)
-            chosen = []
-            for number in np.flatnonzero(sizes >= max(least_words, 1)).tolist():
-                mark = int(marks[number])
-                if mark not in seen:
-                    seen.add(mark)
+            sketches = per_line(np.uint64(1) << (tokens >> np.uint64(BITS - 6)), sizes, np.bitwise_xor).view(np.int64)
+            taking = np.flatnonzero(sizes >= max(least_words, 1))
+            ids, chosen = batch.column(1).to_numpy()[lines.text[taking]].tolist(), []
+            for number, mark, doc_id in zip(taking.tolist(), marks[taking].tolist(), ids):
+                if mark not in seen or doc_id < seen[mark]:
+                    seen[mark] = doc_id
                     chosen.append(number)
             if len(seen) > SEEN:
-                seen = set()
+                seen = {}
             chosen = np.array(chosen, np.int64)
             n = sizes[chosen]
             length = n - -(-n * percent // 100) + 1
@@ -167,7 +173,7 @@ def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -
                 ["token", "set", "n", "pos", "sketch", "doc_id"],
             )
 
-    rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"))
+    rows = docs.select("text", last_if_null("doc_id").alias("doc_id"))
     return rows.mapInArrow(prefixes, "token long, set long, n int, pos int, sketch long, doc_id long")
 
 
@@ -183,50 +189,63 @@ def store_by_token(rows: DataFrame, spark: SparkSession) -> str:
 
 
 def candidates(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
-    """Pairs of sets a, b that may be alike, from rows with equal token."""
-    left = one.select("token", *[F.col(name).alias(f"a_{name}") for name in ("set", "n", "pos", "sketch")])
-    right = two.select("token", *[F.col(name).alias(f"b_{name}") for name in ("set", "n", "pos", "sketch")])
+    """Pairs of sets a, b that may be alike, a in no later document, from rows with equal token; tie: in the same."""
+    left = one.select("token", *[F.col(name).alias(f"a_{name}") for name in ("set", "n", "pos", "sketch", "doc_id")])
+    right = two.select("token", *[F.col(name).alias(f"b_{name}") for name in ("set", "n", "pos", "sketch", "doc_id")])
     total = F.col("a_n") + F.col("b_n")
     overlap = F.ceil(total * percent / (100 + percent))
     left_over = F.least(F.col("a_n") - F.col("a_pos"), F.col("b_n") - F.col("b_pos"))
     good = (
         (F.col("a_set") != F.col("b_set"))
+        & (F.col("a_doc_id") <= F.col("b_doc_id"))
         & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
         & (left_over >= overlap)
         & (F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= total - 2 * overlap)
     )
-    return left.join(right, "token").filter(good).select(F.col("a_set").alias("a"), F.col("b_set").alias("b"))
+    tie = (F.col("a_doc_id") == F.col("b_doc_id")).alias("tie")
+    return left.join(right, "token").filter(good).select(F.col("a_set").alias("a"), F.col("b_set").alias("b"), tie)
+
+
+def marked(sets: DataFrame) -> np.ndarray:
+    """A bit for each slot that one of the sets falls into, as a table of fixed size: what it lets pass is joined by set."""
+    slot = F.expr(f"`set` & {MARKS - 1}L")
+    rows = sets.select(F.shiftright(slot, 6).alias("at"), F.expr("shiftleft(1L, cast(`set` & 63L as int))").alias("bit"))
+    found = rows.groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(MARKS // 64, np.uint64)
+    bits[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return bits
 
 
 def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, percent: int, least_words: int) -> DataFrame:
-    """Of the pairs a, b those whose sets are alike and a comes before b: the sets b."""
-    at = first.select(F.col("set").alias("a"), F.col("place").alias("a_place")), first.select(
-        F.col("set").alias("b"), F.col("place").alias("b_place")
-    )
-    ordered = written(
-        pairs.distinct().join(at[0], "a").join(at[1], "b").filter(F.col("a_place") < F.col("b_place")), "ordered"
-    )
-    wanted = ordered.select(F.col("a_place").alias("p")).union(ordered.select(F.col("b_place").alias("p"))).distinct()
-    wanted = written(wanted.groupBy("p.k").agg(F.collect_set("p.line").alias("lines")), "wanted")
+    """Of the pairs a, b (tie: first found in one document) those that are alike, a before b: the sets b."""
+    pairs = written(pairs.distinct(), "pairs")
+    at = [first.select(F.col("set").alias(side), F.col("place").alias(f"{side}_place")) for side in "ab"]
+    ties = pairs.filter("tie").join(at[0], "a").join(at[1], "b").filter("a_place < b_place").select("a", "b")
+    ordered = written(pairs.filter("not tie").select("a", "b").union(ties), "ordered")
+    wanted = marked(ordered.select(F.col("a").alias("set")).union(ordered.select("b")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Words()
+        hashed, seen = Words(), set()
         for batch in small_batches(batches, 0):
             lines = Lines(hashed, batch.column(0))
-            wished = batch.column(1)
-            many = np.diff(wished.offsets.to_numpy())
-            wanted_lines = wished.flatten().to_numpy().astype(np.int64)
-            begin = np.searchsorted(lines.text, np.arange(len(wished)))
-            numbers = np.repeat(begin, many) + wanted_lines
-            values = [distinct(lines.words[lines.first[one] : lines.first[one + 1]]) for one in numbers.tolist()]
-            ends = np.cumsum([0, *(one.size for one in values)]).astype(np.int32)
-            flat = np.concatenate([np.empty(0, np.uint64), *values])
-            tokens, sizes = sorted_sets(flat >> np.uint64(64 - BITS), ends)
-            words = pa.ListArray.from_arrays(ends, flat.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(set_hashes(tokens, sizes)), words], ["set", "words"])
-
-    texts = docs.select("text", document_key().alias("k")).join(wanted, "k").select("text", "lines")
-    held = written(texts.mapInArrow(sets, "set long, words array<long>").dropDuplicates(["set"]), "sets")
+            marks = set_hashes(*sorted_sets(lines.tokens, lines.first))
+            slots = marks.view(np.uint64) % np.uint64(MARKS)
+            there = wanted[slots >> np.uint64(6)] >> (slots & np.uint64(63)) & np.uint64(1)
+            there &= np.diff(lines.first) > 0
+            values, chosen = [np.empty(0, np.uint64)], []
+            for number in np.flatnonzero(there).tolist():
+                mark = int(marks[number])
+                if mark not in seen:
+                    seen.add(mark)
+                    chosen.append(mark)
+                    values.append(distinct(lines.words[lines.first[number] : lines.first[number + 1]]))
+            if len(seen) > SEEN:
+                seen = set()
+            ends = np.cumsum([one.size for one in values]).astype(np.int32)
+            words = pa.ListArray.from_arrays(ends, np.concatenate(values).view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.int64()), words], ["set", "words"])
+
+    held = written(docs.select("text").mapInArrow(sets, "set long, words array<long>").dropDuplicates(["set"]), "sets")
     both = ordered.join(held.toDF("a", "one"), "a").join(held.toDF("b", "two"), "b")
     same = F.size(F.array_intersect("one", "two"))
     union = F.size("one") + F.size("two") - same
@@ -237,16 +256,16 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 3) ->
     """k and line of every line to be removed, once."""
     spark = docs.sparkSession
     lines = written(all_lines(docs, least_words), "lines")
-    place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc_id"), "k", "line")
+    place = F.struct(last_if_null("doc_id").alias("doc_id"), "k", "line")
     first = written(lines.groupBy("set").agg(F.min(place).alias("place")), "first")
 
     stored = store_by_token(filed(docs, rarity(docs), percent, least_words), spark)
     rows = spark.table(stored)
     entry = F.struct("doc_id", "set", "n", "pos", "sketch")
     leaders = rows.groupBy("token").agg(F.min(entry).alias("lead"), F.count("*").alias("many")).filter("many > 1")
-    leaders = leaders.select("token", "lead.set", "lead.n", "lead.pos", "lead.sketch")
-    removed = written(verified(either_way(candidates(leaders, rows, percent)), first, docs, percent, least_words), "removed")
-    left = rows.join(removed, "set", "left_anti")
+    leaders = leaders.select("token", "lead.*")
+    removed = written(verified(both_ways(candidates(leaders, rows, percent)), first, docs, percent, least_words), "removed")
+    left = rows.join(bounded(removed), "set", "left_anti")
     more = verified(candidates(rows, left, percent), first, docs, percent, least_words)
     removed = written(removed.union(more).distinct().withColumn("alike", F.lit(True)), "removed")
     later = (
@@ -261,8 +280,14 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 3) ->
     return later
 
 
-def either_way(pairs: DataFrame) -> DataFrame:
-    return pairs.union(pairs.select("b", "a")).distinct()
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Where both are first found in one document, either may come first."""
+    return pairs.union(pairs.filter("tie").select("b", "a", "tie"))
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """Rows of one number each, broadcast where there are at most `BROADCAST_ROWS`; an ordinary join side beyond."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
 
 
 def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:

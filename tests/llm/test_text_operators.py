@@ -109,7 +109,9 @@ def test_repeated_bytes(spark, monkeypatch, crowd):
 def test_lines(spark):
     rows = [row for row in corpus() if row[0] is not None]
     rows += [(500, "a b c d e f g h i j\nx y\nx y\nA B C D E F G H I k"), (501, "the line of ten words is here now\na b c d e f g h i j")]
-    docs = documents(spark, rows)
+    variants = ["one two three four five six seven eight nine ten", "one two three four five six seven eight nine zehn"]
+    rows += [(1000 - n, f"{variants[n % 3 == 0]}\n{n} alone here") for n in range(60)]  # copies in falling order of ids
+    docs = documents(spark, rows).coalesce(1)
     found = without_lines(docs, repeated_lines(docs))
     assert set(docs.columns) <= set(found.columns)
     lines = sorted(
