@@ -7,8 +7,8 @@ on what is left, and lines of fewer than `least_words` distinct words are left a
 Lines of one set are one row of the join, however many copies there are. Words are ordered by rarity (counts in a
 table of `RARITY` hash buckets, ties by hash: a fixed order, so the filters stay exact) and a set is filed under the
 words of its prefix. A pair is a candidate if it shares a prefix word, its sizes and the positions of that word allow
-the overlap, and the bits in which the sets' sketches differ are not more than the words in which they may differ.
-Candidates are verified on their full sets. The file is stored by word, so nothing is shuffled twice. The first pass
+the overlap, and the bits in which the sets' sketches (64 bits in the file, 256 after it; each word flips one) differ
+are not more than the words in which they may differ. Candidates are verified on their full sets. The file is stored by word, so nothing is shuffled twice. The first pass
 compares each set only with the earliest set under each of its words; sets that this removes are done, and only the
 others meet everything under their words, so many variants of one line do not yield all their pairs.
 
@@ -33,6 +33,7 @@ from jumptrail.shared import written
 
 RARITY = 1 << 17
 MARKS = 1 << 24  # bits of the table that says which sets to fetch
+WIDE = ("w0", "w1", "w2", "w3")  # columns of the sketch that pairs meet before their full sets do
 BROADCAST_ROWS = 2_000_000
 SEEN = 200_000  # sets a task remembers having filed
 LINE_BREAK = 10
@@ -77,6 +78,13 @@ def set_hashes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(per_line(mix(tokens), sizes, np.add) ^ sizes.astype(np.uint64)).view(np.int64)
 
 
+def wide_sketches(words: np.ndarray) -> list[np.ndarray]:
+    """The one bit of each word, of 256: as many numbers of 64 bits as `WIDE` has names."""
+    bit = np.uint64(1) << (words & np.uint64(63))
+    part = words >> np.uint64(6) & np.uint64(len(WIDE) - 1)
+    return [np.where(part == np.uint64(number), bit, np.uint64(0)) for number in range(len(WIDE))]
+
+
 class Lines:
     """The lines of a batch of texts: word hashes, where each line's begin, its text's number and its number there."""
 
@@ -241,12 +249,27 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, percent: int,
                     values.append(distinct(lines.words[lines.first[number] : lines.first[number + 1]]))
             if len(seen) > SEEN:
                 seen = set()
-            ends = np.cumsum([one.size for one in values]).astype(np.int32)
-            words = pa.ListArray.from_arrays(ends, np.concatenate(values).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(chosen, pa.int64()), words], ["set", "words"])
+            many = np.array([one.size for one in values])
+            flat = np.concatenate(values)
+            words = pa.ListArray.from_arrays(np.cumsum(many).astype(np.int32), flat.view(np.int64))
+            wide = [per_line(part, many[1:], np.bitwise_xor).view(np.int64) for part in wide_sketches(flat)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(chosen, pa.int64()), words, *(pa.array(part) for part in wide)], ["set", "words", *WIDE]
+            )
 
-    held = written(docs.select("text").mapInArrow(sets, "set long, words array<long>").dropDuplicates(["set"]), "sets")
-    both = ordered.join(held.toDF("a", "one"), "a").join(held.toDF("b", "two"), "b")
+    schema = ", ".join(["set long", "words array<long>", *(f"{name} long" for name in WIDE)])
+    held = written(docs.select("text").mapInArrow(sets, schema).dropDuplicates(["set"]), "sets")
+    sides = [
+        held.select(F.col("set").alias(side), F.size("words").alias(f"{side}_n"), *[F.col(name).alias(f"{side}_{name}") for name in WIDE])
+        for side in "ab"
+    ]
+    total = F.col("a_n") + F.col("b_n")
+    overlap = F.ceil(total * percent / (100 + percent))
+    differing = sum(F.bit_count(F.col(f"a_{name}").bitwiseXOR(F.col(f"b_{name}"))) for name in WIDE)
+    likely = ordered.join(sides[0], "a").join(sides[1], "b").filter(differing <= total - 2 * overlap).select("a", "b")
+    likely = written(likely, "likely")
+    full = held.select("set", "words")
+    both = likely.join(full.toDF("a", "one"), "a").join(full.toDF("b", "two"), "b")
     same = F.size(F.array_intersect("one", "two"))
     union = F.size("one") + F.size("two") - same
     return both.filter(same * 100 >= union * percent).select(F.col("b").alias("set")).distinct()
