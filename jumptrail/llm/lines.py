@@ -2,9 +2,11 @@
 
 A line is the set of its distinct words (A-Z as a-z). A line is removed if a line that comes earlier (smaller doc_id,
 then smaller line number) has a Jaccard similarity of `percent` or more with it; lines are judged on the input, not
-on what is left, and lines of fewer than `least_words` distinct words are left alone.
+on what is left, and lines of fewer than `least_words` distinct words are left alone; the query leaves none alone.
 
-Lines of one set are one row of the join, however many copies there are. Words are ordered by rarity (counts in a
+Lines of one set are one row of the join, however many copies there are. A set so small that one word more or less
+already makes it too different is like none but its copies, which are found by the set's hash, so it stays out of the
+join. Words are ordered by rarity (counts in a
 table of `RARITY` hash buckets, ties by hash: a fixed order, so the filters stay exact) and a set is filed under the
 words of its prefix. A pair is a candidate if it shares a prefix word, its sizes and the positions of that word allow
 the overlap, and the bits in which the sets' sketches (64 bits in the file, 256 after it; each word flips one) differ
@@ -139,7 +141,9 @@ def rarity(docs: DataFrame) -> np.ndarray:
 
 
 def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -> DataFrame:
-    """A row for each set and prefix word: token (as its place in the order of rarity), set, n, pos, sketch, doc_id (the smallest so far)."""
+    """A row for each set and prefix word: token (as its place in the order of rarity), set, n, pos, sketch, doc_id (the smallest so far).
+
+    Sets that can only be like their copies have no row: of n words at best n are shared with a set of n + 1."""
     by_rarity = np.argsort(counts, kind="stable").astype(np.uint64)
     rank = np.empty(RARITY, np.uint64)
     rank[by_rarity] = np.arange(RARITY, dtype=np.uint64)
@@ -156,7 +160,7 @@ def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -
             tokens = rest << np.uint64(bucket_bits) | by_rarity[places >> rest_bits]
             marks = set_hashes(tokens, sizes)
             sketches = per_line(np.uint64(1) << (tokens >> np.uint64(BITS - 6)), sizes, np.bitwise_xor).view(np.int64)
-            taking = np.flatnonzero(sizes >= max(least_words, 1))
+            taking = np.flatnonzero((sizes >= max(least_words, 1)) & (sizes * 100 >= (sizes + 1) * percent))
             ids, chosen = batch.column(1).to_numpy()[lines.text[taking]].tolist(), []
             for number, mark, doc_id in zip(taking.tolist(), marks[taking].tolist(), ids):
                 if mark not in seen or doc_id < seen[mark]:
@@ -331,7 +335,7 @@ def without_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_lines (not empty), n_removed and the digest of what is kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = without_lines(docs, repeated_lines(docs))
+    found = without_lines(docs, repeated_lines(docs, least_words=1))
     digest = F.sha2(F.coalesce("_kept", F.lit("")), 256)
     return found.select(
         "doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_removed").cast("long").alias("n_removed"), digest.alias("kept_sha256")

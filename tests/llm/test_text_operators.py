@@ -12,7 +12,7 @@ import pytest
 from jumptrail.llm import suffixes
 from jumptrail.llm.components import components
 from jumptrail.llm.decontamination import benchmark_terms, build_index, contamination, near_matches
-from jumptrail.llm.lines import repeated_lines, without_lines
+from jumptrail.llm.lines import op7_line_dedup, repeated_lines, without_lines
 from jumptrail.llm.near_duplicates import near_duplicates
 from jumptrail.llm.suffixes import remove_repeats
 from pyspark.sql import functions as F
@@ -135,6 +135,34 @@ def test_lines(spark):
     assert repeated_lines(docs.limit(0)).collect() == []
 
 
+def test_line_query_removes_short_copies(spark, tmp_path):
+    texts = ["Read more\nalone\n你好世界你好世界\n\n---", "read  MORE\nx\n你好世界你好世界\n\nmore read", "a b c\nx\nd\n---\na b", "a b c d\na b"]
+    documents(spark, list(enumerate(texts))).select("doc_id", "text").write.parquet(f"{tmp_path}/documents.parquet")
+    kept = [texts[0], "x\n", "a b c\nd\na b", "a b c d"]
+    want = {(n, hashlib.sha256(text.encode()).hexdigest()) for n, text in enumerate(kept)}
+    got = op7_line_dedup(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.kept_sha256) for r in got} == want
+    assert {r.doc_id: r.n_removed for r in got} == {0: 0, 1: 3, 2: 2, 3: 1}
+
+
+@pytest.mark.parametrize("percent, least_words", [(40, 1), (70, 2), (80, 1), (100, 1)])
+def test_lines_of_few_words(spark, percent, least_words):
+    random_ = random.Random(percent)
+    rows = [(n, "\n".join(" ".join(random_.choices("abcdefgh", k=random_.randint(0, 6))) for _ in range(5))) for n in range(40)]
+    want, earlier = set(), []
+    for doc_id, text in rows:
+        for number, line in enumerate(text.split("\n")):
+            words = frozenset(line.split())
+            if len(words) >= least_words:
+                if any(100 * len(words & other) >= percent * len(words | other) for other in earlier):
+                    want.add((doc_id, number))
+                earlier.append(words)
+    docs = documents(spark, rows)
+    keys = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"))
+    found = repeated_lines(docs, percent, least_words).join(keys, "k").collect()
+    assert {(r.doc_id, r.line) for r in found} == want
+
+
 @pytest.mark.parametrize("words, percent", [(3, 85), (5, 80)])
 def test_near_duplicates(spark, words, percent):
     rows = corpus(seed=4)
