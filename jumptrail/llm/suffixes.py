@@ -68,6 +68,21 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(part[:rows], part[width - reach : width - reach + rows])
 
 
+def fingerprints(windows: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """A hash of all bytes of every run: of its first and last window, and of others between them if these leave a gap.
+
+    A run is as long as one hash stays the smallest, which has no bound where a string repeats itself."""
+    mark = mix(windows[start] * np.uint64(3) + windows[start + many - 1] * np.uint64(MULTIPLIER) + many.astype(np.uint64))
+    gap = np.flatnonzero(many > LENGTH + 1)
+    if gap.size:
+        inner = (many[gap].astype(np.int64) - 1) // LENGTH
+        first = np.cumsum(inner) - inner
+        step = np.arange(inner.sum()) - np.repeat(first, inner) + 1
+        between = windows[np.repeat(start[gap], inner) + step * LENGTH]
+        mark[gap] = mix(mark[gap] + np.add.reduceat(mix(between + step.astype(np.uint64) * np.uint64(MULTIPLIER)), first))
+    return mark
+
+
 def runs(data: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, ...]:
     """Text, start in the text, number of windows, hash and fingerprint of every run."""
     if data.size < LENGTH:
@@ -88,8 +103,7 @@ def runs(data: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     many = np.diff(np.append(first, at.size))
     start, text, key = at[first], text[first], key[first]
     windows = gram_hashes(data, LENGTH, codes)
-    mark = mix(windows[start] * np.uint64(3) + windows[start + many - 1] * np.uint64(MULTIPLIER) + many.astype(np.uint64))
-    return text, start - bounds[text], many, key, mark
+    return text, start - bounds[text], many, key, fingerprints(windows, start, many)
 
 
 def settle(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -280,7 +294,7 @@ def second_round(docs: DataFrame, again: DataFrame, buckets: int) -> DataFrame:
             windows, grams = gram_hashes(data, LENGTH, codes), sliding_least(gram_hashes(data, KEY, codes), LENGTH - KEY + 1)
             at = bounds[text] + start
             key = np.where(state[row] == 2, windows[at], grams[at])
-            mark = mix(windows[at] * np.uint64(3) + windows[at + many - 1] * np.uint64(MULTIPLIER) + many.astype(np.uint64))
+            mark = fingerprints(windows, at, many)
             entries = as_entries(key, mark, doc[text], tags[text], start, many)
             order = np.lexsort((entries["doc"], entries["print"], entries["key"]))
             kept, covered = settle(entries)

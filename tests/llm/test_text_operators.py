@@ -106,6 +106,29 @@ def test_repeated_bytes(spark, monkeypatch, crowd):
     assert remove_repeats(documents(spark, rows).limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("crowd", [2, 2048])
+def test_repeated_bytes_of_long_runs(spark, monkeypatch, crowd):
+    """Fillers whose one gram stays the smallest: two runs differ only in the middle, or in a few places."""
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    rows = []
+    for filler in " =<~!0a-":
+        rows += [(len(rows), filler * 60 + "a" + filler * 60), (len(rows) + 1, filler * 60 + "c" + filler * 60)]
+        rows += [(len(rows), filler * 400), (len(rows) + 1, f"{filler * 150}b{filler * 149}"), (len(rows) + 2, f"{filler * 149}b{filler * 150}")]
+        rows += [(len(rows), f"{filler * 100}c{filler * 70}d{filler * 200}"), (len(rows) + 1, f"{filler * 100}d{filler * 70}c{filler * 200}")]
+    first = {}
+    for doc_id, text in rows:
+        for at in range(len(text) - 49):
+            first.setdefault(text[at : at + 50], doc_id)
+    want = {}
+    for doc_id, text in rows:
+        mask = bytearray(len(text))
+        for at in range(len(text) - 49):
+            if first[text[at : at + 50]] < doc_id:
+                mask[at : at + 50] = b"\1" * 50
+        want[doc_id] = "".join(c for c, m in zip(text, mask) if not m).encode()
+    assert {r.doc_id: bytes(r.kept) for r in remove_repeats(documents(spark, rows)).collect()} == want
+
+
 def test_lines(spark):
     rows = [row for row in corpus() if row[0] is not None]
     rows += [(500, "a b c d e f g h i j\nx y\nx y\nA B C D E F G H I k"), (501, "the line of ten words is here now\na b c d e f g h i j")]
