@@ -1,7 +1,7 @@
 """The corpus pipeline: each stage works on all that the one before it kept, and all but the last return documents.
 
 Documents without letters, or whose language stays uncertain, go; repeated lines are cut, and documents that held
-no other line of three words go; of near-duplicates the one with the smallest id stays; documents that hold a passage of the benchmark
+no other words go; of near-duplicates the one with the smallest id stays; documents that hold a passage of the benchmark
 go; what is left is packed into sequences. Other columns, whatever their names, are carried along unseen.
 """
 
@@ -18,7 +18,6 @@ from jumptrail.llm.packing import pack_documents
 from jumptrail.shared import fresh_path
 
 LEAST_SCORE = 0.25  # what four languages share alike
-LEAST_WORDS = 3  # in a line that can be a repeated one
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,11 +27,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut later copies of lines; a document that is left without a line long enough to tell goes."""
-    lines = repeated_lines(docs.select("doc_id", "text"), least_words=LEAST_WORDS)
+    """Cut later copies of lines, however short; a document of which only spaces and empty lines are left goes."""
+    lines = repeated_lines(docs.select("doc_id", "text"), least_words=1)
     found = without_lines(docs.select(F.struct("*").alias("row"), "doc_id", "text"), lines)
-    telling = F.exists(F.split("_kept", "\n", -1), lambda line: F.regexp_count(line, F.lit(r"[^\x20\x09-\x0D]+")) >= LEAST_WORDS)
-    found = found.filter((F.col("_removed") == 0) | telling)
+    found = found.filter((F.col("_removed") == 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
     row = F.col("row").withField("text", F.col("_kept"))
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length("_kept").cast(docs.schema["n_chars"].dataType))

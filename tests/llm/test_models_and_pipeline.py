@@ -100,3 +100,13 @@ def test_stages_keep_clean_documents_and_columns(spark):
     assert 9003 not in kept
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert {r.doc_id for r in pieces.collect()} == kept
+
+
+def test_line_stage_keeps_documents_with_words_left(spark):
+    header = "one header of some more words"
+    texts = [f"{header}\nfirst", f"{header}\nmilk\neggs", f"{header}\n你好世界", f"{header}\n \n", f"{header}\nfirst", "eggs\nkey: value", None, " \n"]
+    docs = spark.createDataFrame([(n, text, 0) for n, text in enumerate(texts)], "doc_id long, text string, n_chars int")
+    want = {0: texts[0], 1: "milk\neggs", 2: "你好世界", 5: "key: value", 6: None, 7: " \n"}
+    found = corpus_pipeline.line_dedup(spark, docs, "").collect()
+    assert {r.doc_id: r.text for r in found} == want
+    assert all(r.n_chars == len(r.text) for r in found if r.text is not None)
