@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from jumptrail.llm.centroids import OP12_SQL, op12_centroid_clustering
+from jumptrail.llm.chat import OP13_SQL, op13_chat_formatting
 from jumptrail.llm.decontamination import OP1_SQL, op1_decontamination
 from jumptrail.llm.language import op2_language
 from jumptrail.llm.lines import op7_line_dedup
+from jumptrail.llm.middle import OP11_SQL, op11_fill_in_middle
 from jumptrail.llm.near_duplicates import op9_near_duplicates
 from jumptrail.llm.nearest import op8_nearest
 from jumptrail.llm.packing import op3_best_fit_packing
@@ -24,9 +27,15 @@ QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_toxicity": op10_toxicity,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_centroid_clustering": op12_centroid_clustering,
+    "op13_chat_formatting": op13_chat_formatting,
 }
 
 ORACLE = {
     "op1_decontamination": OP1_SQL,
     "op5_url_filters": OP5_SQL,
+    "op11_fill_in_middle": OP11_SQL,
+    "op12_centroid_clustering": OP12_SQL,
+    "op13_chat_formatting": OP13_SQL,
 }
