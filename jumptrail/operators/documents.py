@@ -11,9 +11,15 @@ LNK = (
     "COMMAND_LINE_ARGUMENTS:struct<_String:string>>"
 )
 
+# What a document says of itself, so that a reader sees whether anything is missing: its records, and in the first
+# document of a container the records of all its documents.
+DECLARED = ("ownEntries", "ownLnks", "allEntries", "allLnks")
+
 # All attributes are text: one value of a wrong type must not reject its whole container.
 DOCUMENT_SCHEMA = (
     "_host string, _appid string, _first string, "
+    + "".join(f"_{name} string, " for name in DECLARED)
+    +
     f"DestList struct<DestListEntryV2:array<{ENTRY}>>, LNKs struct<LNK:array<{LNK}>>, "
     "_corrupt_record string"
 )
@@ -38,12 +44,14 @@ def _attribute(value: str, element: str) -> Column:
     return F.when(present, F.struct(F.col(value).alias(element)))
 
 
-def documents(entries: DataFrame, lnks: DataFrame) -> DataFrame:
-    """Nested documents of flat entries and link records; both need host, appid and position.
+def documents(entries: DataFrame, lnks: DataFrame, most: int = DOCUMENT_RECORDS) -> DataFrame:
+    """Nested documents, of at most so many records each, of flat entries and link records; both need host, appid and
+    position.
 
-    `unwritable` tells documents with a character that XML cannot hold.
+    Every document says how many records it has, the first one of a container also how many all have. `unwritable`
+    tells documents with a character that XML cannot hold.
     """
-    first = F.floor((F.col("position") - 1) / DOCUMENT_RECORDS) * DOCUMENT_RECORDS
+    first = F.floor((F.col("position") - 1) / most) * most
     entry = F.struct(
         F.col("entry_number").cast("string").alias("_EntryNumber"),
         F.col("path").alias("_Path"),
@@ -55,23 +63,33 @@ def documents(entries: DataFrame, lnks: DataFrame) -> DataFrame:
         _attribute("arguments", "_String").alias("COMMAND_LINE_ARGUMENTS"),
     )
     head = [*IDENTITY, first.cast("bigint").alias("first")]
+    no_entry = F.lit(None).cast(f"struct<position:bigint,one:{ENTRY}>").alias("entry")
+    no_lnk = F.lit(None).cast(f"struct<position:bigint,one:{LNK}>").alias("lnk")
+    nothing = F.lit(None).cast("bigint")
     records = entries.select(
-        *head,
-        F.struct("position", entry.alias("one")).alias("entry"),
-        F.lit(None).cast(f"struct<position:bigint,one:{LNK}>").alias("lnk"),
-        _cannot_write(*IDENTITY, "path"),
+        *head, F.struct("position", entry.alias("one")).alias("entry"), no_lnk, _cannot_write(*IDENTITY, "path"),
+        nothing.alias("allEntries"), nothing.alias("allLnks"),
     ).unionByName(
         lnks.select(
-            *head,
-            F.lit(None).cast(f"struct<position:bigint,one:{ENTRY}>").alias("entry"),
-            F.struct("position", lnk.alias("one")).alias("lnk"),
+            *head, no_entry, F.struct("position", lnk.alias("one")).alias("lnk"),
             _cannot_write(*IDENTITY, "local_base_path", "name_string", "arguments"),
+            nothing.alias("allEntries"), nothing.alias("allLnks"),
         )
+    )
+    counts = (
+        entries.select(*IDENTITY, F.lit(1).alias("e"), F.lit(0).alias("l"))
+        .unionByName(lnks.select(*IDENTITY, F.lit(0).alias("e"), F.lit(1).alias("l")))
+        .groupBy(*IDENTITY).agg(F.sum("e").alias("allEntries"), F.sum("l").alias("allLnks"))
+    )
+    totals = counts.select(
+        *IDENTITY, F.lit(0).cast("bigint").alias("first"), no_entry, no_lnk, F.lit(False).alias("unwritable"), "allEntries", "allLnks"
     )
-    grouped = records.groupBy(*IDENTITY, "first").agg(
+    grouped = records.unionByName(totals).groupBy(*IDENTITY, "first").agg(
         F.array_sort(F.collect_list("entry")).alias("entries"),
         F.array_sort(F.collect_list("lnk")).alias("lnks"),
         F.bool_or("unwritable").alias("unwritable"),
+        F.max("allEntries").alias("allEntries"),
+        F.max("allLnks").alias("allLnks"),
     )
     return grouped.select(
         *IDENTITY,
@@ -80,6 +98,10 @@ def documents(entries: DataFrame, lnks: DataFrame) -> DataFrame:
             F.size("entries") > 0, F.struct(F.col("entries.one").alias("DestListEntryV2"))
         ).alias("DestList"),
         F.when(F.size("lnks") > 0, F.struct(F.col("lnks.one").alias("LNK"))).alias("LNKs"),
+        F.size("entries").cast("bigint").alias("ownEntries"),
+        F.size("lnks").cast("bigint").alias("ownLnks"),
+        "allEntries",
+        "allLnks",
         "unwritable",
     )
 
@@ -100,33 +122,107 @@ def parse_documents(df: DataFrame, column: str) -> DataFrame:
     """Container documents held as text in a column; the other columns stay."""
     parsed = F.from_xml(column, DOCUMENT_SCHEMA, {"mode": "PERMISSIVE", "ignoreSurroundingSpaces": "false"})
     others = [name for name in df.columns if name != column]
-    return df.select(*others, parsed.alias("_doc")).select(*others, "_doc.*")
+    # A generator, so that no filter above it makes Spark parse every document once more; the outer kind, for which
+    # Spark infers no filter of its own.
+    return df.select(*others, F.inline_outer(F.array(parsed)))
 
 
 def split_rejects(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable documents, and the others by file (host, AppID and first record where known) with their raw text."""
+    """Readable documents, and the others by file (source, host, AppID, first record and reason where known) with their raw text."""
     broken = F.col("_corrupt_record").isNotNull()
-    known = [name for name in (*IDENTITY, "first") if name in docs.columns]
+    known = [name for name in ("source", *IDENTITY, "first", "reason") if name in docs.columns]
     rejects = docs.filter(broken).select(*known, "file", F.col("_corrupt_record").alias("raw"))
     return docs.filter(~broken).drop("_corrupt_record"), rejects
 
 
+def _counted(docs: DataFrame) -> DataFrame:
+    """Documents with the numbers of records that were read from them, and whether those are the numbers they declare."""
+    n_entries = F.greatest(F.coalesce(F.size("DestList.DestListEntryV2"), F.lit(0)), F.lit(0)).cast("bigint")
+    n_lnks = F.greatest(F.coalesce(F.size("LNKs.LNK"), F.lit(0)), F.lit(0)).cast("bigint")
+    found = docs.withColumns({"n_entries": n_entries, "n_lnks": n_lnks})
+    short = F.lit(False)
+    if "_corrupt_record" in docs.columns:
+        short = F.col("_corrupt_record").isNotNull()
+    for declared, number in (("ownEntries", "n_entries"), ("ownLnks", "n_lnks")):
+        if declared in docs.columns:
+            short = short | F.coalesce(F.col(declared) != F.col(number), F.lit(False))
+    return found.withColumn("short", short)
+
+
+def _incomplete(docs: DataFrame) -> Column:
+    """In a group of all documents of a container: whether anything of it is missing."""
+    missing = F.bool_or("short")
+    if "allEntries" in docs.columns:
+        told = F.max("allEntries").isNotNull() & F.max("allLnks").isNotNull()
+        # A document that counts its records is one of several only if the first of them is there too.
+        counts = F.bool_or(F.col("ownEntries").isNotNull())
+        totals = (F.max("allEntries") != F.sum("n_entries")) | (F.max("allLnks") != F.sum("n_lnks"))
+        missing = missing | F.when(told, totals).otherwise(counts)
+    return missing
+
+
+def container_parts(docs: DataFrame, *keys: str) -> DataFrame:
+    """What was read of each container and what its documents declare, summed by container and other keys."""
+    return (
+        _counted(docs)
+        .groupBy(*keys, *IDENTITY)
+        .agg(
+            F.sum("n_entries").alias("n_entries"), F.sum("n_lnks").alias("n_lnks"), F.bool_or("short").alias("short"),
+            F.bool_or(F.col("DestList").isNotNull()).alias("has_list"), F.max("ownEntries").alias("ownEntries"),
+            F.max("allEntries").alias("allEntries"), F.max("allLnks").alias("allLnks"),
+        )
+    )
+
+
+def containers_of(parts: DataFrame) -> DataFrame:
+    """(host, appid, file, complete, eligible) from the sums of `container_parts`."""
+    found = parts.groupBy(*IDENTITY).agg(
+        F.bool_or("has_list").alias("has_list"), F.sum("n_lnks").alias("n"), _incomplete(parts).alias("incomplete")
+    )
+    return found.select(
+        *IDENTITY,
+        F.concat("appid", F.lit(".xml")).alias("file"),
+        (~F.col("incomplete")).alias("complete"),
+        (F.col("has_list") & (F.col("n") > 0) & ~F.col("incomplete")).alias("eligible"),
+    )
+
+
+def split_incomplete(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents of the containers that are whole, and all documents of the others with the reason and their text.
+
+    A container is whole if all its documents can be read and hold the records they declare, and together all that
+    the first one declares; an export that declares nothing is whole if it can be read. Documents of one container
+    must name the same host and AppID. Hand over a table, it is read twice; documents of a large container may be
+    split among tasks, as the numbers meet only in a row per container.
+    """
+    counted = _counted(docs)
+    bad = counted.groupBy(*IDENTITY).agg(_incomplete(docs).alias("incomplete")).filter("incomplete").select(*IDENTITY)
+    whole = docs.join(bad, [*IDENTITY], "left_anti").drop("_corrupt_record", "reason")
+    known = [name for name in ("source", *IDENTITY, "first", "file") if name in docs.columns]
+    reason = F.coalesce("reason", F.lit("part of an incomplete container")) if "reason" in docs.columns else F.lit("incomplete container")
+    left = docs.join(bad, [*IDENTITY], "left_semi")
+    return whole, left.select(*known, reason.alias("reason"), "raw")
+
+
 def eligible(docs: DataFrame) -> DataFrame:
-    """Containers that have a DestList and at least one link record: (host, appid, file)."""
-    parts = docs.groupBy(*IDENTITY).agg(
+    """Whole containers that have a DestList and at least one link record: (host, appid, file)."""
+    counted = _counted(docs)
+    parts = counted.groupBy(*IDENTITY).agg(
         F.bool_or(F.col("DestList").isNotNull()).alias("has_list"),
-        F.bool_or(F.coalesce(F.size("LNKs.LNK") > 0, F.lit(False))).alias("has_lnk"),
+        F.bool_or(F.col("n_lnks") > 0).alias("has_lnk"),
+        _incomplete(docs).alias("incomplete"),
     )
-    return parts.filter("has_list AND has_lnk").select(
+    return parts.filter("has_list AND has_lnk AND NOT incomplete").select(
         *IDENTITY, F.concat("appid", F.lit(".xml")).alias("file")
     )
 
 
-def entries_of(docs: DataFrame) -> DataFrame:
-    """DestList entries of the documents in document order; only version 2 has a schema."""
+def entries_of(docs: DataFrame, *others: str) -> DataFrame:
+    """DestList entries of the documents in document order, with other columns; only version 2 has a schema."""
     return docs.select(
-        *IDENTITY, "file", "first", F.posexplode("DestList.DestListEntryV2")
+        *others, *IDENTITY, "file", "first", F.posexplode("DestList.DestListEntryV2")
     ).select(
+        *others,
         *IDENTITY,
         "file",
         (F.col("first") + F.col("pos") + 1).alias("position"),
@@ -137,9 +233,10 @@ def entries_of(docs: DataFrame) -> DataFrame:
     )
 
 
-def lnks_of(docs: DataFrame) -> DataFrame:
-    """Link records of the documents; any part may be missing, the position counts them all."""
-    return docs.select(*IDENTITY, "file", "first", F.posexplode("LNKs.LNK")).select(
+def lnks_of(docs: DataFrame, *others: str) -> DataFrame:
+    """Link records of the documents, with other columns; any part may be missing, the position counts them all."""
+    return docs.select(*others, *IDENTITY, "file", "first", F.posexplode("LNKs.LNK")).select(
+        *others,
         *IDENTITY,
         "file",
         (F.col("first") + F.col("pos") + 1).alias("position"),

@@ -56,14 +56,11 @@ def unidentified(containers: DataFrame, cands: DataFrame) -> DataFrame:
 def resolve_processes(processes: DataFrame, cands: DataFrame) -> DataFrame:
     """Every process with the AppIDs of its executable; an error text where there is none.
 
-    A path_id names one path, so each variant under it has one AppID; where a table breaks that, the smallest one
-    counts. Candidates without a path_id belong to no process.
+    Where a table repeats a path_id, a process has the AppIDs of all its paths. Candidates without a path_id belong to
+    no process.
     """
-    one_each = (
-        cands.filter(F.col("path_id").isNotNull()).groupBy("path_id", "variant").agg(F.min("appid").alias("appid"))
-    )
-    # So the list per path has at most as many entries as there are variants.
-    per_path = one_each.groupBy("path_id").agg(F.collect_list(F.struct("variant", "appid")).alias("found"))
+    each = cands.filter(F.col("path_id").isNotNull()).select("path_id", "variant", "appid").distinct()
+    per_path = each.groupBy("path_id").agg(F.collect_list(F.struct("variant", "appid")).alias("found"))
     return (
         join_lookup(processes, per_path, ["path_id"], "left")
         .select("host", "pid", "process_name", F.explode_outer("found").alias("one"))

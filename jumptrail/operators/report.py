@@ -55,6 +55,32 @@ def report_rows(index: DataFrame, entries: DataFrame, lnks: DataFrame) -> DataFr
     )
 
 
+def document_rows(docs: DataFrame) -> DataFrame:
+    """`report_rows` of documents, entries and link records in one pass; columns of the container stay."""
+
+    def rows(records: Column, section: str, *paths: str) -> Column:
+        def row(record: Column, i: Column) -> Column:
+            position = (F.col("first") + i + 1).cast("bigint")
+            cells = [position.cast("string")] if section == "LNKs" else []
+            for path in paths:
+                cell = record
+                for name in path.split("."):
+                    cell = cell[name]
+                cells.append(cell)
+            cells += [F.lit(None).cast("string")] * (4 - len(cells))
+            return F.struct(
+                F.lit(section).alias("section"), position.alias("position"), *(cell.alias(f"c{n}") for n, cell in enumerate(cells, 1))
+            )
+
+        return F.coalesce(F.transform(records, row), F.array())
+
+    entries = rows(F.col("DestList.DestListEntryV2"), "DestList", "_EntryNumber", "_Path", "_LastModified")
+    lnks = rows(F.col("LNKs.LNK"), "LNKs", "LinkInfo._LocalBasePath", "NAME_STRING._String", "COMMAND_LINE_ARGUMENTS._String")
+    kept = [name for name in docs.columns if name not in ("first", "DestList", "LNKs")]
+    number = F.when(F.col("section") == "DestList", F.col("c1").try_cast("bigint").cast("string")).otherwise(F.col("c1"))
+    return docs.select(*kept, F.inline(F.concat(entries, lnks))).withColumn("c1", number)
+
+
 def custom_report(rows: DataFrame, user_fn: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Report by a transform of the user's own in place of the default one."""
     return rows.transform(user_fn)
@@ -84,13 +110,15 @@ def _row_line() -> Column:
     return line
 
 
-def report_html(rows: DataFrame) -> DataFrame:
-    """HTML lines: (host, file, appid, section, part, position, html).
+def report_html(rows: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """HTML lines: (host, file, appid, section, part, position, html), and the place in the index where rows have it.
 
     A table is a title line (part 0), a line per row (part 1) and an end line (part 2), so a long
-    table is many rows and never one value. A container has both tables, even if one is empty.
+    table is many rows and never one value. A container has both tables, even if one is empty. The
+    containers come from the index; without one they are looked up among the rows.
     """
-    columns = [*CONTAINER, "appid", "section", "part", "position", "html"]
+    place = ["place"] if "place" in rows.columns else []
+    columns = [*CONTAINER, "appid", *place, "section", "part", "position", "html"]
     lines = rows.withColumn("part", F.lit(1)).withColumn("html", _row_line()).select(*columns)
     frames = F.array(
         *(
@@ -99,8 +127,10 @@ def report_html(rows: DataFrame) -> DataFrame:
             for part, html in ((0, _title_line(section, titles)), (2, F.lit("</table>")))
         )
     )
+    containers = rows if index is None else index
+    containers = containers.select(*CONTAINER, "appid", *place)
     ends = (
-        rows.select(*CONTAINER, "appid").distinct()
+        (containers if index is not None else containers.distinct())
         .select("*", F.inline(frames))
         .withColumn("position", F.lit(0).cast("bigint"))
     )
@@ -108,7 +138,15 @@ def report_html(rows: DataFrame) -> DataFrame:
 
 
 def write_report(lines: DataFrame, path: str) -> None:
-    """Text files per host and AppID; in file-name order they are the report of the container."""
+    """Text files per host and AppID; in file-name order they are the report of the container.
+
+    Lines with a place in the index are written without folders: in file-name order they are one report of all
+    containers, in the order of the index.
+    """
+    if "place" in lines.columns:
+        keys = ["place", "section", "part", "position"]
+        lines.repartitionByRange(*keys).sortWithinPartitions(*keys).select("html").write.text(path)
+        return
     keys = ["host", "appid", "file", "section", "part", "position"]
     (
         lines.repartitionByRange(*keys)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jumptrail.functions import binary
@@ -17,7 +17,7 @@ from jumptrail.operators import activity, appid, documents, identify, report
 from jumptrail.plans import fixtures as fx
 from jumptrail.shared import fresh_path, written
 from jumptrail.sources import containers as files
-from jumptrail.sources import xml
+from jumptrail.sources import export, named, store, xml
 from jumptrail.streaming import ingest, recents
 
 TOP = 10
@@ -270,10 +270,14 @@ def sort_all_by_path(spark, sf_dir):
 
 @query
 def container_inventory(spark, sf_dir):
-    found = files.scan_export(spark, _new_export(spark, sf_dir, per_container=True))
-    return found.groupBy("host", "appid", "file").agg(
-        F.bool_and(F.col("length") > 0).alias("has_bytes")
-    )
+    """Container files in a folder per host; here the paths of a container's entries stand for its bytes."""
+    path = fresh_path(spark, "files")
+    found = fx.entries(spark, sf_dir).select("host", "appid", "event_id", "path")
+    name = F.concat(export.host_folder(F.col("host")), F.lit("/"), appid.file_name("appid"))
+    line = F.concat(F.coalesce("path", F.lit("")), F.lit("\n")).cast("binary")
+    rows = found.select(name.alias("name"), line.alias("content"))
+    named.write_named(rows.repartition("name").sortWithinPartitions("name"), path)
+    return files.scan_containers(spark, f"{path}/*").select("host", "appid", "file", "length")
 
 
 @query
@@ -308,22 +312,25 @@ def index_roundtrip(spark, sf_dir):
     return _index(spark, sf_dir)
 
 
+def _store(spark, sf_dir):
+    """The export parsed once into stored tables."""
+    return fx.once(spark, sf_dir, "store", lambda: store.store_export(spark, _export(spark, sf_dir)))
+
+
 @query
 def index_join(spark, sf_dir):
-    found = xml.read_entries(spark, _export(spark, sf_dir))
-    return report.index_join(_index(spark, sf_dir), found).select("host", "file", "position", "path")
+    docs = store.listed_documents(spark, _store(spark, sf_dir))
+    return documents.entries_of(docs).select("host", "file", "position", "path")
 
 
 @query
 def report_rows(spark, sf_dir):
-    path = _export(spark, sf_dir)
-    entries, lnks = xml.read_entries(spark, path), xml.read_lnks(spark, path)
-    return report.report_rows(_index(spark, sf_dir), entries, lnks)
+    return report.document_rows(store.listed_documents(spark, _store(spark, sf_dir)).drop("place"))
 
 
 @query
 def report_html(spark, sf_dir):
-    return report.report_html(report_rows(spark, sf_dir))
+    return report.report_html(report_rows(spark, sf_dir), store.stored_index(spark, _store(spark, sf_dir)))
 
 
 @query
@@ -338,6 +345,103 @@ def custom_report(spark, sf_dir):
     return report.custom_report(report_rows(spark, sf_dir), sections)
 
 
+def _reference_export(spark, sf_dir, path=None, content=None):
+    """The stored containers as a file each, perhaps with other contents than their texts."""
+    path = path or fresh_path(spark, "reference")
+    if content is None:
+        export.export_containers(spark, _store(spark, sf_dir), path)
+        return path
+    rows = export.container_texts(store.listed_documents(spark, _store(spark, sf_dir)))
+    name = F.concat(export.host_folder(F.col("host")), F.lit("/"), F.col("file"))
+    rows = rows.select(name.alias("name"), "section", "first", content.alias("content")).filter("content IS NOT NULL")
+    named.write_named(rows.repartition("name").sortWithinPartitions("name", "section", "first"), path)
+    return path
+
+
+@query
+def reference_export(spark, sf_dir):
+    """Every entry of the index with what its file holds."""
+    path = _reference_export(spark, sf_dir)
+    opened = xml.account(spark, path).select("host", "file", "n_documents", "n_entries", "n_lnks")
+    return export.read_master(spark, path).join(opened, ["host", "file"], "left")
+
+
+@query
+def index_order(spark, sf_dir):
+    return store.stored_index(spark, _store(spark, sf_dir))
+
+
+@query
+def hosts_union(spark, sf_dir):
+    """Entries of two hosts in one table, each read from its own folder; the same AppIDs occur in both."""
+    path = _reference_export(spark, sf_dir)
+    hosts = [xml.read_entries(spark, f"{path}/host={host}", host) for host in ("HOST-0", "HOST-1")]
+    return documents.union_hosts(*hosts).select("host", "file", "position", "path")
+
+
+def _odd_content() -> Column:
+    """The text of a container in an encoding, or damaged in a way, that depends on its host."""
+    text, host, section = F.col("text"), F.col("host"), F.col("section")
+    latin = F.replace(F.replace(text, F.lit("utf-8"), F.lit("ISO-8859-1")), F.lit("Doc"), F.lit("D\u00f6c"))
+    mark = F.when(section == 0, F.unhex(F.lit("FFFE"))).otherwise(F.unhex(F.lit("")))
+    return (
+        F.when(host == "HOST-1", F.concat(mark, F.encode(text, "UTF-16LE")))
+        .when(host == "HOST-2", F.when(section == 0, F.unhex(F.repeat(F.lit("00"), 500))))
+        .when(host == "HOST-3", F.when(section == 0, F.substring(text, 1, 50).cast("binary")))
+        .when(host == "HOST-4", F.encode(latin, "ISO-8859-1"))
+        .when(host == "HOST-5", F.when(section == 0, F.lit("").cast("binary")))
+        .otherwise(text.cast("binary"))
+    )
+
+
+@query
+def file_accounts(spark, sf_dir):
+    """Files in several encodings, of zeros, cut inside the start tag and empty ones: what each of them gave."""
+    found = xml.account(spark, _reference_export(spark, sf_dir, content=_odd_content()))
+    return found.select("host", "file", "n_documents", "n_rejects", "n_entries", F.concat_ws(";", "reasons").alias("reason"))
+
+
+@query
+def encoded_entries(spark, sf_dir):
+    """Entries of the files that can be read, whatever their encoding."""
+    path = _reference_export(spark, sf_dir, content=_odd_content())
+    return xml.read_entries(spark, path).select("host", "file", "position", "path")
+
+
+def _incomplete_export(spark, sf_dir):
+    """Containers in several documents; of one host every second document is broken, of another every third is gone."""
+    docs = fx.container_documents(spark, sf_dir, PIECE).select(
+        *(F.col(name).alias("_" + name) for name in ("host", "appid", "first", *documents.DECLARED)), "DestList", "LNKs"
+    )
+    text = F.to_xml(F.struct(*docs.columns), {"rowTag": xml.ROW_TAG})
+    broken = (F.col("_host") == "HOST-3") & (F.col("_first") == PIECE)
+    lost = (F.col("_host") == "HOST-5") & (F.col("_first") == 2 * PIECE)
+    path = fresh_path(spark, "incomplete")
+    rows = docs.select("_host", "_first", text.alias("text")).filter(~lost)
+    rows.select(F.when(broken, F.expr("left(text, length(text) - 30)")).otherwise(F.col("text"))).write.text(path)
+    return written(xml.read_documents(spark, path), "parsed")
+
+
+# Records of a document where containers are to have several.
+PIECE = 100
+
+
+@query
+def incomplete_containers(spark, sf_dir):
+    """Containers of which a document is broken or missing: all that is left of them is among the rejects."""
+    _, left = documents.split_incomplete(_incomplete_export(spark, sf_dir))
+    return left.groupBy("host", "file").agg(
+        F.count("*").alias("n_documents"), F.count_if(F.col("reason") == "broken document").alias("n_broken")
+    )
+
+
+@query
+def whole_containers(spark, sf_dir):
+    """Entries of the containers beside them, all of them."""
+    whole, _ = documents.split_incomplete(_incomplete_export(spark, sf_dir))
+    return documents.entries_of(whole).select("host", "file", "position", "path")
+
+
 def _damaged_export(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
     """An export in which the documents of one host break off among others in the same files, and those documents."""
     docs = fx.container_documents(spark, sf_dir).select(
@@ -432,6 +536,19 @@ def stream_ingest_lnks(spark, sf_dir):
     return ingest.ingested(spark, out, ingest.LNKS)
 
 
+@query
+def stream_rescan(spark, sf_dir):
+    """Files of one host are written again with other contents, of another with the same: what is held afterwards."""
+    out, checkpoint = fresh_path(spark, "ingested"), fresh_path(spark, "ingest-checkpoint")
+    path = _reference_export(spark, sf_dir)
+    ingest.stream_ingest(spark, path, out, checkpoint).awaitTermination()
+    changed = F.replace("text", F.lit("Doc"), F.lit("Note"))
+    again = F.when(F.col("host") == "HOST-1", changed).when(F.col("host") == "HOST-6", F.col("text"))
+    _reference_export(spark, sf_dir, path, again.cast("binary"))
+    ingest.stream_ingest(spark, path, out, checkpoint).awaitTermination()
+    return ingest.ingested(spark, out).select("host", "file", "position", "path")
+
+
 @query
 def stream_recents(spark, sf_dir):
     schema = fx.table(spark, sf_dir, "events").schema

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import Any, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jumptrail.operators.activity import with_positions
 from jumptrail.operators.appid import EXTENSION, appids
-from jumptrail.operators.documents import documents
+from jumptrail.operators.documents import DOCUMENT_RECORDS, documents
 from jumptrail.shared import fresh_path
+from jumptrail.sources.files import listed
+
+T = TypeVar("T")
 
 FX_PATHS = """
 SELECT p_partkey AS path_id, CASE p_partkey % 12
@@ -123,18 +127,34 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(f"WITH {', '.join(with_clause([name], 'text, ' + repr('UTF-8')))} SELECT * FROM {name}")
 
 
-# Tables and exports already written by this application: (application, folder, name) -> path.
-_KEPT: dict[tuple[str, str, str], str] = {}
+# What this application has already made of the tables of a folder.
+_KEPT: dict[tuple, Any] = {}
 
 
-def kept(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
-    """Path of something written once per application in the shared folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """Files, lengths and times of the tables that the views read, so that changed tables give new answers."""
+    paths = [f"{sf_dir}/{name}.parquet" for name in sorted(set(BASE.values()))]
+    files = listed(spark, paths).select("path", "length", F.col("modified").cast("string")).collect()
+    return tuple(sorted(map(tuple, files)))
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) -> T:
+    """What `make` returns, made once per application as long as the tables stay the same."""
+    key = (spark.sparkContext.applicationId, sf_dir, name, _state(spark, sf_dir))
     if key not in _KEPT:
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of something written once in the shared folder."""
+
+    def make() -> str:
         path = fresh_path(spark, name)
         write(path)
-        _KEPT[key] = path
-    return _KEPT[key]
+        return path
+
+    return once(spark, sf_dir, name, make)
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,6 +193,6 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(kept(spark, sf_dir, "containers", write))
 
 
-def container_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = documents(with_positions(entries(spark, sf_dir)), with_positions(lnks(spark, sf_dir)))
+def container_documents(spark: SparkSession, sf_dir: str, most: int = DOCUMENT_RECORDS) -> DataFrame:
+    placed = documents(with_positions(entries(spark, sf_dir)), with_positions(lnks(spark, sf_dir)), most)
     return placed.withColumn("file", F.concat("appid", F.lit(".xml")))

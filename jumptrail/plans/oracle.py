@@ -378,7 +378,51 @@ ORACLE: dict[str, str] = {
         "fx_entries",
     ),
     "container_inventory": _sql(
-        "SELECT host, appid, appid || '.xml' AS file, true AS has_bytes FROM containers", "containers"
+        f"SELECT host, appid, appid || '{EXTENSION}' AS file, sum(strlen(coalesce(path, '')) + 1)::BIGINT AS length "
+        "FROM entries GROUP BY host, appid",
+        "entries",
+    ),
+    "reference_export": _sql(
+        "SELECT host, row_number() OVER (PARTITION BY host ORDER BY file) AS place, file, appid, 1 AS n_documents, "
+        "(SELECT count(*) FROM entries e WHERE e.host = x.host AND e.appid = x.appid) AS n_entries, "
+        "(SELECT count(*) FROM lnks l WHERE l.host = x.host AND l.appid = x.appid) AS n_lnks FROM eligible x",
+        "eligible", "entries", "lnks",
+    ),
+    "index_order": _sql("SELECT host, file, appid, row_number() OVER (ORDER BY host, file) AS place FROM eligible", "eligible"),
+    "hosts_union": _sql(
+        "SELECT host, appid || '.xml' AS file, position, path FROM entries_placed SEMI JOIN eligible USING (host, appid) "
+        "WHERE host IN ('HOST-0', 'HOST-1')",
+        "entries_placed", "eligible",
+    ),
+    "file_accounts": _sql(
+        "SELECT host, file, CASE WHEN host IN ('HOST-2', 'HOST-3', 'HOST-5') THEN 0 ELSE 1 END AS n_documents, "
+        "CASE WHEN host IN ('HOST-2', 'HOST-3', 'HOST-5') THEN 1 ELSE 0 END AS n_rejects, CASE WHEN host IN ('HOST-2', 'HOST-3', 'HOST-5') "
+        "THEN 0 ELSE (SELECT count(*) FROM entries e WHERE e.host = x.host AND e.appid = x.appid) END AS n_entries, "
+        "CASE host WHEN 'HOST-2' THEN 'no document' WHEN 'HOST-3' THEN 'no document' WHEN 'HOST-5' THEN 'empty file' ELSE '' END AS reason "
+        "FROM eligible x",
+        "eligible", "entries",
+    ),
+    "encoded_entries": _sql(
+        "SELECT host, appid || '.xml' AS file, position, CASE WHEN host = 'HOST-4' THEN replace(path, 'Doc', 'D\u00f6c') ELSE path END AS path "
+        "FROM entries_placed SEMI JOIN eligible USING (host, appid) WHERE host NOT IN ('HOST-2', 'HOST-3', 'HOST-5')",
+        "entries_placed", "eligible",
+    ),
+    "incomplete_containers": _sql(
+        "SELECT host, appid || '.xml' AS file, (n + 99) // 100 - CASE WHEN host = 'HOST-5' THEN 1 ELSE 0 END AS n_documents, "
+        "CASE WHEN host = 'HOST-3' THEN 1 ELSE 0 END AS n_broken FROM (SELECT host, appid, count(*) AS n FROM entries GROUP BY ALL) c "
+        "WHERE host = 'HOST-3' AND n > 100 OR host = 'HOST-5' AND n > 200",
+        "entries",
+    ),
+    "whole_containers": _sql(
+        "SELECT host, appid || '.xml' AS file, position, path FROM entries_placed JOIN "
+        "(SELECT host, appid, count(*) AS n FROM entries GROUP BY ALL) c USING (host, appid) "
+        "WHERE NOT (host = 'HOST-3' AND n > 100 OR host = 'HOST-5' AND n > 200)",
+        "entries_placed", "entries",
+    ),
+    "stream_rescan": _sql(
+        "SELECT host, appid || '.xml' AS file, position, CASE WHEN host = 'HOST-1' THEN replace(path, 'Doc', 'Note') ELSE path END AS path "
+        "FROM entries_placed SEMI JOIN eligible USING (host, appid)",
+        "entries_placed", "eligible",
     ),
     "entries_xml_roundtrip": _sql(
         "SELECT host, appid, appid || '.xml' AS file, position, entry_number, path, last_modified FROM entries_placed",

@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from jumptrail.functions.text import file_stem
 from jumptrail.operators.appid import EXTENSION
+from jumptrail.sources.files import file_name
 from jumptrail.sources.xml import partition_value
 
 
 def scan_containers(spark: SparkSession, path: str, pattern: str = "*" + EXTENSION) -> DataFrame:
-    """Container files of one directory: (file, appid, length, modified).
+    """Container files of one directory, or of a directory per host: (host, file, appid, length, modified).
 
     The contents are never selected, so Spark lists the files and does not read them.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
-    name = F.col("_metadata.file_name")
+    name = file_name()
     return files.select(
+        F.coalesce(partition_value(F.col("_metadata.file_path"), "host"), F.lit("")).alias("host"),
         name.alias("file"),
         file_stem(name).alias("appid"),
         "length",

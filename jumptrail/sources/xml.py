@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jumptrail.functions.text import file_stem
-from jumptrail.operators.documents import entries_of, lnks_of, parse_documents, split_rejects
+from jumptrail.operators.documents import DECLARED, entries_of, lnks_of, parse_documents, split_rejects
+from jumptrail.sources.files import UTF_8, Paths, empty_files, listed, long_files, unescaped, whole_files
 
 ROW_TAG = "AutomaticDestinations"
 INDEX_SCHEMA = "_host string, _file string, _appid string"
@@ -18,46 +19,140 @@ INDEX_ROWS_PER_FILE = 1_000_000
 
 START, END = f"<{ROW_TAG}", f"</{ROW_TAG}>"
 
-# What follows the start of a document's tag: its end, or an attribute. The head of a file looks otherwise.
+# What follows the start of a document's tag: its end, or an attribute.
 _AFTER_START = r"^\s*(/?>|[\w:.-]+\s*=)"
+_STARTS = rf"^{START}[\s/>]"
 
+# What may stand around documents and is nothing lost: closing tags, comments, instructions, blanks.
+_AROUND = r"(?s)</[^<>]*>|<!--.*?-->|<\?.*?\?>|\s+"
 
-def _records(reader, path: str) -> DataFrame:
-    """A row per document: files are cut before every start tag, wherever a document may break off.
+# What stands before the first document of a long file is at most this long.
+_LONGEST_HEAD = 1 << 16
+
+_PIECE = "struct<text:string,reason:string>"
+
+
+def _piece(text: Column, reason: Column) -> Column:
+    return F.struct(text.alias("text"), reason.cast("string").alias("reason"))
+
+
+def _documents_and_rests(texts: Column) -> Column:
+    """Documents as far as their end tags, each followed by what comes after it where that is more than closing tags."""
+
+    def ended(text: Column) -> Column:
+        tag = F.locate(END, text)
+        alone = F.length(F.regexp_extract(text, rf"^{START}[^<>]*/>", 0))
+        return F.struct(text.alias("text"), F.when(tag > 0, tag + len(END) - 1).otherwise(alone).alias("end"))
+
+    def pieces(one: Column) -> Column:
+        rest = F.substring(one["text"], one["end"] + 1, F.length(one["text"]))
+        lost = F.regexp_replace(rest, _AROUND, "") != ""
+        return F.when(one["end"] == 0, F.array(_piece(one["text"], F.lit(None)))).otherwise(
+            F.array(
+                _piece(F.substring(one["text"], F.lit(1), one["end"]), F.lit(None)),
+                F.when(lost, _piece(rest, F.lit("outside any document"))).otherwise(F.lit(None)),
+            )
+        )
+
+    return F.flatten(F.transform(F.transform(texts, ended), pieces))
 
-    So a broken document costs only itself, and large files are split among tasks.
-    """
-    return reader.format("text").schema("value string").option("lineSep", START).load(path)
+
+def _short_pieces(rows: DataFrame) -> DataFrame:
+    """All documents of a file's text, and what is no document with the reason; an index file has neither."""
+    text, readable, cut = F.col("text"), F.col("readable"), F.col("cut")
+    head = F.get(cut, F.lit(0))
+    odd_head = ~F.rlike(head, F.lit(_STARTS)) & F.contains(head, F.lit(ROW_TAG))
+    first = F.when(odd_head, _piece(head, F.lit("outside any document")))
+    unread = F.concat(F.lit("cannot be read as "), F.col("encoding"))
+    # Of a file that is not all UTF-8, a document counts if nothing in it was replaced.
+    lost = F.col("encoding") != UTF_8
+    damaged = F.transform(
+        "documents", lambda p: F.when(lost | F.contains(p["text"], F.lit("\ufffd")), _piece(p["text"], unread)).otherwise(p)
+    )
+    none = F.when(F.trim(text) == "", "empty file").when(~readable, unread).otherwise("no document")
+    is_index = F.rlike(text, F.lit(r"^[^\x00]{0,2000}?<autoFiles[\s/>]"))
+    # In steps, so that each is computed once.
+    return (
+        rows.withColumn("cut", F.split(text, rf"(?={START}[\s/>])"))
+        .withColumn("found", F.when(F.rlike(head, F.lit(_STARTS)), cut).otherwise(F.slice(cut, F.lit(2), F.size(cut))))
+        .withColumn("documents", _documents_and_rests(F.col("found")))
+        .withColumn("documents", F.when(readable, F.col("documents")).otherwise(damaged))
+        .withColumn(
+            "pieces",
+            F.when(F.size("found") > 0, F.array_compact(F.concat(F.array(first), F.col("documents"))))
+            .when(is_index, F.array().cast(f"array<{_PIECE}>"))
+            .otherwise(F.array(_piece(text, none))),
+        )
+    )
+
+
+def _long_pieces(rows: DataFrame) -> DataFrame:
+    """The same of the rows of long files, which are UTF-8."""
+    text = F.col("text")
+    readable = F.is_valid_utf8(text)
+    starts = F.rlike(text, F.lit(_AFTER_START))
+    head = (F.length(text) <= _LONGEST_HEAD) & ~F.contains(text, F.lit(ROW_TAG)) & F.rlike(text, F.lit(r"^\ufeff?\s*(<|$)"))
+    whole = F.concat(F.lit(START), F.make_valid_utf8(text))
+    found = (
+        F.when(~readable, F.array(_piece(F.when(starts, whole).otherwise(F.make_valid_utf8(text)), F.lit("cannot be read as UTF-8"))))
+        .when(starts, F.array_compact(_documents_and_rests(F.array(whole))))
+        .when(head, F.array().cast(f"array<{_PIECE}>"))
+        .otherwise(F.array(_piece(text, F.lit("no document"))))
+    )
+    return rows.withColumn("pieces", found)
 
 
-def _identified(lines: DataFrame, host: str) -> DataFrame:
-    """Documents with host, AppID and file.
+def read_pieces(spark: SparkSession, paths: Paths, empty: bool = True) -> DataFrame:
+    """(path, name, length, modified, digest, pieces) of files; pieces are texts with the reason if one is no document.
 
-    An export by Spark says them in attributes; any other export says the AppID in the file name, and the host in a
-    `host=` folder or by argument.
+    Every file is a row, and has at least one piece unless it is an index. A file longer than WHOLE is several rows,
+    without a digest. Empty files have to be looked up in the listing; who needs only documents can do without.
+    """
+    names = ["path", "name", "length", "modified", "digest", "pieces"]
+    short = _short_pieces(whole_files(spark, paths))
+    long = _long_pieces(long_files(spark, paths, START)).withColumn("digest", F.lit(None).cast("string"))
+    found = short.select(names).unionByName(long.select(names))
+    if not empty:
+        return found
+    nothing = F.array(_piece(F.lit(""), F.lit("empty file")))
+    columns = [F.col("path"), unescaped(F.element_at(F.split("path", "/"), -1)), F.lit(0), F.lit(None).cast("timestamp"), F.sha2(F.lit(""), 256), nothing]
+    return found.unionByName(empty_files(spark, paths).select(*(c.alias(name) for c, name in zip(columns, names))))
+
+
+def documents_of(pieces: DataFrame, host: str = "") -> DataFrame:
+    """Documents of `read_pieces` with source (the file's path), digest, host, AppID and file; raw is their text, and
+    what is unreadable has it in _corrupt_record.
+
+    An export by Spark says host and AppID in attributes; any other export says the AppID in the file name, and the
+    host in a `host=` folder or by argument.
     """
-    text, source = F.col("value"), F.col("_metadata.file_name")
-    end = F.locate(END, text)
-    whole = F.concat(F.lit(START), F.when(end > 0, F.substring(text, F.lit(1), end + len(END) - 1)).otherwise(text))
-    alone = F.regexp_extract(text, r"^[^<]*?/>", 0)
-    kept = lines.filter(F.rlike(text, F.lit(_AFTER_START))).select(
-        F.when((end == 0) & (alone != ""), F.concat(F.lit(START), alone)).otherwise(whole).alias("text"),
-        F.concat(F.lit(START), F.regexp_extract(text, r"^[^<>]*", 0), F.lit("/>")).alias("tag"),
-        source.alias("source"),
-        partition_value(F.col("_metadata.file_path"), "host").alias("folder"),
+    # The outer kind, as for a plain one Spark would compute the pieces twice, once to filter by.
+    rows = pieces.select(
+        F.col("path").alias("source"), "digest", "name", partition_value(F.col("path"), "host").alias("folder"), F.inline_outer("pieces")
+    ).filter(F.col("text").isNotNull())
+    tag = F.when(
+        F.col("text").startswith(START), F.concat(F.regexp_extract("text", rf"^{START}[^<>]*?(?=/*>|<|$)", 0), F.lit("/>"))
     )
-    kept = kept.withColumn("tag", F.regexp_replace("tag", "/+>$", "/>"))
-    head = F.from_xml("tag", "_host string, _appid string, _first string", {"mode": "PERMISSIVE"})
-    named = kept.select("text", "source", "folder", head.alias("tag")).select("text", "source", "folder", "tag.*")
-    appid = F.coalesce("_appid", file_stem(F.col("source")))
+    head = F.from_xml(tag, "_host string, _appid string, _first string", {"mode": "PERMISSIVE"})
+    named = rows.withColumn("tag", head).select("source", "digest", "name", "text", "reason", "folder", "tag.*")
+    appid = F.coalesce("_appid", file_stem(F.col("name")))
     named = named.select(
-        "text",
+        "source",
+        "digest",
         F.coalesce("_host", F.lit(host) if host else F.lit(None).cast("string"), "folder", F.lit("")).alias("host"),
         appid.alias("appid"),
         F.concat(appid, F.lit(".xml")).alias("file"),
         F.coalesce(F.col("_first").try_cast("bigint"), F.lit(0)).alias("first"),
+        F.col("text").alias("raw"),
+        F.when(F.col("reason").isNull(), F.col("text")).alias("text"),
+        "reason",
     )
-    return parse_documents(named, "text").drop("_host", "_appid", "_first")
+    parsed = parse_documents(named, "text").drop("_host", "_appid", "_first")
+    broken = F.when(F.col("reason").isNotNull(), F.col("raw")).otherwise(F.col("_corrupt_record"))
+    reason = F.when(broken.isNotNull(), F.coalesce("reason", F.lit("broken document")))
+    return parsed.withColumns(
+        {"_corrupt_record": broken, "reason": reason, **{name: F.col("_" + name).try_cast("bigint") for name in DECLARED}}
+    ).drop(*("_" + name for name in DECLARED))
 
 
 def partition_value(path: Column, key: str) -> Column:
@@ -68,24 +163,47 @@ def partition_value(path: Column, key: str) -> Column:
     return F.when(value.isin("", "__HIVE_DEFAULT_PARTITION__"), None).otherwise(value)
 
 
-def read_documents(spark: SparkSession, path: str, host: str = "") -> DataFrame:
-    """Container documents under a directory; unreadable ones have their text in _corrupt_record."""
-    return _identified(_records(spark.read, path), host)
+def read_documents(spark: SparkSession, paths: Paths, host: str = "", empty: bool = True) -> DataFrame:
+    """Container documents of files; unreadable ones, and files without any, have their text in _corrupt_record."""
+    return documents_of(read_pieces(spark, paths, empty), host)
 
 
-def stream_documents(spark: SparkSession, path: str, files_per_batch: int, host: str = "") -> DataFrame:
-    """`read_documents` as a stream of newly exported files."""
-    return _identified(_records(spark.readStream.option("maxFilesPerTrigger", files_per_batch), path), host)
+def account(spark: SparkSession, paths: Paths, host: str = "") -> DataFrame:
+    """Every file that is there: (source, host, file, length, n_documents, n_rejects, n_entries, n_lnks, reasons).
+
+    A file has a document or a reject at least, unless it is an index; one that reading left out has the reason
+    "not read", so the listing is held against what was read.
+    """
+    docs = read_documents(spark, paths, host)
+    broken = F.col("_corrupt_record").isNotNull()
+    read = docs.groupBy("source").agg(
+        F.count_if(~broken).alias("n_documents"), F.count_if(broken).alias("n_rejects"),
+        F.sum(F.when(~broken, F.greatest(F.size("DestList.DestListEntryV2"), F.lit(0))).otherwise(0)).alias("n_entries"),
+        F.sum(F.when(~broken, F.greatest(F.size("LNKs.LNK"), F.lit(0))).otherwise(0)).alias("n_lnks"),
+        F.sort_array(F.collect_set("reason")).alias("reasons"),
+    )
+    indexes = read_pieces(spark, paths, empty=False).filter(F.size("pieces") == 0).select(F.col("path").alias("source"), F.lit(True).alias("index"))
+    files = listed(spark, paths).withColumnRenamed("path", "source").join(read, "source", "left").join(indexes.distinct(), "source", "left")
+    nothing = F.col("n_documents").isNull()
+    return files.select(
+        "source",
+        F.coalesce(partition_value(F.col("source"), "host"), F.lit(host)).alias("host"),
+        unescaped(F.element_at(F.split("source", "/"), -1)).alias("file"),
+        "length",
+        *(F.coalesce(name, F.lit(0)).cast("bigint").alias(name) for name in ("n_documents", "n_rejects", "n_entries", "n_lnks")),
+        F.when(nothing & F.col("index").isNull(), F.array(F.lit("not read")))
+        .otherwise(F.coalesce("reasons", F.array().cast("array<string>"))).alias("reasons"),
+    )
 
 
 def read_entries(spark: SparkSession, path: str, host: str = "") -> DataFrame:
     """DestList entries of all exported containers that can be read."""
-    return entries_of(split_rejects(read_documents(spark, path, host))[0])
+    return entries_of(split_rejects(read_documents(spark, path, host, empty=False))[0])
 
 
 def read_lnks(spark: SparkSession, path: str, host: str = "") -> DataFrame:
     """Link records of all exported containers that can be read."""
-    return lnks_of(split_rejects(read_documents(spark, path, host))[0])
+    return lnks_of(split_rejects(read_documents(spark, path, host, empty=False))[0])
 
 
 def write_documents(docs: DataFrame, path: str, per_container: bool = False) -> None:
@@ -99,6 +217,7 @@ def write_documents(docs: DataFrame, path: str, per_container: bool = False) ->
         F.col("host").alias("_host"),
         F.col("appid").alias("_appid"),
         F.col("first").alias("_first"),
+        *(F.col(name).alias("_" + name) for name in DECLARED if name in docs.columns),
         "DestList",
         "LNKs",
     )
