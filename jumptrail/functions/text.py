@@ -5,25 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from jumptrail.functions.crc64 import KEPT_LETTERS
+from jumptrail.functions.case import upper_letters
 
 
 def _column(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
-def _upper_letter(letter: Column) -> Column:
-    upper = F.upper(letter)
-    kept = (F.length(upper) > 1) | letter.isin(*KEPT_LETTERS) | (F.octet_length(letter) > 3)
-    return F.when(kept, letter).otherwise(upper)
-
-
 def upper_invariant(text: Column | str) -> Column:
-    """Upper case, one character to one character; only non-ASCII rows go letter by letter."""
+    """Upper case, one character to one character."""
     text = _column(text)
-    by_letter = F.array_join(F.transform(F.split(text, ""), _upper_letter), "")
+    letters = upper_letters()
+    translated = F.translate(text, "".join(letters), "".join(letters.values()))
     ascii_only = F.octet_length(text) == F.char_length(text)
-    return F.when(ascii_only, F.upper(text)).otherwise(by_letter)
+    return F.when(ascii_only, F.upper(text)).otherwise(translated)
 
 
 def appid_hex(bits: Column | str) -> Column:

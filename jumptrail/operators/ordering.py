@@ -1,8 +1,9 @@
 """Positions and neighbours in a total order, without one task per group.
 
-Rows are laid out in ranges of (keys, order) and written once to the shared folder, so every later
-step sees the same ranges even when executors are lost. A key that spans several ranges is
-stitched together with a table of at most one row per range, which is what gets broadcast.
+Rows are laid out in ranges of (keys, order), the one time they are shuffled, and written to the shared folder as a
+table bucketed by range, so every later step sees the same ranges even when executors are lost, and finds the rows of
+a range together. A key that spans several ranges is stitched together with a table of at most one row per range,
+which is what gets broadcast.
 The order must end in columns that tell all rows of a key apart.
 """
 
@@ -14,14 +15,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jumptrail.shared import written
+from jumptrail.shared import bucketed
 
 _RANGE = "_range"
 
 
 def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    spark = df.sparkSession
     ranges = df.repartitionByRange(*[F.col(key).asc_nulls_first() for key in keys], *order)
-    return written(ranges.withColumn(_RANGE, F.spark_partition_id()), "ranges")
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.table(bucketed(ranges.withColumn(_RANGE, F.spark_partition_id()), "ranges", number, [_RANGE]))
 
 
 def _stitched(rows: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFrame:

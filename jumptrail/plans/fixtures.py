@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from jumptrail.operators.activity import with_positions
 from jumptrail.operators.appid import EXTENSION, appids
 from jumptrail.operators.documents import DOCUMENT_RECORDS, documents
+from jumptrail.operators.lookup import join_lookup
 from jumptrail.shared import fresh_path
 from jumptrail.sources.files import listed
 
@@ -166,21 +167,35 @@ def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(kept(spark, sf_dir, "dictionary", write))
 
 
+# Here one application's third of the entries is hot in a table of any size, so that queries take that way too.
+FIXTURE_HOT_ROWS = 1000
+
+
 def with_appid(df: DataFrame, cands: DataFrame) -> DataFrame:
     """Adds the AppID a container of the path is named by."""
     observed = cands.filter(F.col("variant").isin("1", "")).select(
         "path_id", F.lower("appid").alias("appid")
     )
     unknown = F.concat(F.lit("0bad"), F.col("path_id").cast("string"))
-    return df.join(observed, "path_id", "left").withColumn("appid", F.coalesce("appid", unknown))
+    found = join_lookup(df, observed, ["path_id"], "left", FIXTURE_HOT_ROWS)
+    return found.withColumn("appid", F.coalesce("appid", unknown))
+
+
+def _with_appid(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view with AppIDs as a written table, as hot keys are looked for where it is joined."""
+
+    def write(path: str) -> None:
+        with_appid(view(spark, sf_dir, name), dictionary(spark, sf_dir)).write.parquet(path)
+
+    return spark.read.parquet(kept(spark, sf_dir, f"{name}-with-appid", write))
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_appid(view(spark, sf_dir, "fx_entries"), dictionary(spark, sf_dir))
+    return _with_appid(spark, sf_dir, "fx_entries")
 
 
 def lnks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_appid(view(spark, sf_dir, "fx_lnks"), dictionary(spark, sf_dir))
+    return _with_appid(spark, sf_dir, "fx_lnks")
 
 
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# What each application has made in its shared folder, and the tables it keeps there.
+_MADE: dict[int, list[str]] = {}
+_TABLES: dict[int, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(id(spark.sparkContext), []).append(path)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -31,3 +39,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, keys: Sequence[str]) -> str:
+    """The rows as a bucketed and sorted table in the shared folder; its name."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    _TABLES.setdefault(id(spark.sparkContext), []).append(table)
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", fresh_path(spark, name)).saveAsTable(table)
+    return table
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or a folder, where there is one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder; results not yet computed can no longer be."""
+    application = id(spark.sparkContext)
+    for table in _TABLES.pop(application, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    for path in _MADE.pop(application, []):
+        remove(spark, path)

@@ -9,7 +9,6 @@ has what could not be read and all documents of containers that are not whole.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 
 from jumptrail.operators.documents import container_parts, containers_of, split_incomplete
 from jumptrail.operators.ordering import ranked
-from jumptrail.shared import fresh_path, written
+from jumptrail.shared import bucketed, fresh_path, written
 from jumptrail.sources.files import Paths
 from jumptrail.sources.xml import documents_of, read_pieces
 
@@ -35,16 +34,7 @@ class Store:
 
 
 def _bucketed(df: DataFrame, name: str, buckets: int) -> str:
-    spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}"
-    (
-        df.repartition(buckets, *KEY)
-        .write.bucketBy(buckets, *KEY)
-        .sortBy(*KEY)
-        .option("path", fresh_path(spark, name))
-        .saveAsTable(table)
-    )
-    return table
+    return bucketed(df.repartition(buckets, *KEY), name, buckets, KEY)
 
 
 def store_export(spark: SparkSession, paths: Paths, host: str = "", buckets: int | None = None) -> Store:

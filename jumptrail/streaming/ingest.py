@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jumptrail.operators.documents import container_parts, containers_of, entries_of, lnks_of, split_rejects
+from jumptrail.shared import fresh_path, remove
 from jumptrail.sources.files import listed
 from jumptrail.sources.xml import documents_of, read_pieces
 
@@ -89,7 +90,10 @@ def _write_batch(spark: SparkSession, out_dir: str, host: str) -> Callable[[Data
         locations = [row["location"] for row in changes.filter("NOT gone").select("location").collect()]
         before = _stored(spark, f"{out_dir}/{FILES}", FILE).filter(F.col("batch") < batch)
         before = _last(before.join(F.broadcast(changes.select("path")), "path", "left_semi"), "batch")
-        docs = _documents(spark, locations, host).drop("raw").persist()
+        # Written once, as all the tables below read it; it goes when the batch is done.
+        parsed = fresh_path(spark, "parsed")
+        _documents(spark, locations, host).drop("raw").write.parquet(parsed)
+        docs = spark.read.parquet(parsed)
         broken = F.col("_corrupt_record").isNotNull()
         read = docs.groupBy(F.col("source").alias("path")).agg(
             F.max("digest").alias("digest"), F.count_if(~broken).alias("n_documents"), F.count_if(broken).alias("n_rejects")
@@ -112,8 +116,9 @@ def _write_batch(spark: SparkSession, out_dir: str, host: str) -> Callable[[Data
         put(rejects, REJECTS)
         put(container_parts(docs_new, "source"), PARTS)
         put(files, FILES)
-        for table in (changes, docs, files):
+        for table in (changes, files):
             table.unpersist()
+        remove(spark, parsed)
 
     return write
 

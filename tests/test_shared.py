@@ -1,9 +1,13 @@
 from __future__ import annotations
 
+import os
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import functions as F
 
+from jumptrail import shared
+from jumptrail.operators.ordering import ranked
 from jumptrail.shared import fresh_path, shared_folder, written
 
 
@@ -26,3 +30,24 @@ def test_written_rows_come_back(spark):
     df = spark.createDataFrame([(1, "a"), (None, None)], "n bigint, t string")
     assert sorted(map(tuple, written(df, "t").collect()), key=str) == [(1, "a"), (None, None)]
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_release_leaves_nothing_behind(spark, monkeypatch):
+    monkeypatch.setattr(shared, "_MADE", {})
+    monkeypatch.setattr(shared, "_TABLES", {})
+    folder = shared_folder(spark).removeprefix("file:")
+    tables = {row.tableName for row in spark.sql("SHOW TABLES").collect()}
+    before = set(os.listdir(folder))
+    assert ranked(spark.range(50), [F.desc("id")]).count() == 50
+    written(spark.range(3), "three")
+    assert len(set(os.listdir(folder)) - before) == 2
+    shared.release(spark)
+    assert set(os.listdir(folder)) == before
+    assert {row.tableName for row in spark.sql("SHOW TABLES").collect()} == tables
+
+
+def test_ranks_shuffle_rows_once(spark):
+    plan = ranked(spark.range(50).withColumn("k", F.col("id") % 3), [F.desc("id")], ["k"])._jdf.queryExecution().executedPlan().toString()
+    # What is left to shuffle are counts: a row per key and range.
+    left = [line for line in plan.splitlines() if " Exchange " in line]
+    assert "Window [row_number()" in plan and all("hashpartitioning(k" in line for line in left)

@@ -48,6 +48,30 @@ def test_hot_keys_are_bounded_and_repeatable(spark, fact, monkeypatch):
     assert len(first) == 3 and "hot" in first and None not in first and first == second
 
 
+def test_more_hot_keys_than_the_bound(spark, fact, monkeypatch):
+    monkeypatch.setattr(lookup, "HOT_KEYS", 5)
+    dim = fact.select("k").distinct().dropna().withColumn("v", F.length("k"))
+    assert len(lookup.hot_hashes(fact, ["k"], 2)) == 5
+    for how in ("inner", "left", "left_anti"):
+        got, want = join_lookup(fact, dim.filter("k <> 'k8'"), ["k"], how, min_rows=2), fact.join(dim.filter("k <> 'k8'"), ["k"], how)
+        assert got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+
+
+def test_a_table_that_repeats_hot_keys_is_not_broadcast(spark, fact, monkeypatch):
+    monkeypatch.setattr(lookup, "HOT_KEYS", 5)
+    dim = spark.range(30).select(F.lit("hot").alias("k"), F.col("id").alias("v"))
+    got = join_lookup(fact, dim, ["k"], "inner", min_rows=100)
+    assert "_hot" not in got._jdf.queryExecution().toString() and got.count() == 2000 * 30
+
+
+def test_only_sketches_move_before_the_join(spark, fact, monkeypatch):
+    wide = spark.range(200_000).select((F.col("id") % 150_000).alias("k")).unionByName(spark.range(60_000).select(F.lit(7).alias("k")))
+    assert lookup.hot_hashes(wide, ["k"], 5_000) == [spark.range(1).select(F.xxhash64(F.lit(7).cast("bigint"))).first()[0]]
+    assert lookup.hot_hashes(wide, ["k"], 80_000) == []
+    plain = join_lookup(wide, spark.range(10).withColumnRenamed("id", "k"), ["k"], "inner")
+    assert "Union" not in plain._jdf.queryExecution().analyzed().toString().split("Join")[0]
+
+
 @pytest.mark.parametrize("keys", [(), ("k",), ("k", "k2")])
 def test_rank_equals_window(fact, keys):
     order = [F.desc("k2"), F.asc("id")]

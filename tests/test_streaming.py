@@ -54,3 +54,39 @@ def test_recents_equal_batch_after_restart_and_repeat(spark, tmp_path):
     assert again.exceptAll(want).count() == 0 and want.exceptAll(again).count() == 0
     top = {(r.appid, r["rank"]) for r in recent_docs(again, 2).collect()}
     assert ("hot", 1) in top and ("hot", 2) in top and ("hot", 3) not in top
+
+
+def test_folders_grow_with_the_logarithm_of_the_batches(spark, tmp_path, monkeypatch):
+    from jumptrail.streaming import recents as module
+
+    def rows(n):
+        return spark.createDataFrame([("a", f"d{n % 7}", n)], "appid string, path string, last_modified int").withColumn(
+            "last_modified", F.expr("timestamp_ntz'2024-01-01' + make_interval(0,0,0,0,0,last_modified,0)")
+        )
+
+    out = str(tmp_path / "out")
+    for n in range(17):
+        module.append(spark, rows(n), out)
+        folders = module.Manifest(spark, out).folders()
+        assert len(folders) <= 7 and [level for level, _ in folders] == sorted((level for level, _ in folders), reverse=True)
+    assert [level for level, _ in folders] == [2, 0]
+    want = {f"d{n % 7}": n for n in range(17)}
+    got = {r.path: r.last_modified.minute for r in recents(spark, out).collect()}
+    assert got == want
+    # What a crash leaves behind: a folder that no manifest names, and a manifest that was never put in place.
+    rows(59).write.parquet(f"{out}/level=0-orphan")
+    (tmp_path / "out" / "_manifest" / ".half").write_text("[[0, ")
+    assert {r.path: r.last_modified.minute for r in recents(spark, out).collect()} == want
+    # A crash between writing and committing: nothing counts until the next batch, which repeats it.
+    monkeypatch.setattr(module.Manifest, "commit", lambda self, folders: (_ for _ in ()).throw(OSError("crash")))
+    try:
+        module.append(spark, rows(30), out)
+    except OSError:
+        pass
+    monkeypatch.undo()
+    assert {r.path: r.last_modified.minute for r in recents(spark, out).collect()} == want
+    module.append(spark, rows(30), out)
+    module.append(spark, rows(30), out)
+    assert {r.path: r.last_modified.minute for r in recents(spark, out).collect()} == want | {"d2": 30}
+    left = [name for name in (p.name for p in (tmp_path / "out").iterdir()) if name != "_manifest"]
+    assert "level=0-orphan" not in left and len(left) <= 8
