@@ -35,7 +35,7 @@ KEY = 24
 BATCH = 32 << 20  # bytes of text in a batch
 CROWD = 2048  # different runs of one hash in a range from which their windows are dealt alone
 
-ENTRY = np.dtype([("key", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("tag", "<u2"), ("start", "<i4"), ("many", "<i4")])
+ENTRY = np.dtype([("key", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("many", "<i4")])
 
 
 def gram_hashes(data: np.ndarray, size: int, codes: np.ndarray) -> np.ndarray:
@@ -172,7 +172,7 @@ def spans_batch(entries: np.ndarray, state: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array(entries["doc"]),
-            pa.array(entries["tag"].astype(np.int32)),
+            pa.array(entries["tag"].astype(np.int64)),
             pa.array(entries["start"]),
             pa.array(entries["many"]),
             pa.array(np.full(entries.size, state, np.int32)),
@@ -181,7 +181,7 @@ def spans_batch(entries: np.ndarray, state: int) -> pa.RecordBatch:
     )
 
 
-SPANS = "doc_id long, tag int, start int, many int, state int"
+SPANS = "doc_id long, tag long, start int, many int, state int"
 DEALT = "bucket int, part binary, covered boolean, texts binary"
 
 
@@ -207,7 +207,7 @@ def dealt(entries: np.ndarray, buckets: int, texts: list[bytes] | None = None, c
 
 def tag() -> Column:
     """Tells texts under one id apart."""
-    return F.pmod(F.xxhash64("text"), F.lit(1 << 16)).cast("int")
+    return F.xxhash64("text")
 
 
 def as_entries(key: np.ndarray, mark: np.ndarray, doc: np.ndarray, tags: np.ndarray, start: np.ndarray, many: np.ndarray) -> np.ndarray:

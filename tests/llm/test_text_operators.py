@@ -222,3 +222,16 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     want = dict.fromkeys(range(1, 61), 1) | dict.fromkeys(range(100, 160), 100) | {200: 200, 201: 200}
     assert got == want
+
+
+def test_texts_under_one_id_whose_hashes_are_alike_in_part(spark):
+    from jumptrail.llm.suffixes import remove_repeats
+
+    short = F.pmod(F.xxhash64("text"), F.lit(1 << 16))
+    a = "the first text, which a document with a smaller id has as well, word for word"
+    same = spark.range(1).select(F.lit(a).alias("text")).select(short).first()[0]
+    b = "another text of some length, of which nothing stands anywhere else; number "
+    other = spark.range(400_000).select(F.concat(F.lit(b), F.col("id").cast("string"), F.lit(" " + b[::-1] * 8)).alias("text"))
+    alike = other.filter(short == same).first()["text"]
+    found = remove_repeats(spark.createDataFrame([(1, a), (5, a), (5, alike)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in found) == sorted([(1, len(a), 0), (5, len(a), len(a)), (5, len(alike), 0)])
