@@ -20,10 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from jumptrail.llm.language import is_held_out
 from jumptrail.llm.samples import bounded_sample
 from jumptrail.llm.text_arrays import Words, byte_codes, distinct, raw_bytes, shingles, small_batches
+from jumptrail.shared import written
 
 SAMPLE = 12_000
 LEARNED = 400  # hashes of the learned lexicon, at most
@@ -192,18 +194,26 @@ class Trees:
 
 
 class Isotonic:
-    """A rising line through the shares of neighbouring outputs, pooled until they rise."""
+    """A rising line through the shares of neighbouring outputs, pooled until they rise.
+
+    Equal outputs are one pool from the start, so their order does not matter; shares are smoothed before they are
+    compared, so the line never falls."""
 
     def __init__(self, outputs: np.ndarray, labels: np.ndarray) -> None:
-        order = np.argsort(outputs, kind="stable")
-        pools: list[list[float]] = []
-        for x, y in zip(outputs[order], labels[order]):
-            pools.append([x, y, 1.0])
-            while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-                x, y, n = pools.pop()
-                pools[-1] = [pools[-1][0] + x, pools[-1][1] + y, pools[-1][2] + n]
+        values, first, each = np.unique(outputs, return_inverse=True, return_counts=True)
+        toxic = np.bincount(first, weights=labels, minlength=values.size)
+        pools: list[tuple[float, float, float]] = []
+        for x, y, n in zip(values * each, toxic, each):
+            while pools and self.share(*pools[-1][1:]) >= self.share(y, n):
+                before = pools.pop()
+                x, y, n = before[0] + x, before[1] + y, before[2] + n
+            pools.append((x, y, n))
         self.x = np.array([x / n for x, _, n in pools])
-        self.y = np.array([(y + 0.02) / (n + 0.2) for _, y, n in pools])
+        self.y = np.array([self.share(y, n) for _, y, n in pools])
+
+    @staticmethod
+    def share(y: float, n: float) -> float:
+        return (y + 0.02) / (n + 0.2)
 
     def __call__(self, outputs: np.ndarray) -> np.ndarray:
         return np.interp(outputs, self.x, self.y)
@@ -261,8 +271,8 @@ def featured(docs: DataFrame, learned: list[int], score: Model | None = None) ->
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], values], [*names, "value"])
 
     given = docs.select("text", *names)
-    schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in given.schema.fields[1:])
-    return given.mapInArrow(compute, f"{schema}, value {'double' if score else 'array<double>'}")
+    value = StructField("value", DoubleType() if score else ArrayType(DoubleType()))
+    return given.mapInArrow(compute, StructType([*given.schema.fields[1:], value]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -273,13 +283,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     chosen = bounded_sample(known, F.xxhash64("doc_id"), sample)
     fold = F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(12)).cast("int")
+    # At most `sample` rows are broadcast; where an id has several texts, the one of the smallest hash is taught.
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     taught = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(F.broadcast(chosen), "doc_id")  # at most `sample` rows
+        texts.groupBy("doc_id", "toxic")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .select("text", "doc_id", "toxic", fold.alias("fold"))
     )
+    taught = written(taught, "taught")
     learned = learned_lexicon(taught.filter("fold < 6"))
-    rows = featured(taught.filter("fold >= 6"), learned).orderBy("doc_id").limit(2 * sample).toArrow()
+    rows = featured(taught.filter("fold >= 6"), learned).orderBy("doc_id").toArrow()
     toxic, part = rows.column("toxic").to_numpy(), rows.column("fold").to_numpy()
     constant = float(toxic.mean()) if toxic.size else 0.0
     numbers = rows.column("value").combine_chunks().flatten().to_numpy().reshape(-1, FEATURES)
