@@ -3,7 +3,7 @@
 The network reads a text in windows of `WINDOW` bytes, forwards and backwards, gives every position of the whole
 text a probability for each language, and the document the mean over its positions that belong to letters. It is
 trained here with NumPy by backpropagation through time, on the driver, from windows of at most `SAMPLE` labelled
-documents; A-Z are read as a-z.
+documents, an equal share for each language; A-Z are read as a-z.
 
 Defined results: a text that is null or holds no letter is `und` with score 0; so is every text if there is nothing
 to learn from. Repeated rows are judged each; other columns are ignored; an empty table gives an empty table.
@@ -15,11 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from jumptrail.llm.samples import bounded_sample
+from jumptrail.llm.samples import SPAN
 from jumptrail.llm.text_arrays import raw_bytes, small_batches
+from jumptrail.shared import written
 
 SAMPLE = 3000
 SAMPLE_WINDOWS = 6
@@ -190,8 +192,41 @@ def is_held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % parts == part, F.lit(False))
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Train on labelled documents that are not held out; null ids count as held out."""
+def chosen_documents(labelled: DataFrame, sample: int) -> DataFrame:
+    """(doc_id, lang): an equal share of the sample for each language, those whose ids have the smallest hashes.
+
+    A language of few documents has them all, so none goes missing beside a large one; an id counts once, however
+    many rows it has."""
+    ids = written(labelled.groupBy("lang", "doc_id").agg(F.pmod(F.xxhash64("doc_id"), F.lit(SPAN)).alias("rank")).filter("rank is not null"), "ids")
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
+    share = max(1, sample // max(1, counts.count()))
+    # About twice the share is left of a language before its rows meet.
+    thinned = ids.join(F.broadcast(counts), "lang").filter(F.col("rank") <= F.lit(float(2 * share * SPAN)) / F.col("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("rank", "doc_id"))
+    return thinned.select("lang", "doc_id", place.alias("place")).filter(F.col("place") <= share).drop("place")
+
+
+def others(pieces: np.ndarray, seed: int = 17) -> np.ndarray:
+    """Windows that are no language of the sample: the same bytes shuffled, random letters, letters of other scripts."""
+    random = np.random.default_rng(seed)
+    mixed = random.permuted(pieces, axis=1)
+    third = len(pieces) // 3 + 1
+    letters = random.integers(97, 123, (third, TRAIN_WINDOW)).astype(np.uint8)
+    letters[random.random(letters.shape) < 0.15] = 32
+    foreign = np.empty((third, TRAIN_WINDOW), np.uint8)
+    for row in foreign:
+        # A script: a stretch of code points; two or three bytes each.
+        first = int(random.integers(0x370, 0x9F00))
+        points = first + random.integers(0, int(random.choice([48, 96, 2000])), TRAIN_WINDOW)
+        text = "".join(" " if random.random() < 0.12 else chr(point) for point in points)
+        row[:] = np.frombuffer(text.encode("utf-8", "ignore").ljust(TRAIN_WINDOW)[:TRAIN_WINDOW], np.uint8)
+    return np.concatenate([mixed[:third], letters, foreign])
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, rejecting: bool = False) -> Network | None:
+    """Train on labelled documents that are not held out; null ids count as held out.
+
+    A rejecting network has one class more, UNDETERMINED, taught from windows that are none of the languages."""
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,16 +241,17 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(cut, pa.binary())], ["lang", "piece"])
 
     labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter(
-        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"), 3, 1)
+        F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out(F.col("doc_id"), 3, 1) & (F.length("text") > 0)
     )
-    chosen = bounded_sample(labelled.select("doc_id", "lang"), F.xxhash64("doc_id"), sample).select("doc_id").distinct()
+    chosen = chosen_documents(labelled, sample)
+    # At most `sample` rows are broadcast; where an id has several texts of a language, one of them is taken.
     rows = (
-        labelled.filter(F.length("text") > 0)
-        .join(F.broadcast(chosen), "doc_id")  # at most `sample` ids
+        labelled.join(F.broadcast(chosen), ["lang", "doc_id"])
+        .groupBy("lang", "doc_id")
+        .agg(F.min_by("text", F.xxhash64("text")).alias("text"))
         .select("doc_id", "text", "lang")
         .mapInArrow(windows, "lang string, piece binary")
         .orderBy("lang", "piece")
-        .limit(2 * sample * SAMPLE_WINDOWS)
         .toArrow()
     )
     langs = rows.column("lang").to_pylist()
@@ -223,8 +259,14 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     if not languages:
         return None
     pieces = np.frombuffer(b"".join(rows.column("piece").to_pylist()), np.uint8).reshape(-1, TRAIN_WINDOW)
+    labels = np.array([languages.index(lang) for lang in langs])
+    if rejecting:
+        strange = others(pieces)
+        pieces = np.concatenate([pieces, strange])
+        labels = np.concatenate([labels, np.full(len(strange), len(languages))])
+        languages = [*languages, UNDETERMINED]
     network = Network(languages)
-    network.train(folded(pieces), np.array([languages.index(lang) for lang in langs]))
+    network.train(folded(pieces), labels)
     return network
 
 
@@ -244,8 +286,8 @@ def identify(docs: DataFrame, network: Network | None) -> DataFrame:
             score = np.clip(np.where(known, found[np.arange(best.size), best], 0.0), 0.0, 1.0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
-    schema = ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in docs.schema.fields)
-    return docs.mapInArrow(predict, f"{schema}, lang_pred string, score double")
+    more = [StructField("lang_pred", StringType()), StructField("score", DoubleType())]
+    return docs.mapInArrow(predict, StructType([*docs.schema.fields, *more]))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
