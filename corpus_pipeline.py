@@ -1,6 +1,6 @@
 """The corpus pipeline: each stage works on all that the one before it kept, and all but the last return documents.
 
-Documents without letters, or whose language stays uncertain, go; repeated lines are cut, and documents that held
+Documents without letters, or in none of the languages learned, go; repeated lines are cut, and documents that held
 no other words go; of near-duplicates the one with the smallest id stays; documents that hold a passage of the benchmark
 go; what is left is packed into sequences. Other columns, whatever their names, are carried along unseen.
 """
@@ -15,15 +15,15 @@ from jumptrail.llm.language import UNDETERMINED, fit, identify
 from jumptrail.llm.lines import repeated_lines, without_lines
 from jumptrail.llm.near_duplicates import near_duplicates
 from jumptrail.llm.packing import pack_documents
-from jumptrail.shared import fresh_path
+from jumptrail.shared import fresh_path, written
 
-LEAST_SCORE = 0.25  # what four languages share alike
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents whose language is identified."""
-    found = identify(docs.select(F.struct("*").alias("row"), "text"), fit(docs))
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select("row.*")
+    """Keep documents in one of the languages learned; a class of its own, taught from shuffled bytes, random letters
+    and other scripts, takes what is none of them."""
+    found = identify(docs.select(F.struct("*").alias("row"), "text"), fit(docs, rejecting=True))
+    return found.filter(F.col("lang_pred") != UNDETERMINED).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,10 +38,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays; rows that repeat id and text stay once."""
-    kept = near_duplicates(docs.select("doc_id", "text")).filter("kept").select(F.col("doc_id").alias("id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", document_key().alias("k"))
-    return rows.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").dropDuplicates(["doc_id", "k"]).select("row.*")
+    """One document of each group of near-duplicates stays, the one with the smallest id; texts that share an id are
+    judged each, and rows that repeat id and text stay once."""
+    keyed = docs.select(document_key().alias("k"), "doc_id", "text")
+    found = near_duplicates(keyed.select(F.col("k").alias("doc_id"), "text"))
+    groups = written(found.select(F.col("doc_id").alias("k"), "component_id").distinct(), "groups")
+    ids = keyed.select("k", "doc_id").distinct().join(groups, "k")
+    first = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "k")).alias("first")).select("first.k")
+    rows = docs.select(F.struct("*").alias("row"), document_key().alias("k"))
+    return rows.join(first, "k", "left_semi").dropDuplicates(["k"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,7 +77,13 @@ def test_isotonic_scale_rises():
     random_ = np.random.default_rng(2)
     outputs = random_.standard_normal(300)
     scale = toxicity.Isotonic(outputs, (outputs + random_.standard_normal(300) > 0).astype(float))
-    assert (np.diff(scale(np.linspace(-3, 3, 50))) >= -0.05).all()
+    assert (np.diff(scale(np.linspace(-3, 3, 500))) >= 0).all()
+    # A large pool of high scores beside a small one of the highest, and equal outputs in any order.
+    outputs, labels = np.array([0.0] * 40 + [1.0] * 100 + [2.0]), np.array([0.0] * 40 + [1.0] * 95 + [0.0] * 5 + [1.0])
+    scale = toxicity.Isotonic(outputs, labels)
+    assert (np.diff(scale(np.linspace(-1, 3, 500))) >= 0).all()
+    mixed = random_.permutation(outputs.size)
+    assert (toxicity.Isotonic(outputs[mixed], labels[mixed])(outputs) == scale(outputs)).all()
 
 
 def test_stages_keep_clean_documents_and_columns(spark):
@@ -110,3 +116,45 @@ def test_line_stage_keeps_documents_with_words_left(spark):
     found = corpus_pipeline.line_dedup(spark, docs, "").collect()
     assert {r.doc_id: r.text for r in found} == want
     assert all(r.n_chars == len(r.text) for r in found if r.text is not None)
+
+
+def test_no_language_goes_missing_beside_one_id_of_many_rows(spark):
+    a, b, c = [n for n in range(30) if zlib.crc32(str(n).encode()) % 3 != 1][:3]
+    one = [(a, f"the thing and the other number {n}", "en") for n in range(6500)]
+    docs = spark.createDataFrame([*one, (b, "el uno y la otra cosa", "es"), (c, "le un et la chose", "fr")], "doc_id long, text string, lang string")
+    assert language.fit(docs).languages == ["en", "es", "fr"]
+
+
+def test_a_rejecting_network_keeps_clean_documents(spark):
+    docs = spark.read.parquet(f"{TABLES}/documents.parquet")
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.withColumn("my col", docs["n_chars"]), TABLES).select("doc_id").collect()}
+    lettered = docs.filter("lang is not null and text rlike '[a-zA-Z]{3}'").toPandas()
+    clean = set(lettered.doc_id)
+    assert len(clean - kept) <= 0.002 * len(clean)
+    random_ = np.random.default_rng(4)
+    noise = "".join(random_.choice(list("abcdefghijklmnopqrstuvwxyz "), 400))
+    odd = [
+        (90001, "Это обычный русский текст, который не относится ни к одному из известных языков. " * 3),
+        (90002, "这是一个普通的中文文本，不属于任何已知的语言。" * 6),
+        (90003, noise),
+        (90004, "これは普通の日本語の文章です。" * 6),
+    ]
+    more = docs.unionByName(spark.createDataFrame([(a, b, None, "s", 1) for a, b in odd], docs.schema))
+    left = {r.doc_id for r in corpus_pipeline.language(spark, more, TABLES).select("doc_id").collect()}
+    assert not left & {n for n, _ in odd}
+
+
+def test_texts_under_one_id_are_judged_each(spark):
+    a, b = ("one two three four five six seven eight nine ten %s " % w * 5 for w in ("alpha", "beta"))
+    b = " ".join(f"word{n}" for n in range(60))
+    docs = spark.createDataFrame([(1, a, 0), (2, b, 0), (2, a, 0), (2, b, 0)], "doc_id long, text string, k int")
+    found = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted((r.doc_id, r.text) for r in found) == [(1, a), (2, b)]
+
+
+def test_toxicity_learns_from_one_text_of_an_id(spark):
+    docs = [(3, f"clean words number {n}") for n in range(3000)] + [(n, "you awful fool " * 3 if n % 2 else "a kind word") for n in range(10, 400)]
+    labels = [(3, 0)] + [(n, n % 2) for n in range(10, 400)]
+    table = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.score_toxicity(table[0].filter("doc_id > 3"), toxicity.fit(*table, sample=500)).collect()}
+    assert min(s for n, s in scores.items() if n % 2) > max(s for n, s in scores.items() if not n % 2)
