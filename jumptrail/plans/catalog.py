@@ -423,7 +423,7 @@ def _incomplete_export(spark, sf_dir):
 
 
 # Records of a document where containers are to have several.
-PIECE = 100
+PIECE = 20
 
 
 @query

@@ -8,7 +8,7 @@ from __future__ import annotations
 from jumptrail.functions.crc64 import START, byte_table
 from jumptrail.known_folders import FOLDER_IDS, FOLDER_PATHS, ROWS
 from jumptrail.operators.appid import CLASS_VARIANTS, ENV_REWRITES, EXTENSION
-from jumptrail.plans.catalog import TOP
+from jumptrail.plans.catalog import PIECE, TOP
 from jumptrail.plans.fixtures import VIEWS
 
 _B = "chr(92)"
@@ -408,15 +408,15 @@ ORACLE: dict[str, str] = {
         "entries_placed", "eligible",
     ),
     "incomplete_containers": _sql(
-        "SELECT host, appid || '.xml' AS file, (n + 99) // 100 - CASE WHEN host = 'HOST-5' THEN 1 ELSE 0 END AS n_documents, "
+        f"SELECT host, appid || '.xml' AS file, (n + {PIECE - 1}) // {PIECE} - CASE WHEN host = 'HOST-5' THEN 1 ELSE 0 END AS n_documents, "
         "CASE WHEN host = 'HOST-3' THEN 1 ELSE 0 END AS n_broken FROM (SELECT host, appid, count(*) AS n FROM entries GROUP BY ALL) c "
-        "WHERE host = 'HOST-3' AND n > 100 OR host = 'HOST-5' AND n > 200",
+        f"WHERE host = 'HOST-3' AND n > {PIECE} OR host = 'HOST-5' AND n > {2 * PIECE}",
         "entries",
     ),
     "whole_containers": _sql(
         "SELECT host, appid || '.xml' AS file, position, path FROM entries_placed JOIN "
         "(SELECT host, appid, count(*) AS n FROM entries GROUP BY ALL) c USING (host, appid) "
-        "WHERE NOT (host = 'HOST-3' AND n > 100 OR host = 'HOST-5' AND n > 200)",
+        f"WHERE NOT (host = 'HOST-3' AND n > {PIECE} OR host = 'HOST-5' AND n > {2 * PIECE})",
         "entries_placed", "entries",
     ),
     "stream_rescan": _sql(
