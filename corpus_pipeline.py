@@ -18,7 +18,6 @@ from jumptrail.llm.packing import pack_documents
 from jumptrail.shared import fresh_path, written
 
 
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in one of the languages learned; a class of its own, taught from shuffled bytes, random letters
     and other scripts, takes what is none of them."""
