@@ -54,12 +54,25 @@ def benchmark_terms(benchmark: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """Postings k, pos, term of every word in the vocabulary (word, term), stored; no shuffle."""
-    words = docs.select(document_key().alias("k"), F.posexplode(words_of(F.col("text"))).alias("pos", "raw"))
-    return written(
-        words.select("k", "pos", folded(F.col("raw")).alias("word")).join(vocabulary, "word").select("k", "pos", "term"),
-        "postings",
-    )
+    """Rows k, doc_id, n_words, pos, term, stored; no shuffle, and texts are read this one time.
+
+    A posting for every word in the vocabulary (word, term). The first word of a document has a row whatever it is, and
+    a document without words one without position, so every row of the table has one that carries its number of words."""
+    words = docs.select("doc_id", document_key().alias("k"), words_of(F.col("text")).alias("words"))
+    words = words.select("doc_id", "k", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "raw"))
+    found = words.withColumn("word", folded(F.col("raw"))).join(vocabulary, "word", "left")
+    found = found.filter(F.col("term").isNotNull() | F.col("pos").isNull() | (F.col("pos") == 0))
+    return written(found.select("k", "doc_id", "n_words", "pos", "term"), "postings")
+
+
+def postings_of(index: DataFrame) -> DataFrame:
+    """k, pos, term of the words that the benchmark has."""
+    return index.filter(F.col("term").isNotNull()).select("k", "pos", "term")
+
+
+def documents_of(index: DataFrame) -> DataFrame:
+    """doc_id, k, n_words of every row of the documents."""
+    return index.filter(F.col("pos").isNull() | (F.col("pos") == 0)).select("doc_id", "k", F.col("n_words").cast("long").alias("n_words"))
 
 
 def rarest(terms: DataFrame, counts: DataFrame, size: int) -> DataFrame:
@@ -138,17 +151,18 @@ def near_matches(postings: DataFrame, terms: DataFrame, size: int = SIZE, slack:
     )
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """`phrase_matches` of documents with doc_id and text against a benchmark with item_id and text."""
+def indexed(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The index of documents with doc_id and text, and the terms of a benchmark with item_id and text."""
     terms = benchmark_terms(benchmark)
     vocabulary = written(terms.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "vocabulary")
     terms = written(terms.join(vocabulary, "word"), "terms")
-    return phrase_matches(build_index(docs, vocabulary), terms, size)
+    return build_index(docs, vocabulary), terms
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """Per document: doc_id, k, n_words, n_hit, n_items, items (sorted ids as text), contaminated."""
-    found = written(matches(docs, benchmark, size), "matches")
+    index, terms = indexed(docs, benchmark)
+    found = written(phrase_matches(postings_of(index), terms, size), "matches")
     hit = (
         found.select("k", F.explode(F.sequence("first", "last")).alias("pos")).distinct()
         .groupBy("k").agg(F.count("*").alias("n_hit"))
@@ -159,7 +173,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> Da
     )
     marked = written(hit.join(items, "k", "left"), "contaminated")
     return (
-        docs.select("doc_id", document_key().alias("k"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+        documents_of(index)
         .join(marked, "k", "left")
         .select(
             "doc_id",

@@ -11,7 +11,7 @@ import pytest
 
 from jumptrail.llm import suffixes
 from jumptrail.llm.components import components
-from jumptrail.llm.decontamination import benchmark_terms, build_index, contamination, near_matches
+from jumptrail.llm.decontamination import benchmark_terms, build_index, contamination, near_matches, postings_of
 from jumptrail.llm.lines import op7_line_dedup, repeated_lines, without_lines
 from jumptrail.llm.near_duplicates import near_duplicates
 from jumptrail.llm.suffixes import remove_repeats
@@ -78,7 +78,7 @@ def test_near_matches_ignore_order(spark):
     terms = benchmark_terms(spark.createDataFrame([(1, "a b c d")], "item_id long, text string"))
     vocabulary = terms.select("word", F.col("place").cast("long").alias("term"))
     terms = terms.withColumn("term", F.col("place").cast("long"))
-    found = near_matches(build_index(docs, vocabulary), terms, size=4, slack=10)
+    found = near_matches(postings_of(build_index(docs, vocabulary)), terms, size=4, slack=10)
     keys = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("k"))
     assert [r.doc_id for r in found.join(keys, "k").collect()] == [1]
 
