@@ -2,10 +2,10 @@
 
 Documents become pieces of at most `length` tokens (only longer documents are cut). What is packed is the histogram
 of piece lengths, which has at most `length` entries whatever the number of documents, so the plan is made on the
-driver: from the longest length down, the gap that a piece leaves is looked up among single lengths, pair sums and
-triple sums, and the combinations that fill it exactly are used as often as their lengths are still available. What
-finds no exact complement is packed best fit, longest first, again for all pieces of a length at once. The plan is
-a list of patterns (lengths in a sequence) with the number of sequences of that pattern.
+driver: from the longest length down, the gap that a piece leaves is looked up in an index of single lengths, then of
+pair sums, then of triple sums, and the combinations that fill it exactly are used as often as their lengths are still
+available. What finds no exact complement is packed best fit, longest first, again for all pieces of a length at once.
+The plan is a list of patterns (lengths in a sequence) with the number of sequences of that pattern.
 
 Every piece then takes its place: it has a number among the pieces of its length (a running number within its task,
 plus what the tasks before hold, summed over a small table of counts per length and task), and the plan says which
@@ -31,6 +31,7 @@ from jumptrail.llm.tokens import Encoder, cut_lengths
 from jumptrail.shared import written
 
 LENGTH = 1024
+LEAST = 2  # times that a pair or triple must be there to be used
 
 
 PIECES = [
@@ -45,81 +46,86 @@ PIECES = [
 
 
 class Sums:
-    """Which single lengths, pairs and triples of available lengths add up to a gap."""
+    """Which single lengths, pairs and triples add up to a gap, as an index by the sum, and how many of each length are left.
 
-    def __init__(self, counts: Counter[int]) -> None:
-        self.counts = counts
-        self.lengths = sorted(counts)
+    An entry of the index is made when its sum is first asked for, from the lengths that are there at the start; it
+    lists the longer lengths of the pairs, or the longest ones of the triples, in rising order."""
+
+    def __init__(self, histogram: dict[int, int], length: int) -> None:
+        self.counts = np.zeros(length + 1, np.int64)
+        for n, count in histogram.items():
+            self.counts[n] = max(count, 0)
+        self.there = self.counts > 0
+        self.lengths = np.flatnonzero(self.there[:length])
+        self.pairs: dict[int, np.ndarray] = {}
+        self.triples: dict[int, list[int]] = {}
 
     def available(self, combination: tuple[int, ...]) -> int:
         """How many times the combination can be taken."""
-        return min(self.counts[n] // times for n, times in Counter(combination).items())
-
-    def pair(self, gap: int) -> tuple[int, int] | None:
-        """Two available lengths that fill the gap, the longer one as long as possible."""
-        low = bisect.bisect_left(self.lengths, (gap + 1) // 2)
-        high = bisect.bisect_left(self.lengths, gap)
-        for long in reversed(self.lengths[low:high]):
-            short = gap - long
-            if self.counts[long] > 0 and self.counts[short] > (short == long):
-                return long, short
-        return None
-
-    def exact(self, gap: int, most: int = 3) -> tuple[int, ...] | None:
-        """A combination of one, two or three available lengths that fills the gap, of `most` lengths at most."""
-        if self.counts[gap] > 0:
-            return (gap,)
-        if most < 2:
-            return None
-        if found := self.pair(gap):
-            return found
-        if most < 3:
-            return None
-        high = bisect.bisect_left(self.lengths, gap)
-        for long in reversed(self.lengths[:high]):
-            if 3 * long < gap:
-                break
-            if self.counts[long] > 0:
-                self.counts[long] -= 1
-                found = self.pair(gap - long)
-                self.counts[long] += 1
-                if found and found[0] <= long:
-                    return (long, *found)
-        return None
-
-
-def plan(histogram: dict[int, int], length: int = LENGTH) -> list[tuple[tuple[int, ...], int]]:
+        return min(int(self.counts[n]) // times for n, times in Counter(combination).items())
+
+    def longer_of_pairs(self, gap: int) -> np.ndarray:
+        if gap not in self.pairs:
+            longer = self.lengths[(2 * self.lengths >= gap) & (self.lengths < gap)]
+            self.pairs[gap] = longer[self.there[gap - longer]]
+        return self.pairs[gap]
+
+    def longest_of_triples(self, gap: int) -> list[int]:
+        if gap not in self.triples:
+            longest = self.lengths[(3 * self.lengths >= gap) & (self.lengths < gap)].tolist()
+            self.triples[gap] = [n for n in longest if self.longer_of_pairs(gap - n).size]
+        return self.triples[gap]
+
+    def single(self, gap: int) -> tuple[int, ...]:
+        """The length that fills the gap, if one is left."""
+        return (gap,) if self.counts[gap] else ()
+
+    def pair(self, gap: int) -> tuple[int, ...]:
+        """The two lengths that fill the gap and are left most often; of equal ones the most uneven."""
+        longer = self.longer_of_pairs(gap)[::-1]
+        if not longer.size:
+            return ()
+        shorter = gap - longer
+        left = np.where(longer == shorter, self.counts[longer] // 2, np.minimum(self.counts[longer], self.counts[shorter]))
+        best = int(left.argmax())
+        return (int(longer[best]), int(shorter[best])) if left[best] else ()
+
+    def triple(self, gap: int) -> tuple[int, ...]:
+        """Three lengths that fill the gap, the longest one as short as possible."""
+        for longest in self.longest_of_triples(gap):
+            if self.counts[longest]:
+                self.counts[longest] -= 1
+                found = self.pair(gap - longest)
+                self.counts[longest] += 1
+                if found and found[0] <= longest:
+                    return (longest, *found)
+        return ()
+
+
+def plan(histogram: dict[int, int], length: int = LENGTH, least: int = LEAST) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of piece lengths with their numbers of sequences, together using up the histogram.
 
-    Filling gaps exactly spends the short pieces that best fit would need at the end, so plans that look for up to
-    three, two and one lengths are made, and the one with the fewest sequences is taken.
+    Gaps are filled exactly by single lengths first, then by pairs, then by triples, each time from the longest
+    length down. A pair or triple is taken where it can be taken `least` times: one that is there once spends short
+    lengths that best fit would need at the end. What is left is packed best fit.
     """
-    plans = [complements(histogram, length, most) for most in (3, 2, 1)]
-    return min(plans, key=lambda patterns: sum(number for _, number in patterns))
-
-
-def complements(histogram: dict[int, int], length: int, most: int) -> list[tuple[tuple[int, ...], int]]:
-    """Exact complements of up to `most` lengths, then best fit."""
-    counts = Counter({n: count for n, count in histogram.items() if count > 0})
-    sums, patterns, rest = Sums(counts), [], Counter()
-    for longest in sorted(counts, reverse=True):
-        while counts[longest] > 0:
-            if longest == length:
-                patterns.append(((longest,), counts[longest]))
-                counts[longest] = 0
-                break
-            counts[longest] -= 1
-            found = sums.exact(length - longest, most)
-            counts[longest] += 1
-            if not found:
-                rest[longest] += counts[longest]
-                counts[longest] = 0
-                break
-            pattern = (longest, *found)
-            times = sums.available(pattern)
-            patterns.append((pattern, times))
-            for n in pattern:
-                counts[n] -= times
+    sums, patterns = Sums(histogram, length), []
+    if sums.counts[length]:
+        patterns.append(((length,), int(sums.counts[length])))
+    for fill, enough in ((sums.single, 1), (sums.pair, least), (sums.triple, least)):
+        for longest in sums.lengths[::-1].tolist():
+            while sums.counts[longest]:
+                sums.counts[longest] -= 1
+                found = fill(length - longest)
+                sums.counts[longest] += 1
+                pattern = (longest, *found)
+                times = sums.available(pattern) if found else 0
+                if times < enough:
+                    break
+                patterns.append((pattern, times))
+                for n in pattern:
+                    sums.counts[n] -= times
+    rest = Counter({n: int(sums.counts[n]) for n in sums.lengths.tolist() if sums.counts[n]})
     return patterns + best_fit(rest, length)
 
 
