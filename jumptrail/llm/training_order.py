@@ -37,6 +37,7 @@ TASKS = 1_000_000  # more tasks than this are refused
 ORDINALS = TASKS << 32
 UNUSED = 0xFFFF
 HEADER = 16
+READ = 1000  # records of one read
 
 
 def stride(length: int = LENGTH) -> int:
@@ -130,6 +131,13 @@ def materialise(
     )
 
 
+def files_below(spark: SparkSession, pattern: str) -> list:
+    """Path and bytes of the files that match, in order of their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return sorted(((one.getPath(), one.getLen()) for one in found or ()), key=lambda file: file[0].toString())
+
+
 def read_index(spark: SparkSession, path: str, shards: int | None = None, length: int = LENGTH) -> DataFrame:
     """What the shards hold: slot, shard, byte offset in the shard, task, tokens that count, checksum of those ids."""
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -141,10 +149,9 @@ def read_index(spark: SparkSession, path: str, shards: int | None = None, length
             ids = row[HEADER : HEADER + 2 * used]
             yield place // width, place, int.from_bytes(row[8:12], "little"), used, zlib.crc32(ids)
 
-    kept = spark.createDataFrame(
-        spark.sparkContext.binaryRecords(f"{path}/shard=*/*", stride(length)).mapPartitions(headers),
-        "shard int, place long, task int, n_tokens int, ids_crc32 long",
-    )
+    pattern = f"{path}/shard=*/*"
+    rows = spark.sparkContext.binaryRecords(pattern, stride(length)).mapPartitions(headers) if files_below(spark, pattern) else []
+    kept = spark.createDataFrame(rows, "shard int, place long, task int, n_tokens int, ids_crc32 long")
     sizes = kept.groupBy("shard").count()
     first = sizes.select(
         "shard",
@@ -168,12 +175,22 @@ def read_index(spark: SparkSession, path: str, shards: int | None = None, length
 
 
 def read_from(spark: SparkSession, path: str, shard: int, number: int, length: int = LENGTH) -> Iterator[list[int]]:
-    """Sequences of one shard in training order, from its record `number` on."""
-    rows = spark.sparkContext.binaryRecords(f"{path}/shard={shard}/*", stride(length))
-    for at, row in enumerate(rows.toLocalIterator()):
-        if at >= number:
-            used = int.from_bytes(row[12:16], "little")
-            yield np.frombuffer(row, "<u2", used, HEADER).tolist()
+    """Sequences of one shard in training order, from its record `number` on; what comes before is not read."""
+    step = stride(length)
+    for file, size in files_below(spark, f"{path}/shard={shard}/*"):
+        if number * step >= size:
+            number -= size // step
+            continue
+        stream = file.getFileSystem(spark._jsc.hadoopConfiguration()).open(file)
+        try:
+            stream.seek(number * step)
+            while data := stream.readNBytes(READ * step):
+                for at in range(0, len(data), step):
+                    used = int.from_bytes(data[at + 12 : at + 16], "little")
+                    yield np.frombuffer(data, "<u2", used, at + HEADER).tolist()
+        finally:
+            stream.close()
+        number = 0
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from jumptrail.llm import nearest
+from jumptrail.llm import nearest, training_order
 from jumptrail.llm.nearest import neighbours
 from jumptrail.llm.packing import LENGTH, pack_documents, plan
 from jumptrail.llm.tokens import Encoder
@@ -82,6 +82,19 @@ def test_plan_uses_every_piece_and_few_sequences(seed):
     assert plan({}) == []
 
 
+def test_plan_is_made_of_exact_complements():
+    random_ = np.random.default_rng(7)
+    pieces = Counter(np.minimum(random_.lognormal(6, 0.9, 50_000).astype(int) + 1, LENGTH).tolist())
+    patterns = plan(pieces)
+    exact = Counter()
+    for pattern, number in patterns:
+        exact[len(pattern)] += number * (sum(pattern) == LENGTH)
+    assert min(exact[2], exact[3], exact[4]) > 0
+    least = -(-sum(n * count for n, count in pieces.items()) // LENGTH)
+    assert sum(number for _, number in patterns) <= 1.005 * least
+    assert plan({600: 4, 224: 8, 200: 4, 1024: 3}) == [((1024,), 3), ((600, 224, 200), 4), ((224, 224, 224, 224), 1)]
+
+
 def test_packing_places_every_piece_gapless(spark):
     words = "one two three four five six " * 600
     rows = [(1, words), (2, ""), (3, None), (4, "short text"), (4, "short text"), (None, "<|endoftext|> é\x1c 日本"), (6, "a b")]
@@ -128,6 +141,27 @@ def test_training_order_round_trip(spark):
     assert [zlib.crc32(np.array(ids, "<u2").tobytes()) for ids in read] == [row.ids_crc32 for row in of_shard[1:]]
 
 
+def test_training_order_holds_every_sequence_where_the_permutation_puts_it(spark):
+    rows = [(n, f"text {n} " * (n % 30)) for n in range(150)] + [(None, None), (7, "again"), (7, "a long one " * 3000)]
+    path = fresh_path(spark, "order")
+    materialise(documents(spark, rows).coalesce(1), path, shards=3, length=64)
+    encoder = Encoder()
+    ids = [one for _, text in rows for one in [*encoder.whole(text or ""), 2]]
+    cut = [ids[at : at + 64] for at in range(0, len(ids), 64)]
+    want = [cut[number] for number in np.argsort(permute(np.arange(len(cut)), training_order.ORDINALS))]
+    assert [one for shard in range(3) for one in read_from(spark, path, shard, 0, 64)] == want
+    first = list(read_from(spark, path, 0, 0, 64))
+    assert list(read_from(spark, path, 0, len(first) - 1, 64)) == first[-1:]
+    assert list(read_from(spark, path, 0, len(first), 64)) == []
+
+
+def test_training_order_of_an_empty_table(spark):
+    path = fresh_path(spark, "order")
+    materialise(documents(spark, []), path, shards=3, length=64)
+    assert read_index(spark, path, 3, 64).collect() == []
+    assert list(read_from(spark, path, 0, 0, 64)) == []
+
+
 def test_neighbours_find_the_true_ones(spark, monkeypatch):
     monkeypatch.setattr(nearest, "VECTOR_BLOCK", 40)
     random_ = np.random.default_rng(3)
