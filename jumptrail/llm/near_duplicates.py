@@ -211,8 +211,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         hubs = ranked.groupBy("tree", "region").agg(F.max(F.struct("central", "member")).alias("hub"))
         hubs = written(hubs.select("tree", "region", F.col("hub.member").alias("leader")), "hubs")
         pairs.append(several.drop("leader").join(hubs, ["tree", "region"]).select("leader", "member"))
-        last = depth == DEPTHS[-1]
-        crowded.append(several if last else several.filter(F.col("size") <= DENSE))
+        crowded.append(several)
         dense = several.filter(F.col("size") > DENSE).select(F.col("member.node").alias("node")).distinct()
         members = classes.join(written(dense, "dense"), "node", "left_semi")
 
