@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-# What each application has made in its shared folder, and the tables it keeps there.
+# What each application has made in its shared folder, and the tables it keeps there with their folders.
 _MADE: dict[int, list[str]] = {}
-_TABLES: dict[int, list[str]] = {}
+_TABLES: dict[int, dict[str, str]] = {}
+
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -33,11 +36,23 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+@contextmanager
+def releasing(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is written within go when the table stands; until then lost ones are made anew as ever."""
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: computed once, safe to read many times."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with releasing(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -45,11 +60,20 @@ def bucketed(df: DataFrame, name: str, buckets: int, keys: Sequence[str]) -> str
     """The rows as a bucketed and sorted table in the shared folder; its name."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
-    _TABLES.setdefault(id(spark.sparkContext), []).append(table)
-    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", fresh_path(spark, name)).saveAsTable(table)
+    path = fresh_path(spark, name)
+    _TABLES.setdefault(id(spark.sparkContext), {})[table] = path
+    with releasing(spark):
+        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
     return table
 
 
+def unbucketed(spark: SparkSession, table: str) -> None:
+    """Drop a bucketed table and delete its files, when nothing reads them any more."""
+    path = _TABLES[id(spark.sparkContext)].pop(table)
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    remove(spark, path)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a file or a folder, where there is one."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -59,7 +83,7 @@ def remove(spark: SparkSession, path: str) -> None:
 def release(spark: SparkSession) -> None:
     """Delete all that this application has written to the shared folder; results not yet computed can no longer be."""
     application = id(spark.sparkContext)
-    for table in _TABLES.pop(application, []):
+    for table in _TABLES.pop(application, {}):
         spark.sql(f"DROP TABLE IF EXISTS {table}")
     for path in _MADE.pop(application, []):
         remove(spark, path)

@@ -51,3 +51,20 @@ def test_ranks_shuffle_rows_once(spark):
     # What is left to shuffle are counts: a row per key and range.
     left = [line for line in plan.splitlines() if " Exchange " in line]
     assert "Window [row_number()" in plan and all("hashpartitioning(k" in line for line in left)
+
+
+def test_shuffle_files_are_released_only_while_writing(spark):
+    before = spark.conf.get(shared.RELEASE, None)
+    with shared.releasing(spark):
+        assert spark.conf.get(shared.RELEASE) == "true"
+    assert spark.conf.get(shared.RELEASE, None) == before
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert sorted(shared.written(counted, "counted").collect()) == sorted(counted.collect()) == sorted(shared.written(counted, "again").collect())
+
+
+def test_a_bucketed_table_goes_with_its_files(spark):
+    table = shared.bucketed(spark.range(20), "numbers", 2, ["id"])
+    path = shared._TABLES[id(spark.sparkContext)][table]
+    assert spark.table(table).count() == 20
+    shared.unbucketed(spark, table)
+    assert not spark.catalog.tableExists(table) and not os.path.exists(path.removeprefix("file:"))
