@@ -9,8 +9,9 @@ already makes it too different is like none but its copies, which are found by t
 join. Words are ordered by rarity (counts in a
 table of `RARITY` hash buckets, ties by hash: a fixed order, so the filters stay exact) and a set is filed under the
 words of its prefix. A pair is a candidate if it shares a prefix word, its sizes and the positions of that word allow
-the overlap, and the bits in which the sets' sketches (64 bits in the file, 256 after it; each word flips one) differ
-are not more than the words in which they may differ. Candidates are verified on their full sets. The file is stored by word, so nothing is shuffled twice. The first pass
+the overlap, and their sketches differ by no more than the words in which they may differ. A sketch counts a set's words
+by hash, modulo 16, in 16 places (64 bits) in the file and in 64 places after it: one word more or less changes one
+count by one. Candidates are verified on their full sets. The file is stored by word, so nothing is shuffled twice. The first pass
 compares each set only with the earliest set under each of its words; sets that this removes are done, and only the
 others meet everything under their words, so many variants of one line do not yield all their pairs.
 
@@ -21,7 +22,6 @@ other columns are kept as they are.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,10 +31,11 @@ from pyspark.sql import functions as F
 
 from jumptrail.llm.near_duplicates import document_key
 from jumptrail.llm.text_arrays import Words, distinct, mix, raw_bytes, small_batches
-from jumptrail.shared import written
+from jumptrail.shared import bucketed, unbucketed, written
 
 RARITY = 1 << 17
 MARKS = 1 << 24  # bits of the table that says which sets to fetch
+PLACES = 16  # counts in one number of a sketch, each of four bits
 WIDE = ("w0", "w1", "w2", "w3")  # columns of the sketch that pairs meet before their full sets do
 BROADCAST_ROWS = 2_000_000
 SEEN = 200_000  # sets a task remembers having filed
@@ -80,11 +81,33 @@ def set_hashes(tokens: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return mix(per_line(mix(tokens), sizes, np.add) ^ sizes.astype(np.uint64)).view(np.int64)
 
 
-def wide_sketches(words: np.ndarray) -> list[np.ndarray]:
-    """The one bit of each word, of 256: as many numbers of 64 bits as `WIDE` has names."""
-    bit = np.uint64(1) << (words & np.uint64(63))
-    part = words >> np.uint64(6) & np.uint64(len(WIDE) - 1)
-    return [np.where(part == np.uint64(number), bit, np.uint64(0)) for number in range(len(WIDE))]
+def sketches(places: np.ndarray, sizes: np.ndarray, numbers: int) -> list[np.ndarray]:
+    """How many words of each line fall into each place, modulo 16, as numbers of `PLACES` counts."""
+    width = numbers * PLACES
+    line = np.repeat(np.arange(sizes.size) * width, sizes)
+    counts = np.bincount(line + places.astype(np.int64), minlength=sizes.size * width).astype(np.uint64) & np.uint64(15)
+    packed = counts.reshape(-1, PLACES) << (np.arange(PLACES, dtype=np.uint64) * np.uint64(4))
+    return list(np.bitwise_or.reduce(packed, axis=1).view(np.int64).reshape(sizes.size, numbers).T.copy())
+
+
+def apart(names: tuple[str, ...]) -> Column:
+    """By how much the sketches in the columns a_<name> and b_<name> differ: never more than the sets differ in words.
+
+    Every byte of a number holds one of two neighbouring counts at a time, so no step carries into the next byte."""
+
+    def each_byte(value: int) -> Column:
+        return F.lit(value * 0x0101010101010101)
+
+    differing = F.lit(0).cast("long")
+    for name in names:
+        halves = F.lit(0).cast("long")
+        for shift in (0, 4):
+            a, b = (F.shiftrightunsigned(F.col(f"{side}_{name}"), shift).bitwiseAND(each_byte(15)) for side in "ab")
+            step = (a.bitwiseOR(each_byte(16)) - b).bitwiseAND(each_byte(15))
+            negative = F.shiftright(step, 3).bitwiseAND(each_byte(1))
+            halves = halves + step.bitwiseXOR(negative * 15) + negative
+        differing = differing + halves % 255  # the sum of its bytes, which are 16 at most
+    return differing
 
 
 class Lines:
@@ -159,7 +182,7 @@ def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -
             rest = places & ((np.uint64(1) << rest_bits) - np.uint64(1))
             tokens = rest << np.uint64(bucket_bits) | by_rarity[places >> rest_bits]
             marks = set_hashes(tokens, sizes)
-            sketches = per_line(np.uint64(1) << (tokens >> np.uint64(BITS - 6)), sizes, np.bitwise_xor).view(np.int64)
+            (sketch,) = sketches(tokens >> np.uint64(BITS - 4), sizes, 1)
             taking = np.flatnonzero((sizes >= max(least_words, 1)) & (sizes * 100 >= (sizes + 1) * percent))
             ids, chosen = batch.column(1).to_numpy()[lines.text[taking]].tolist(), []
             for number, mark, doc_id in zip(taking.tolist(), marks[taking].tolist(), ids):
@@ -179,7 +202,7 @@ def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -
                     pa.array(marks[of]),
                     pa.array(sizes[of].astype(np.int32)),
                     pa.array(pos.astype(np.int32)),
-                    pa.array(sketches[of]),
+                    pa.array(sketch[of]),
                     batch.column(1).take(pa.array(lines.text[of])),
                 ],
                 ["token", "set", "n", "pos", "sketch", "doc_id"],
@@ -191,13 +214,11 @@ def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -
 
 def store_by_token(rows: DataFrame, spark: SparkSession) -> str:
     """The name of a table with a row for each token and set, in buckets of tokens, so joins on it need no shuffle."""
-    name = f"line_prefixes_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     once = rows.repartition(buckets, "token").groupBy("token", "set").agg(
         F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")
     )
-    once.write.bucketBy(buckets, "token").sortBy("token").format("parquet").saveAsTable(name)
-    return name
+    return bucketed(once, "line_prefixes", buckets, ["token"])
 
 
 def candidates(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
@@ -212,7 +233,7 @@ def candidates(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
         & (F.col("a_doc_id") <= F.col("b_doc_id"))
         & (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent)
         & (left_over >= overlap)
-        & (F.bit_count(F.col("a_sketch").bitwiseXOR(F.col("b_sketch"))) <= total - 2 * overlap)
+        & (apart(("sketch",)) <= total - 2 * overlap)
     )
     tie = (F.col("a_doc_id") == F.col("b_doc_id")).alias("tie")
     return left.join(right, "token").filter(good).select(F.col("a_set").alias("a"), F.col("b_set").alias("b"), tie)
@@ -256,7 +277,7 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, percent: int,
             many = np.array([one.size for one in values])
             flat = np.concatenate(values)
             words = pa.ListArray.from_arrays(np.cumsum(many).astype(np.int32), flat.view(np.int64))
-            wide = [per_line(part, many[1:], np.bitwise_xor).view(np.int64) for part in wide_sketches(flat)]
+            wide = sketches(flat & np.uint64(len(WIDE) * PLACES - 1), many[1:], len(WIDE))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(chosen, pa.int64()), words, *(pa.array(part) for part in wide)], ["set", "words", *WIDE]
             )
@@ -269,8 +290,7 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, percent: int,
     ]
     total = F.col("a_n") + F.col("b_n")
     overlap = F.ceil(total * percent / (100 + percent))
-    differing = sum(F.bit_count(F.col(f"a_{name}").bitwiseXOR(F.col(f"b_{name}"))) for name in WIDE)
-    likely = ordered.join(sides[0], "a").join(sides[1], "b").filter(differing <= total - 2 * overlap).select("a", "b")
+    likely = ordered.join(sides[0], "a").join(sides[1], "b").filter(apart(WIDE) <= total - 2 * overlap).select("a", "b")
     likely = written(likely, "likely")
     full = held.select("set", "words")
     both = likely.join(full.toDF("a", "one"), "a").join(full.toDF("b", "two"), "b")
@@ -303,7 +323,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 3) ->
         .distinct()
     )
     later = written(later, "repeated")
-    spark.sql(f"DROP TABLE {stored}")
+    unbucketed(spark, stored)
     return later
 
 

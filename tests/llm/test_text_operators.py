@@ -7,12 +7,14 @@ import random
 import re
 from collections import Counter
 
+import corpus_pipeline
+import numpy as np
 import pytest
 
 from jumptrail.llm import suffixes
 from jumptrail.llm.components import components
 from jumptrail.llm.decontamination import benchmark_terms, build_index, contamination, near_matches, postings_of
-from jumptrail.llm.lines import op7_line_dedup, repeated_lines, without_lines
+from jumptrail.llm.lines import WIDE, apart, op7_line_dedup, repeated_lines, sketches, without_lines
 from jumptrail.llm.near_duplicates import near_duplicates
 from jumptrail.llm.suffixes import remove_repeats
 from pyspark.sql import functions as F
@@ -235,3 +237,26 @@ def test_texts_under_one_id_whose_hashes_are_alike_in_part(spark):
     alike = other.filter(short == same).first()["text"]
     found = remove_repeats(spark.createDataFrame([(1, a), (5, a), (5, alike)], "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.n_bytes, r.n_removed) for r in found) == sorted([(1, len(a), 0), (5, len(a), len(a)), (5, len(alike), 0)])
+
+
+def test_line_sketches_differ_by_no_more_than_the_sets(spark):
+    random_ = np.random.default_rng(4)
+    rows = [(0,) * 9]
+    for size in (1, 10, 100, 1000) * 10:
+        one, two = (np.unique(random_.integers(0, 1 << 40, size, dtype=np.uint64)) for _ in "ab")
+        two = np.unique(np.concatenate((one[: random_.integers(0, one.size + 1)], two[: size // 3])))
+        numbers = [sketches(words & np.uint64(63), np.array([words.size]), len(WIDE)) for words in (one, two)]
+        rows.append((*[int(number[0]) for side in numbers for number in side], np.setxor1d(one, two).size))
+    columns = ", ".join([f"{side}_{name} long" for side in "ab" for name in WIDE])
+    found = spark.createDataFrame(rows, f"{columns}, differ long").select(apart(WIDE).alias("apart"), "differ").collect()
+    assert all(0 <= r.apart <= r.differ for r in found)
+    assert all(r.apart == 0 for r in found if r.differ == 0)
+    assert any(r.apart > 200 for r in found)
+
+
+def test_line_stage_keeps_columns_and_their_order(spark):
+    rows = [("u", 1, "a b c\nx", 7, 1.5), ("v", 2, "a b c\ny", 7, 2.5), ("w", 3, "a b c", 5, None), ("z", None, None, 0, 3.5)]
+    docs = spark.createDataFrame(rows, "`my.col` string, doc_id long, text string, n_chars int, _kept double")
+    found = corpus_pipeline.line_dedup(spark, docs, "")
+    assert found.columns == docs.columns
+    assert set(map(tuple, found.collect())) == {rows[0], ("v", 2, "y", 1, 2.5), ("z", None, None, None, 3.5)}
