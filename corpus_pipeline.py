@@ -28,12 +28,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut later copies of lines, however short; a document of which only spaces and empty lines are left goes."""
     lines = repeated_lines(docs.select("doc_id", "text"), least_words=1)
-    found = without_lines(docs.select(F.struct("*").alias("row"), "doc_id", "text"), lines)
+    others = {name: F.col(f"`{name.replace('`', '``')}`") for name in docs.columns if name not in ("doc_id", "text")}
+    rest = F.struct(F.lit(0).alias("_"), *[column.alias(f"_{n}") for n, column in enumerate(others.values())])
+    found = without_lines(docs.select(rest.alias("rest"), "doc_id", "text"), lines)
     found = found.filter((F.col("_removed") == 0) | F.col("_kept").rlike(r"[^\x20\x09-\x0D]"))
-    row = F.col("row").withField("text", F.col("_kept"))
-    if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.length("_kept").cast(docs.schema["n_chars"].dataType))
-    return found.select(row.alias("row")).select("row.*")
+    values = {name: F.col(f"rest._{n}") for n, name in enumerate(others)} | {"doc_id": F.col("doc_id"), "text": F.col("_kept")}
+    if "n_chars" in others:
+        values["n_chars"] = F.length("_kept").cast(docs.schema["n_chars"].dataType)
+    return found.select(*[values[name].alias(name) for name in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
