@@ -18,6 +18,7 @@ from jumptrail.plans import fixtures as fx
 from jumptrail.shared import fresh_path, written
 from jumptrail.sources import containers as files
 from jumptrail.sources import export, named, store, xml
+from jumptrail.sources.files import listed
 from jumptrail.streaming import ingest, recents
 
 TOP = 10
@@ -361,9 +362,9 @@ def _reference_export(spark, sf_dir, path=None, content=None):
 @query
 def reference_export(spark, sf_dir):
     """Every entry of the index with what its file holds."""
-    path = _reference_export(spark, sf_dir)
-    opened = xml.account(spark, path).select("host", "file", "n_documents", "n_entries", "n_lnks")
-    return export.read_master(spark, path).join(opened, ["host", "file"], "left")
+    files = listed(spark, _reference_export(spark, sf_dir))
+    opened = xml.account(spark, files).select("host", "file", "n_documents", "n_entries", "n_lnks")
+    return export.read_master(spark, files).join(opened, ["host", "file"], "left")
 
 
 @query

@@ -13,7 +13,7 @@ from jumptrail.operators.appid import EXTENSION, appids
 from jumptrail.operators.documents import DOCUMENT_RECORDS, documents
 from jumptrail.operators.lookup import join_lookup
 from jumptrail.shared import fresh_path
-from jumptrail.sources.files import listed
+from jumptrail.sources.files import listed_by_source
 
 T = TypeVar("T")
 
@@ -135,7 +135,7 @@ _KEPT: dict[tuple, Any] = {}
 def _state(spark: SparkSession, sf_dir: str) -> tuple:
     """Files, lengths and times of the tables that the views read, so that changed tables give new answers."""
     paths = [f"{sf_dir}/{name}.parquet" for name in sorted(set(BASE.values()))]
-    files = listed(spark, paths).select("path", "length", F.col("modified").cast("string")).collect()
+    files = listed_by_source(spark, paths).select("path", "length", F.col("modified").cast("string")).collect()
     return tuple(sorted(map(tuple, files)))
 
 

@@ -113,7 +113,7 @@ def write_master(spark: SparkSession, index: DataFrame, path: str) -> None:
 
 def read_master(spark: SparkSession, paths: Paths) -> DataFrame:
     """(host, place, file, appid) of index files, the place counted from 1 within each file."""
-    files = whole_files(spark, paths).filter(F.col("name").endswith(MASTER))
+    files = whole_files(spark, listed(spark, paths).filter(F.col("location").endswith(MASTER)))
     schema = "autoFile array<struct<_file:string,_appid:string>>"
     entries = F.from_xml("text", schema, {"mode": "PERMISSIVE"})["autoFile"]
     return files.select(

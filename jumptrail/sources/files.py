@@ -1,13 +1,19 @@
 """Files of exported containers as text, one row per file, so that no file can vanish without a row.
 
+Tasks list the folders and open the files, so the driver holds no list of them, however many there are; only in a
+store that tasks cannot open themselves does Spark's own file source list and read them.
+
 A file of at most WHOLE bytes is read whole and decoded by its byte order mark, by how its first bytes look, or by
 the encoding it declares. A longer file is read as UTF-8 in pieces by many tasks, cut before every start tag.
 """
 
 from __future__ import annotations
 
+import os
 import sys
-from collections.abc import Sequence
+import unicodedata
+from collections.abc import Iterator, Sequence
+from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -15,6 +21,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from jumptrail.shared import written
+from jumptrail.sources.named import file_system
+
 # Up to this many bytes a file is one value in a task.
 WHOLE = 64 << 20
 
@@ -33,7 +42,20 @@ _AS_UTF_8 = r"(?i)^(|utf-?8|us-ascii|ascii|utf-?16.*|utf-?32.*|ucs-?[24].*|iso-1
 # The UDF carries this module along, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-Paths = str | Sequence[str]
+# A folder, names of files, or files that have been listed.
+Paths = str | Sequence[str] | DataFrame
+
+LISTED = "path string, location string, length bigint, modified timestamp"
+_LISTED = pa.schema([("path", pa.string()), ("location", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC"))])
+_FOUND = _LISTED.append(pa.field("folder", pa.bool_()))
+_CONTENTS = _LISTED.append(pa.field("content", pa.binary()))
+
+# Layout only: a file of a listing names about so many bytes and at most so many files, and a batch holds so many bytes.
+PART_BYTES, PART_FILES = 32 << 20, 2000
+_BATCH_BYTES = 8 << 20
+
+# What a URI's path holds as it is.
+_URI = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_.!~*'():@&=+$,;/")
 
 
 def escaped_path(path: str) -> str:
@@ -82,11 +104,8 @@ def file_name() -> Column:
     return unescaped(F.col("_metadata.file_name"))
 
 
-def listed(spark: SparkSession, paths: Paths) -> DataFrame:
-    """(path, location, length, modified) of every file; contents are not read. A location is what `load` takes.
-
-    An empty file has no time.
-    """
+def listed_by_source(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """What `listed` gives, from Spark's own file source, whose list is held by the driver."""
     files = load(spark.read.format("binaryFile"), paths)
     found = files.select(
         file_path().alias("path"), F.col("path").alias("location"), "length", F.col("modificationTime").alias("modified")
@@ -97,6 +116,133 @@ def listed(spark: SparkSession, paths: Paths) -> DataFrame:
     return found.unionByName(empty)
 
 
+def _split(location: str) -> tuple[str, str]:
+    """What names a store, and the path in it."""
+    scheme, _, rest = location.partition(":")
+    if not rest.startswith("//"):
+        return f"{scheme}:", rest
+    authority, slash, path = rest[2:].partition("/")
+    return f"{scheme}://{authority}", slash + path
+
+
+def _opens(location: str) -> bool:
+    """Whether a task can open the store by itself."""
+    store, _ = _split(location)
+    try:
+        return store == "file:" or file_system(f"{store}/") is not None
+    except (OSError, ValueError, ImportError):
+        return False
+
+
+def _in_store(location: str):
+    """The file system of a location, and the location in it."""
+    store, path = _split(location)
+    if store == "file:":
+        return file_system(path)
+    system, root = file_system(f"{store}/")
+    return system, root.rstrip("/") + path
+
+
+def _as_uri(location: str) -> str:
+    """A location as Spark writes the path of a file: a URI."""
+
+    def kept(c: str) -> bool:
+        return c in _URI or (c > "\x7f" and unicodedata.category(c)[0] != "Z" and unicodedata.category(c) != "Cc")
+
+    store, path = _split(location)
+    return store + "".join(c if kept(c) else "".join(f"%{byte:02X}" for byte in c.encode()) for c in path)
+
+
+def _hidden(name: str) -> bool:
+    """What Spark's file sources leave out."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _children(location: str) -> Iterator[tuple[str, bool, int, int]]:
+    """(location, folder, length, milliseconds) of what lies in a folder, or of the file itself."""
+    from pyarrow import fs
+
+    system, path = _in_store(location)
+    if isinstance(system, fs.LocalFileSystem) and os.path.isdir(path):
+        with os.scandir(path) as found:
+            for one in found:
+                if not _hidden(one.name):
+                    status = one.stat()
+                    yield f"{location.rstrip('/')}/{one.name}", one.is_dir(), status.st_size, status.st_mtime_ns // 1_000_000
+        return
+    own = system.get_file_info(path)
+    for one in [own] if own.type == fs.FileType.File else system.get_file_info(fs.FileSelector(path)):
+        if one is own or not _hidden(one.base_name):
+            folder = one.type == fs.FileType.Directory
+            where = location if one is own else f"{location.rstrip('/')}/{one.base_name}"
+            yield where, folder, 0 if folder else one.size, (one.mtime_ns or 0) // 1_000_000
+
+
+def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in folders; an empty file has no time."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*rows), _FOUND)], schema=_FOUND)
+
+    rows: list[tuple] = []
+    for folders in batches:
+        for folder in folders.column(0).to_pylist():
+            for location, is_folder, length, millis in _children(folder):
+                time = datetime.fromtimestamp(millis // 1000, timezone.utc).replace(microsecond=millis % 1000 * 1000) if length else None
+                rows.append((_as_uri(location), location, length, time, is_folder))
+                if len(rows) == 10_000:
+                    yield batch(rows)
+                    rows = []
+    if rows:
+        yield batch(rows)
+
+
+def _roots(spark: SparkSession, paths: str | Sequence[str]) -> list[str]:
+    """Full names of a folder, of what its wildcards stand for, or of the named files; none if one is not there."""
+    found = []
+    for path in [paths] if isinstance(paths, str) else [escaped_path(path) for path in paths]:
+        name = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there = name.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(name)
+        if not there:
+            return []
+        found += [status.getPath().toString() for status in there]
+    return found
+
+
+def listed(spark: SparkSession, paths: Paths) -> DataFrame:
+    """(path, location, length, modified) of every file as a written table; contents are not read. A location is what
+    `load` takes.
+
+    Folders are listed by tasks, one level of them after the other. An empty file has no time.
+    """
+    if isinstance(paths, DataFrame):
+        return paths
+    roots = _roots(spark, paths)
+    if not roots or not all(map(_opens, roots)):
+        # This also says what is missing.
+        return written(listed_by_source(spark, paths), "listed") if paths else spark.createDataFrame([], LISTED)
+    folders = spark.createDataFrame([(root,) for root in roots], "location string")
+    levels = []
+    while True:
+        level = written(folders.mapInArrow(_look, LISTED + ", folder boolean"), "level")
+        levels.append(level.filter("NOT folder").drop("folder"))
+        folders = level.filter("folder").select("location")
+        if folders.isEmpty():
+            break
+        folders = folders.repartition("location")
+    files = levels[0]
+    for level in levels[1:]:
+        files = files.unionByName(level)
+    return written(spread(files), "listed")
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """A listing in so many partitions that no task has to read many files or bytes."""
+    number, size = files.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = max(size // PART_BYTES, number // PART_FILES, min(number, files.sparkSession.sparkContext.defaultParallelism), 1)
+    return files.repartition(int(parts))
+
+
 def encoding_of(content: Column) -> Column:
     """The encoding of a file's bytes, UTF-8 unless they say otherwise."""
     first = F.hex(F.substring(content, 1, 4))
@@ -124,20 +270,61 @@ def _decoded(contents: pa.Array, encodings: pa.Array) -> pa.Array:
     return pa.array([text(c.as_py(), e.as_py()) for c, e in zip(contents, encodings)], pa.string())
 
 
-def whole_files(spark: SparkSession, paths: Paths) -> DataFrame:
+def _contents(skip_gone: bool):
+    """Rows of a listing with the bytes of each file, by tasks that open it."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*held), _CONTENTS)], schema=_CONTENTS)
+
+        for listing in batches:
+            for row in listing.to_pylist():
+                try:
+                    system, path = _in_store(row["location"])
+                    with system.open_input_stream(path) as stream:
+                        content = stream.read()
+                except FileNotFoundError:
+                    if skip_gone:
+                        continue
+                    raise
+                held.append((row["path"], row["location"], len(content), row["modified"], content))
+                size += len(content)
+                if size >= _BATCH_BYTES or len(held) == 1000:
+                    yield batch()
+                    held, size = [], 0
+        if held:
+            yield batch()
+
+    return read
+
+
+def _read_whole(spark: SparkSession, paths: Paths, skip_gone: bool) -> DataFrame:
+    """(path, name, length, modified, content) of the files that are read whole."""
+    files = listed(spark, paths).filter(F.col("length") <= WHOLE).select("path", "location", "length", "modified")
+    some = files.select("location").first()
+    if some is None or _opens(some["location"]):
+        found = files.mapInArrow(_contents(skip_gone), LISTED + ", content binary")
+    else:
+        reader = spark.read.format("binaryFile").option("ignoreMissingFiles", str(skip_gone).lower())
+        source = paths if not isinstance(paths, DataFrame) else [r["location"] for r in files.select("location").collect()]
+        bytes_of = load(reader, source).select(file_path().alias("path"), "content")
+        # Spark's scans leave out files without a byte.
+        found = files.join(bytes_of, "path", "left").withColumn("content", F.when(F.col("length") == 0, F.lit(b"")).otherwise(F.col("content")))
+        found = found.filter("content IS NOT NULL")
+    return found.select("path", F.element_at(F.split("location", "/"), -1).alias("name"), "length", "modified", "content")
+
+
+def whole_files(spark: SparkSession, paths: Paths, skip_gone: bool = False) -> DataFrame:
     """(path, name, length, modified, digest, encoding, text, readable) of the files that are read whole.
 
-    `readable` tells whether the bytes are text of that encoding; where they are not, `text` shows what it can.
+    `readable` tells whether the bytes are text of that encoding; where they are not, `text` shows what it can. A file
+    that went away since it was listed is an error, or left out.
     """
-    files = load(spark.read.format("binaryFile"), paths).filter(F.col("length") <= WHOLE)
-    known = files.select(
-        file_path().alias("path"),
-        file_name().alias("name"),
-        "length",
-        F.col("modificationTime").alias("modified"),
-        "content",
-        encoding_of(F.col("content")).alias("encoding"),
-    )
+    files = _read_whole(spark, paths, skip_gone)
+    known = files.withColumn("encoding", encoding_of(F.col("content")))
     other = F.when(F.col("encoding") != UTF_8, F.col("content"))
     decoded = known.withColumn("decoded", _decoded(other, F.col("encoding")))
     plain = F.col("content").cast("string")
@@ -149,11 +336,16 @@ def whole_files(spark: SparkSession, paths: Paths) -> DataFrame:
     ).withColumn("text", F.when(F.col("text").startswith("\ufeff"), F.expr("substring(text, 2)")).otherwise(F.col("text")))
 
 
-def long_files(spark: SparkSession, paths: Paths, separator: str) -> DataFrame:
-    """(path, name, length, modified, text) of the longer files, a row for what lies between two separators."""
+def long_files(spark: SparkSession, paths: Paths, separator: str, skip_gone: bool = False) -> DataFrame | None:
+    """(path, name, length, modified, text) of the longer files, a row for what lies between two separators; None
+    without any. They are few, as each holds more than WHOLE bytes."""
+    names = [row["location"] for row in listed(spark, paths).filter(F.col("length") > WHOLE).select("location").collect()]
+    if skip_gone:
+        names = [name for name in names if _roots(spark, [name])]
+    if not names:
+        return None
     reader = spark.read.format("text").schema("value string").option("lineSep", separator)
-    found = load(reader, paths).filter(F.col("_metadata.file_size") > WHOLE)
-    return found.select(
+    return load(reader, names).select(
         file_path().alias("path"),
         file_name().alias("name"),
         F.col("_metadata.file_size").alias("length"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from jumptrail.functions.text import file_stem
 from jumptrail.operators.documents import DECLARED, entries_of, lnks_of, parse_documents, split_rejects
-from jumptrail.sources.files import UTF_8, Paths, empty_files, listed, long_files, unescaped, whole_files
+from jumptrail.sources.files import UTF_8, Paths, listed, long_files, unescaped, whole_files
 
 ROW_TAG = "AutomaticDestinations"
 INDEX_SCHEMA = "_host string, _file string, _appid string"
@@ -102,21 +102,21 @@ def _long_pieces(rows: DataFrame) -> DataFrame:
     return rows.withColumn("pieces", found)
 
 
-def read_pieces(spark: SparkSession, paths: Paths, empty: bool = True) -> DataFrame:
+def read_pieces(spark: SparkSession, paths: Paths, empty: bool = True, skip_gone: bool = False) -> DataFrame:
     """(path, name, length, modified, digest, pieces) of files; pieces are texts with the reason if one is no document.
 
     Every file is a row, and has at least one piece unless it is an index. A file longer than WHOLE is several rows,
-    without a digest. Empty files have to be looked up in the listing; who needs only documents can do without.
+    without a digest. Who needs only documents can do without empty files.
     """
     names = ["path", "name", "length", "modified", "digest", "pieces"]
-    short = _short_pieces(whole_files(spark, paths))
-    long = _long_pieces(long_files(spark, paths, START)).withColumn("digest", F.lit(None).cast("string"))
-    found = short.select(names).unionByName(long.select(names))
+    files = listed(spark, paths)
     if not empty:
+        files = files.filter("length > 0")
+    found = _short_pieces(whole_files(spark, files, skip_gone)).select(names)
+    long = long_files(spark, files, START, skip_gone)
+    if long is None:
         return found
-    nothing = F.array(_piece(F.lit(""), F.lit("empty file")))
-    columns = [F.col("path"), unescaped(F.element_at(F.split("path", "/"), -1)), F.lit(0), F.lit(None).cast("timestamp"), F.sha2(F.lit(""), 256), nothing]
-    return found.unionByName(empty_files(spark, paths).select(*(c.alias(name) for c, name in zip(columns, names))))
+    return found.unionByName(_long_pieces(long).withColumn("digest", F.lit(None).cast("string")).select(names))
 
 
 def documents_of(pieces: DataFrame, host: str = "") -> DataFrame:
@@ -126,10 +126,18 @@ def documents_of(pieces: DataFrame, host: str = "") -> DataFrame:
     An export by Spark says host and AppID in attributes; any other export says the AppID in the file name, and the
     host in a `host=` folder or by argument.
     """
+    return _parsed(_rows_of(pieces).filter(F.col("text").isNotNull()), host)
+
+
+def _rows_of(pieces: DataFrame) -> DataFrame:
+    """A row for each piece; an index file has one without text."""
     # The outer kind, as for a plain one Spark would compute the pieces twice, once to filter by.
-    rows = pieces.select(
+    return pieces.select(
         F.col("path").alias("source"), "digest", "name", partition_value(F.col("path"), "host").alias("folder"), F.inline_outer("pieces")
-    ).filter(F.col("text").isNotNull())
+    )
+
+
+def _parsed(rows: DataFrame, host: str) -> DataFrame:
     tag = F.when(
         F.col("text").startswith(START), F.concat(F.regexp_extract("text", rf"^{START}[^<>]*?(?=/*>|<|$)", 0), F.lit("/>"))
     )
@@ -174,16 +182,17 @@ def account(spark: SparkSession, paths: Paths, host: str = "") -> DataFrame:
     A file has a document or a reject at least, unless it is an index; one that reading left out has the reason
     "not read", so the listing is held against what was read.
     """
-    docs = read_documents(spark, paths, host)
-    broken = F.col("_corrupt_record").isNotNull()
+    files = listed(spark, paths)
+    docs = _parsed(_rows_of(read_pieces(spark, files)), host)
+    broken, index = F.col("_corrupt_record").isNotNull(), F.col("raw").isNull()
+    good = ~broken & ~index
     read = docs.groupBy("source").agg(
-        F.count_if(~broken).alias("n_documents"), F.count_if(broken).alias("n_rejects"),
-        F.sum(F.when(~broken, F.greatest(F.size("DestList.DestListEntryV2"), F.lit(0))).otherwise(0)).alias("n_entries"),
-        F.sum(F.when(~broken, F.greatest(F.size("LNKs.LNK"), F.lit(0))).otherwise(0)).alias("n_lnks"),
+        F.count_if(good).alias("n_documents"), F.count_if(broken).alias("n_rejects"),
+        F.sum(F.when(good, F.greatest(F.size("DestList.DestListEntryV2"), F.lit(0))).otherwise(0)).alias("n_entries"),
+        F.sum(F.when(good, F.greatest(F.size("LNKs.LNK"), F.lit(0))).otherwise(0)).alias("n_lnks"),
         F.sort_array(F.collect_set("reason")).alias("reasons"),
     )
-    indexes = read_pieces(spark, paths, empty=False).filter(F.size("pieces") == 0).select(F.col("path").alias("source"), F.lit(True).alias("index"))
-    files = listed(spark, paths).withColumnRenamed("path", "source").join(read, "source", "left").join(indexes.distinct(), "source", "left")
+    files = files.withColumnRenamed("path", "source").join(read, "source", "left")
     nothing = F.col("n_documents").isNull()
     return files.select(
         "source",
@@ -191,7 +200,7 @@ def account(spark: SparkSession, paths: Paths, host: str = "") -> DataFrame:
         unescaped(F.element_at(F.split("source", "/"), -1)).alias("file"),
         "length",
         *(F.coalesce(name, F.lit(0)).cast("bigint").alias(name) for name in ("n_documents", "n_rejects", "n_entries", "n_lnks")),
-        F.when(nothing & F.col("index").isNull(), F.array(F.lit("not read")))
+        F.when(nothing, F.array(F.lit("not read")))
         .otherwise(F.coalesce("reasons", F.array().cast("array<string>"))).alias("reasons"),
     )
 

@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from jumptrail.operators.documents import container_parts, containers_of, entries_of, lnks_of, split_rejects
 from jumptrail.shared import fresh_path, remove
-from jumptrail.sources.files import listed
+from jumptrail.sources.files import listed, spread
 from jumptrail.sources.xml import documents_of, read_pieces
 
 ENTRIES = "entries"
@@ -86,13 +86,13 @@ def _write_batch(spark: SparkSession, out_dir: str, host: str) -> Callable[[Data
             rows.write.mode("overwrite").parquet(f"{out_dir}/{table}/batch={batch}")
 
         changes = _last(changes, "seq").persist()
-        # At most as many as a file of the log holds.
-        locations = [row["location"] for row in changes.filter("NOT gone").select("location").collect()]
         before = _stored(spark, f"{out_dir}/{FILES}", FILE).filter(F.col("batch") < batch)
         before = _last(before.join(F.broadcast(changes.select("path")), "path", "left_semi"), "batch")
         # Written once, as all the tables below read it; it goes when the batch is done.
         parsed = fresh_path(spark, "parsed")
-        _documents(spark, locations, host).drop("raw").write.parquet(parsed)
+        # What went away since it was noted is left out; the next look at the folder notes that.
+        there = spread(changes.filter("NOT gone").select("path", "location", "length", "modified"))
+        documents_of(read_pieces(spark, there, skip_gone=True), host).drop("raw").write.parquet(parsed)
         docs = spark.read.parquet(parsed)
         broken = F.col("_corrupt_record").isNotNull()
         read = docs.groupBy(F.col("source").alias("path")).agg(
@@ -123,27 +123,6 @@ def _write_batch(spark: SparkSession, out_dir: str, host: str) -> Callable[[Data
     return write
 
 
-def _documents(spark: SparkSession, locations: list[str], host: str) -> DataFrame:
-    if not locations:
-        return documents_of(read_pieces(spark, []), host)
-    try:
-        return documents_of(read_pieces(spark, locations), host)
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-    # Some went away since they were noted; the next look at the folder notes that.
-    there = [location for location in locations if _exists(spark, location)]
-    return documents_of(read_pieces(spark, there), host)
-
-
-def _exists(spark: SparkSession, location: str) -> bool:
-    try:
-        listed(spark, [location])
-        return True
-    except AnalysisException:
-        return False
-
-
 def stream_ingest(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, files_per_batch: int = 10_000, host: str = ""
 ) -> StreamingQuery:

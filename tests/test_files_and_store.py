@@ -252,3 +252,53 @@ def test_times_and_lengths_key_what_is_kept(spark, tmp_path):
     spark.range(30).write.mode("overwrite").parquet(str(tmp_path / "part.parquet"))
     fx.once(spark, str(tmp_path), "thing", lambda: made.append(1))
     assert len(made) == 2
+
+
+def listing(rows):
+    return sorted((r.path, r.location, r.length, r.modified) for r in rows.collect())
+
+
+def test_tasks_list_what_the_file_source_lists(spark, odd, tmp_path):
+    for name, content in ODD.items():
+        for folder in ("host=a", "host=b%2Fc d/appid=é", "_left", ".out", "_k=1"):
+            (tmp_path / folder).mkdir(parents=True, exist_ok=True)
+            (tmp_path / folder / name).write_bytes(content)
+    (tmp_path / "_SUCCESS").write_bytes(b"x")
+    (tmp_path / "none").mkdir()
+    here = str(tmp_path)
+    want = listing(files.listed_by_source(spark, here))
+    assert len(want) == 3 * len(ODD) and listing(files.listed(spark, here)) == want
+    assert listing(files.listed(spark, f"file://{here}/host=*")) == listing(files.listed_by_source(spark, f"file://{here}/host=*"))
+    some = [location for _, location, _, _ in want[:7]]
+    assert listing(files.listed(spark, some)) == want[:7]
+    assert files.listed(spark, f"{here}/none").isEmpty()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.listed(spark, f"{here}/gone")
+
+
+def test_the_driver_holds_no_list_of_the_files(spark, odd, tmp_path):
+    for found in (xml.account(spark, odd), xml.read_entries(spark, odd), export.read_master(spark, odd)):
+        plan = found._jdf.queryExecution().toString()
+        assert "binaryFile" not in plan and odd not in plan
+    folder, out = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    (folder / "a.xml").write_text(container("1"))
+    ingest.note_changes(spark, str(folder), f"{out}/{ingest.CHANGES}")
+    assert spark.read.parquet(f"{out}/{ingest.CHANGES}").count() == 1
+
+
+def test_a_file_that_went_away_is_an_error_or_left_out(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.xml").write_text(container(name))
+    found = files.listed(spark, str(tmp_path))
+    (tmp_path / "a.xml").unlink()
+    left = files.whole_files(spark, found, skip_gone=True).collect()
+    assert [r.name for r in left] == ["b.xml"]
+    with pytest.raises(Exception, match="a.xml"):
+        files.whole_files(spark, found).collect()
+
+
+def test_a_store_that_tasks_cannot_open_is_read_by_the_file_source(spark, odd, monkeypatch):
+    want = sorted(map(str, xml.account(spark, odd).collect()))
+    monkeypatch.setattr(files, "_opens", lambda location: False)
+    assert sorted(map(str, xml.account(spark, odd).collect())) == want
