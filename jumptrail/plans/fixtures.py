@@ -159,10 +159,14 @@ def kept(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], Non
 
 
 def dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidate AppIDs of all paths as a written table: joins read it, they do not hash again."""
+    """Candidate AppIDs of all paths as a written table: joins read it, they do not hash again.
+
+    The hashes cost far more than the reading, so the paths are spread first: a small file is read by one task.
+    """
 
     def write(path: str) -> None:
-        appids(view(spark, sf_dir, "fx_paths")).write.parquet(path)
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        appids(view(spark, sf_dir, "fx_paths").repartition(parts)).write.parquet(path)
 
     return spark.read.parquet(kept(spark, sf_dir, "dictionary", write))
 
