@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jumptrail.shared import written
+
 ENTRY = "struct<_EntryNumber:string,_Path:string,_LastModified:string>"
 LNK = (
     "struct<LinkInfo:struct<_LocalBasePath:string>,NAME_STRING:struct<_String:string>,"
@@ -39,9 +41,8 @@ def _cannot_write(*columns: str) -> Column:
     return F.rlike(F.concat_ws("", *columns), F.lit(_UNWRITABLE)).alias("unwritable")
 
 
-def _attribute(value: str, element: str) -> Column:
-    present = F.col(value).isNotNull()
-    return F.when(present, F.struct(F.col(value).alias(element)))
+def _attribute(value: Column, element: str) -> Column:
+    return F.when(value.isNotNull(), F.struct(value.alias(element)))
 
 
 def documents(entries: DataFrame, lnks: DataFrame, most: int = DOCUMENT_RECORDS) -> DataFrame:
@@ -52,26 +53,39 @@ def documents(entries: DataFrame, lnks: DataFrame, most: int = DOCUMENT_RECORDS)
     tells documents with a character that XML cannot hold.
     """
     first = F.floor((F.col("position") - 1) / most) * most
-    entry = F.struct(
-        F.col("entry_number").cast("string").alias("_EntryNumber"),
-        F.col("path").alias("_Path"),
-        F.col("last_modified").cast("string").alias("_LastModified"),
-    )
-    lnk = F.struct(
-        _attribute("local_base_path", "_LocalBasePath").alias("LinkInfo"),
-        _attribute("name_string", "_String").alias("NAME_STRING"),
-        _attribute("arguments", "_String").alias("COMMAND_LINE_ARGUMENTS"),
-    )
+    # Records move as they come, and become what is written in their document: as text they are twice as long.
+    of_entry, of_lnk = ["position", "entry_number", "path", "last_modified"], ["position", "local_base_path", "name_string", "arguments"]
+
+    def entry(row: Column) -> Column:
+        return F.struct(
+            row["position"].alias("position"),
+            F.struct(
+                row["entry_number"].cast("string").alias("_EntryNumber"),
+                row["path"].alias("_Path"),
+                row["last_modified"].cast("string").alias("_LastModified"),
+            ).alias("one"),
+        )
+
+    def lnk(row: Column) -> Column:
+        return F.struct(
+            row["position"].alias("position"),
+            F.struct(
+                _attribute(row["local_base_path"], "_LocalBasePath").alias("LinkInfo"),
+                _attribute(row["name_string"], "_String").alias("NAME_STRING"),
+                _attribute(row["arguments"], "_String").alias("COMMAND_LINE_ARGUMENTS"),
+            ).alias("one"),
+        )
+
     head = [*IDENTITY, first.cast("bigint").alias("first")]
-    no_entry = F.lit(None).cast(f"struct<position:bigint,one:{ENTRY}>").alias("entry")
-    no_lnk = F.lit(None).cast(f"struct<position:bigint,one:{LNK}>").alias("lnk")
+    no_entry = F.lit(None).cast(entries.select(*of_entry).schema).alias("entry")
+    no_lnk = F.lit(None).cast(lnks.select(*of_lnk).schema).alias("lnk")
     nothing = F.lit(None).cast("bigint")
     records = entries.select(
-        *head, F.struct("position", entry.alias("one")).alias("entry"), no_lnk, _cannot_write(*IDENTITY, "path"),
+        *head, F.struct(*of_entry).alias("entry"), no_lnk, _cannot_write(*IDENTITY, "path"),
         nothing.alias("allEntries"), nothing.alias("allLnks"),
     ).unionByName(
         lnks.select(
-            *head, no_entry, F.struct("position", lnk.alias("one")).alias("lnk"),
+            *head, no_entry, F.struct(*of_lnk).alias("lnk"),
             _cannot_write(*IDENTITY, "local_base_path", "name_string", "arguments"),
             nothing.alias("allEntries"), nothing.alias("allLnks"),
         )
@@ -85,8 +99,8 @@ def documents(entries: DataFrame, lnks: DataFrame, most: int = DOCUMENT_RECORDS)
         *IDENTITY, F.lit(0).cast("bigint").alias("first"), no_entry, no_lnk, F.lit(False).alias("unwritable"), "allEntries", "allLnks"
     )
     grouped = records.unionByName(totals).groupBy(*IDENTITY, "first").agg(
-        F.array_sort(F.collect_list("entry")).alias("entries"),
-        F.array_sort(F.collect_list("lnk")).alias("lnks"),
+        F.array_sort(F.transform(F.collect_list("entry"), entry)).alias("entries"),
+        F.array_sort(F.transform(F.collect_list("lnk"), lnk)).alias("lnks"),
         F.bool_or("unwritable").alias("unwritable"),
         F.max("allEntries").alias("allEntries"),
         F.max("allLnks").alias("allLnks"),
@@ -110,11 +124,12 @@ def split_unwritable(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents of the containers that XML can hold, and the names of the other containers.
 
     One bad character would fail the whole export; so its container is left out and reported.
-    Hand over a table: it is read for the bad containers and again for the rest. The right side
+    Hand over a table: it is read for the bad containers and again for the rest. The bad ones are a table of their own,
+    whose size Spark knows: as long as they are few, the documents stay where they are. The right side
     of the join is a plain scan, so Spark's skew join may cut a hot container on the left.
     """
-    bad = docs.filter("unwritable").select(*IDENTITY)
-    rejects = bad.distinct().withColumn("file", F.concat("appid", F.lit(".xml")))
+    bad = written(docs.filter("unwritable").select(*IDENTITY).distinct(), "unwritable")
+    rejects = bad.withColumn("file", F.concat("appid", F.lit(".xml")))
     return docs.join(bad, [*IDENTITY], "left_anti"), rejects
 
 
@@ -197,6 +212,8 @@ def split_incomplete(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     counted = _counted(docs)
     bad = counted.groupBy(*IDENTITY).agg(_incomplete(docs).alias("incomplete")).filter("incomplete").select(*IDENTITY)
+    # As a table its size is known, so a few containers move no documents.
+    bad = written(bad, "incomplete")
     whole = docs.join(bad, [*IDENTITY], "left_anti").drop("_corrupt_record", "reason")
     known = [name for name in ("source", *IDENTITY, "first", "file") if name in docs.columns]
     reason = F.coalesce("reason", F.lit("part of an incomplete container")) if "reason" in docs.columns else F.lit("incomplete container")

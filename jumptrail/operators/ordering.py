@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jumptrail.shared import bucketed
+from jumptrail.shared import SMALL, bucketed
 
 _RANGE = "_range"
 
@@ -24,7 +24,7 @@ def _in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     spark = df.sparkSession
     ranges = df.repartitionByRange(*[F.col(key).asc_nulls_first() for key in keys], *order)
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return spark.table(bucketed(ranges.withColumn(_RANGE, F.spark_partition_id()), "ranges", number, [_RANGE]))
+    return spark.table(bucketed(ranges.withColumn(_RANGE, F.spark_partition_id()), "ranges", number, [_RANGE], SMALL))
 
 
 def _stitched(rows: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFrame:

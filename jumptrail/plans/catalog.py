@@ -15,7 +15,7 @@ from jumptrail.functions.text import appid_hex, upper_invariant
 from jumptrail.known_folders import known_folders, with_guid_use
 from jumptrail.operators import activity, appid, documents, identify, report
 from jumptrail.plans import fixtures as fx
-from jumptrail.shared import fresh_path, written
+from jumptrail.shared import SMALL, fresh_path, written
 from jumptrail.sources import containers as files
 from jumptrail.sources import export, named, store, xml
 from jumptrail.sources.files import listed
@@ -40,7 +40,7 @@ def _new_export(
     spark: SparkSession, sf_dir: str, path: str | None = None, per_container: bool = False
 ) -> str:
     path = path or fresh_path(spark, "export")
-    docs = written(fx.container_documents(spark, sf_dir), "documents")
+    docs = written(fx.container_documents(spark, sf_dir), "documents", SMALL)
     good, _ = documents.split_unwritable(docs)
     xml.write_documents(good, path, per_container)
     return path

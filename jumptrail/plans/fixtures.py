@@ -12,8 +12,7 @@ from jumptrail.operators.activity import with_positions
 from jumptrail.operators.appid import EXTENSION, appids
 from jumptrail.operators.documents import DOCUMENT_RECORDS, documents
 from jumptrail.operators.lookup import join_lookup
-from jumptrail.shared import fresh_path
-from jumptrail.sources.files import listed_by_source
+from jumptrail.shared import SMALL, fresh_path
 
 T = TypeVar("T")
 
@@ -134,9 +133,15 @@ _KEPT: dict[tuple, Any] = {}
 
 def _state(spark: SparkSession, sf_dir: str) -> tuple:
     """Files, lengths and times of the tables that the views read, so that changed tables give new answers."""
-    paths = [f"{sf_dir}/{name}.parquet" for name in sorted(set(BASE.values()))]
-    files = listed_by_source(spark, paths).select("path", "length", F.col("modified").cast("string")).collect()
-    return tuple(sorted(map(tuple, files)))
+    found = []
+    for name in sorted(set(BASE.values())):
+        # Asked of the file system itself: a job for it takes longer than most of what is looked up.
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True)
+        while files.hasNext():
+            status = files.next()
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
 
 
 def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], T]) -> T:
@@ -189,7 +194,8 @@ def _with_appid(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view with AppIDs as a written table, as hot keys are looked for where it is joined."""
 
     def write(path: str) -> None:
-        with_appid(view(spark, sf_dir, name), dictionary(spark, sf_dir)).write.parquet(path)
+        rows = with_appid(view(spark, sf_dir, name), dictionary(spark, sf_dir))
+        rows.write.option("compression", SMALL).parquet(path)
 
     return spark.read.parquet(kept(spark, sf_dir, f"{name}-with-appid", write))
 
@@ -213,5 +219,7 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def container_documents(spark: SparkSession, sf_dir: str, most: int = DOCUMENT_RECORDS) -> DataFrame:
-    placed = documents(with_positions(entries(spark, sf_dir)), with_positions(lnks(spark, sf_dir)), most)
+    # What no document says does not move along.
+    found = [rows(spark, sf_dir).drop("path_id") for rows in (entries, lnks)]
+    placed = documents(*map(with_positions, found), most)
     return placed.withColumn("file", F.concat("appid", F.lit(".xml")))

@@ -7,7 +7,13 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+# For tables of whole entries and documents.
+SMALL = "zstd"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -47,23 +53,34 @@ def releasing(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder: computed once, safe to read many times."""
+def few_rows(spark: SparkSession, schema: str, **columns: Sequence) -> DataFrame:
+    """A small frame of the driver's, planned as a local table: no Python worker starts to read it."""
+    return spark.createDataFrame(pa.table({name: pa.array(values) for name, values in columns.items()}), schema)
+
+
+def no_rows(spark: SparkSession, schema: str) -> DataFrame:
+    """A frame without rows, as a local table too."""
+    return spark.range(0).select(*(F.lit(None).cast(field.dataType).alias(field.name) for field in StructType.fromDDL(schema)))
+
+
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: computed once, safe to read many times. Rows that are many and
+    read seldom are worth a codec that takes longer to write and less room."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     with releasing(spark):
-        df.write.parquet(path)
+        (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, keys: Sequence[str]) -> str:
+def bucketed(df: DataFrame, name: str, buckets: int, keys: Sequence[str], codec: str | None = None) -> str:
     """The rows as a bucketed and sorted table in the shared folder; its name."""
     spark = df.sparkSession
     table = f"{name}_{uuid.uuid4().hex}"
     path = fresh_path(spark, name)
     _TABLES.setdefault(id(spark.sparkContext), {})[table] = path
     with releasing(spark):
-        df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
+        (df.write.option("compression", codec) if codec else df.write).bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(table)
     return table
 
 

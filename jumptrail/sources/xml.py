@@ -16,6 +16,9 @@ INDEX_SCHEMA = "_host string, _file string, _appid string"
 DOCUMENTS_PER_FILE = 2000
 INDEX_ROWS_PER_FILE = 1_000_000
 
+# Layout only: of four blanks a level, as is usual, a fifth of an export would consist.
+INDENT = " "
+
 
 START, END = f"<{ROW_TAG}", f"</{ROW_TAG}>"
 
@@ -234,6 +237,7 @@ def write_documents(docs: DataFrame, path: str, per_container: bool = False) ->
         shown.write.format("xml")
         .option("rootTag", "jumpLists")
         .option("rowTag", ROW_TAG)
+        .option("indent", INDENT)
         .option("maxRecordsPerFile", DOCUMENTS_PER_FILE)
     )
     (writer.partitionBy("host", "appid") if per_container else writer).save(path)
