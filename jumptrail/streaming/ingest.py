@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jumptrail.operators.documents import container_parts, containers_of, entries_of, lnks_of, split_rejects
-from jumptrail.shared import fresh_path, remove
+from jumptrail.shared import SMALL, fresh_path, no_rows, remove
 from jumptrail.sources.files import listed, spread
 from jumptrail.sources.xml import documents_of, read_pieces
 
@@ -45,7 +45,7 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     except AnalysisException as missing:
         if missing.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schema)
+        return no_rows(spark, schema)
 
 
 def _last(rows: DataFrame, order: str) -> DataFrame:
@@ -83,7 +83,7 @@ def note_changes(spark: SparkSession, in_dir: str, log_dir: str, files_per_batch
 def _write_batch(spark: SparkSession, out_dir: str, host: str) -> Callable[[DataFrame, int], None]:
     def write(changes: DataFrame, batch: int) -> None:
         def put(rows: DataFrame, table: str) -> None:
-            rows.write.mode("overwrite").parquet(f"{out_dir}/{table}/batch={batch}")
+            rows.write.mode("overwrite").option("compression", SMALL).parquet(f"{out_dir}/{table}/batch={batch}")
 
         changes = _last(changes, "seq").persist()
         before = _stored(spark, f"{out_dir}/{FILES}", FILE).filter(F.col("batch") < batch)
@@ -92,7 +92,7 @@ def _write_batch(spark: SparkSession, out_dir: str, host: str) -> Callable[[Data
         parsed = fresh_path(spark, "parsed")
         # What went away since it was noted is left out; the next look at the folder notes that.
         there = spread(changes.filter("NOT gone").select("path", "location", "length", "modified"))
-        documents_of(read_pieces(spark, there, skip_gone=True), host).drop("raw").write.parquet(parsed)
+        documents_of(read_pieces(spark, there, skip_gone=True), host).drop("raw").write.option("compression", SMALL).parquet(parsed)
         docs = spark.read.parquet(parsed)
         broken = F.col("_corrupt_record").isNotNull()
         read = docs.groupBy(F.col("source").alias("path")).agg(
