@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from jumptrail.shared import few_rows
+
 # Every task keeps a sketch of at most so many keys, and the sketches are merged; so a key with more than
 # 3.5 / TRACKED of all rows is always seen, and counted at most so much too high.
 TRACKED = 32_768
@@ -44,7 +46,7 @@ def hot_hashes(fact: DataFrame, keys: Sequence[str], min_rows: int = HOT_ROWS) -
 
 
 def _marks(fact: DataFrame, hashes: list[int]) -> DataFrame:
-    rows = fact.sparkSession.createDataFrame([(key,) for key in hashes], f"{_KEY} long")
+    rows = few_rows(fact.sparkSession, f"{_KEY} long", **{_KEY: hashes})
     return F.broadcast(rows.withColumn("_hot", F.lit(True)))
 
 

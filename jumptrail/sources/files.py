@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from jumptrail.shared import written
+from jumptrail.shared import few_rows, no_rows, written
 from jumptrail.sources.named import file_system
 
 # Up to this many bytes a file is one value in a task.
@@ -220,8 +220,8 @@ def listed(spark: SparkSession, paths: Paths) -> DataFrame:
     roots = _roots(spark, paths)
     if not roots or not all(map(_opens, roots)):
         # This also says what is missing.
-        return written(listed_by_source(spark, paths), "listed") if paths else spark.createDataFrame([], LISTED)
-    folders = spark.createDataFrame([(root,) for root in roots], "location string")
+        return written(listed_by_source(spark, paths), "listed") if paths else no_rows(spark, LISTED)
+    folders = few_rows(spark, "location string", location=roots)
     levels = []
     while True:
         level = written(folders.mapInArrow(_look, LISTED + ", folder boolean"), "level")

@@ -68,3 +68,16 @@ def test_a_bucketed_table_goes_with_its_files(spark):
     assert spark.table(table).count() == 20
     shared.unbucketed(spark, table)
     assert not spark.catalog.tableExists(table) and not os.path.exists(path.removeprefix("file:"))
+
+
+def test_small_frames_start_no_python_worker(spark):
+    from jumptrail.operators import lookup
+    from jumptrail.shared import few_rows, no_rows
+
+    rows = few_rows(spark, "a long", a=[3, 5])
+    nothing = no_rows(spark, "a string, b timestamp")
+    assert [r.a for r in rows.collect()] == [3, 5] and nothing.columns == ["a", "b"] and nothing.count() == 0
+    marks = lookup._marks(spark.range(3), [7, 8])
+    for frame in (rows, nothing, marks):
+        assert "ExistingRDD" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r[lookup._KEY] for r in marks.collect()) == [7, 8]
