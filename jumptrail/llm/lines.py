@@ -11,7 +11,8 @@ table of `RARITY` hash buckets, ties by hash: a fixed order, so the filters stay
 words of its prefix. A pair is a candidate if it shares a prefix word, its sizes and the positions of that word allow
 the overlap, and their sketches differ by no more than the words in which they may differ. A sketch counts a set's words
 by hash, modulo 16, in 16 places (64 bits) in the file and in 64 places after it: one word more or less changes one
-count by one. Candidates are verified on their full sets. The file is stored by word, so nothing is shuffled twice. The first pass
+count by one. Candidates are verified on their full sets. Entries move packed, dealt by word; of those under a word only the ones
+that have a candidate there are stored, by word, so nothing of the file is shuffled twice and the joins meet few rows. The first pass
 compares each set only with the earliest set under each of its words; sets that this removes are done, and only the
 others meet everything under their words, so many variants of one line do not yield all their pairs.
 
@@ -39,9 +40,14 @@ PLACES = 16  # counts in one number of a sketch, each of four bits
 WIDE = ("w0", "w1", "w2", "w3")  # columns of the sketch that pairs meet before their full sets do
 BROADCAST_ROWS = 2_000_000
 SEEN = 200_000  # sets a task remembers having filed
+WAITING = 1 << 20  # entries a task holds before it deals them
+PARTS = 4  # ranges of words in a shuffle partition, compared one after the other
 LINE_BREAK = 10
 BITS = 40  # of a word's hash, enough within a line; pairs are verified on all 64
 
+# A set under a word of its prefix (as its place in the order of rarity); doc_id is the smallest so far.
+ENTRY = np.dtype([("token", "<i8"), ("set", "<i8"), ("sketch", "<i8"), ("doc_id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
+
 
 def last_if_null(doc_id: str) -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(2**63 - 1))
@@ -123,12 +129,14 @@ class Lines:
 
 
 def all_lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, k, line and set of every line that takes part."""
+    """doc_id, k, line and set of every line that takes part, and a row for each task that has only counts: how many
+    words of all its lines fall into each hash bucket. The texts are read once for both."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = Words()
+        hashed, total = Words(), np.zeros(RARITY, np.int64)
         for batch in small_batches(batches, 0):
             lines = Lines(hashed, batch.column(0))
+            total += np.bincount((lines.tokens % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
             tokens, sizes = sorted_sets(lines.tokens, lines.first)
             keep = np.flatnonzero(sizes >= max(least_words, 1))
             text = pa.array(lines.text[keep])
@@ -138,35 +146,50 @@ def all_lines(docs: DataFrame, least_words: int) -> DataFrame:
                     batch.column(2).take(text),
                     pa.array(lines.line[keep].astype(np.int32)),
                     pa.array(set_hashes(tokens, sizes)[keep]),
+                    pa.nulls(keep.size, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "k", "line", "set"],
+                ["doc_id", "k", "line", "set", "counts"],
             )
+        ends = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+        all_counts = pa.ListArray.from_arrays(pa.array([0, RARITY], pa.int32()), pa.array(total))
+        yield pa.RecordBatch.from_arrays([*ends, all_counts], ["doc_id", "k", "line", "set", "counts"])
 
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("k"))
-    return rows.mapInArrow(cut, "doc_id long, k long, line int, set long")
-
-
-def rarity(docs: DataFrame) -> np.ndarray:
-    """How many words fall into each hash bucket; the table's size is fixed."""
+    return rows.mapInArrow(cut, "doc_id long, k long, line int, set long, counts array<long>")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, total = Words(), np.zeros(RARITY, np.int64)
-        for batch in small_batches(batches, 0):
-            words, _ = hashed(*raw_bytes(batch.column(0)))
-            total += np.bincount(((words >> np.uint64(64 - BITS)) % np.uint64(RARITY)).astype(np.int64), minlength=RARITY)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["bucket", "n"])
 
+def rarity(noted: DataFrame) -> np.ndarray:
+    """How many words fall into each hash bucket, from the counts of each task; the table's size is fixed."""
     counts = np.zeros(RARITY, np.int64)
-    rows = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = noted.filter("set is null").select(F.posexplode("counts").alias("bucket", "n")).filter("n > 0")
+    rows = rows.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
     return counts
 
 
-def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -> DataFrame:
-    """A row for each set and prefix word: token (as its place in the order of rarity), set, n, pos, sketch, doc_id (the smallest so far).
+def dealt(entries: np.ndarray, ranges: int) -> pa.RecordBatch:
+    """Rows of entries by range of words, each field's values side by side."""
+    where = (mix(entries["token"].view(np.uint64)) % np.uint64(ranges)).astype(np.int32)
+    order = np.argsort(where, kind="stable")
+    cuts = np.searchsorted(where[order], np.arange(ranges + 1))
+    some = np.flatnonzero(np.diff(cuts))
+    fields = [entries[name][order] for name in ENTRY.names]
+    parts = [b"".join([field[cuts[one] : cuts[one + 1]].tobytes() for field in fields]) for one in some.tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(parts, pa.binary())], ["part", "entries"])
+
+
+def undealt(blob: bytes) -> np.ndarray:
+    entries, place = np.empty(len(blob) // ENTRY.itemsize, ENTRY), 0
+    for name in ENTRY.names:
+        entries[name] = np.frombuffer(blob, ENTRY[name], entries.size, place)
+        place += entries.size * ENTRY[name].itemsize
+    return entries
 
-    Sets that can only be like their copies have no row: of n words at best n are shared with a set of n + 1."""
+
+def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int, ranges: int) -> DataFrame:
+    """An entry for each set and prefix word, packed by range of words.
+
+    Sets that can only be like their copies have no entry: of n words at best n are shared with a set of n + 1."""
     by_rarity = np.argsort(counts, kind="stable").astype(np.uint64)
     rank = np.empty(RARITY, np.uint64)
     rank[by_rarity] = np.arange(RARITY, dtype=np.uint64)
@@ -174,7 +197,7 @@ def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -
     rest_bits = np.uint64(BITS - bucket_bits)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, seen = Words(), {}
+        hashed, seen, waiting, size = Words(), {}, [], 0
         for batch in small_batches(batches, 0):
             lines = Lines(hashed, batch.column(0))
             places = rank[lines.tokens % np.uint64(RARITY)] << rest_bits | lines.tokens >> np.uint64(bucket_bits)
@@ -196,29 +219,91 @@ def filed(docs: DataFrame, counts: np.ndarray, percent: int, least_words: int) -
             length = n - -(-n * percent // 100) + 1
             of = np.repeat(chosen, length)
             pos = np.arange(of.size) - np.repeat(np.cumsum(length) - length, length)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(places[(np.cumsum(sizes) - sizes)[of] + pos].view(np.int64)),
-                    pa.array(marks[of]),
-                    pa.array(sizes[of].astype(np.int32)),
-                    pa.array(pos.astype(np.int32)),
-                    pa.array(sketch[of]),
-                    batch.column(1).take(pa.array(lines.text[of])),
-                ],
-                ["token", "set", "n", "pos", "sketch", "doc_id"],
-            )
+            entries = np.empty(of.size, ENTRY)
+            entries["token"] = places[(np.cumsum(sizes) - sizes)[of] + pos].view(np.int64)
+            entries["set"], entries["sketch"], entries["n"], entries["pos"] = marks[of], sketch[of], sizes[of], pos
+            entries["doc_id"] = batch.column(1).to_numpy()[lines.text[of]]
+            waiting.append(entries)
+            size += entries.size
+            if size > WAITING:
+                yield dealt(np.concatenate(waiting), ranges)
+                waiting, size = [], 0
+        if size:
+            yield dealt(np.concatenate(waiting), ranges)
 
     rows = docs.select("text", last_if_null("doc_id").alias("doc_id"))
-    return rows.mapInArrow(prefixes, "token long, set long, n int, pos int, sketch long, doc_id long")
+    return rows.mapInArrow(prefixes, "part int, entries binary")
+
+
+def sketches_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What `apart` says of sketches of one number."""
+    each = np.uint64(0x0101010101010101)
+    differing = np.zeros(a.size, np.int64)
+    for shift in (0, 4):
+        one, two = (side >> np.uint64(shift) & each * np.uint64(15) for side in (a.view(np.uint64), b.view(np.uint64)))
+        step = ((one | each * np.uint64(16)) - two) & each * np.uint64(15)
+        negative = step >> np.uint64(3) & each
+        differing += (((step ^ negative * np.uint64(15)) + negative) % np.uint64(255)).astype(np.int64)
+    return differing
 
 
-def store_by_token(rows: DataFrame, spark: SparkSession) -> str:
-    """The name of a table with a row for each token and set, in buckets of tokens, so joins on it need no shuffle."""
+def with_candidates(entries: np.ndarray, percent: int) -> np.ndarray:
+    """Each set once under a word, with its smallest doc_id, if another set under that word passes the filters with it.
+
+    Under a word the sets stand by size, so each meets the next ones as long as their sizes allow the overlap."""
+    entries = entries.take(np.lexsort((entries["doc_id"], entries["set"], entries["n"], entries["token"])))
+    if entries.size < 2:
+        return entries[:0]
+    fresh = np.ones(entries.size, bool)
+    fresh[1:] = (entries["token"][1:] != entries["token"][:-1]) | (entries["set"][1:] != entries["set"][:-1])
+    entries = entries.take(np.flatnonzero(fresh))
+    token, marks, sketch, n, pos = (entries[name].copy() for name in ("token", "set", "sketch", "n", "pos"))
+    n, pos = n.astype(np.int64), pos.astype(np.int64)
+    begins = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+    group = np.repeat(np.arange(begins.size), np.diff(np.append(begins, token.size)))
+    found = np.zeros(token.size, bool)
+    at, ahead = np.flatnonzero(n - pos >= -(-2 * n * percent // (100 + percent))), 1
+    while at.size:
+        if ahead & (ahead - 1) == 0:  # now and then: groups all of which are found need no more pairs
+            at = at[~np.logical_and.reduceat(found, begins)[group[at]]]
+        at = at[at + ahead < token.size]
+        other = at + ahead
+        near = (token[at] == token[other]) & (n[at] * 100 >= n[other] * percent)
+        at, other = at[near], other[near]
+        total = n[at] + n[other]
+        overlap = -(-total * percent // (100 + percent))
+        good = np.flatnonzero((np.minimum(n[at] - pos[at], n[other] - pos[other]) >= overlap) & ~(found[at] & found[other]))
+        a, b = at[good], other[good]
+        good = (sketches_apart(sketch[a], sketch[b]) <= total[good] - 2 * overlap[good]) & (marks[a] != marks[b])
+        found[a[good]] = found[b[good]] = True
+        ahead += 1
+    return entries.take(np.flatnonzero(found))
+
+
+def store_by_token(parts: DataFrame, percent: int, spark: SparkSession) -> str:
+    """The name of a table with a row for each token and set that has a candidate there, in buckets of tokens, so joins
+    on it need no shuffle."""
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    once = rows.repartition(buckets, "token").groupBy("token", "set").agg(
-        F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("sketch").alias("sketch"), F.min("doc_id").alias("doc_id")
-    )
-    return bucketed(once, "line_prefixes", buckets, ["token"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def kept() -> pa.RecordBatch:
+            entries = with_candidates(np.concatenate(waiting), percent)
+            return pa.RecordBatch.from_arrays([pa.array(entries[name].copy()) for name in ENTRY.names], list(ENTRY.names))
+
+        part, waiting = None, []
+        for batch in batches:
+            for number, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if waiting and number != part:
+                    yield kept()
+                    waiting = []
+                part = number
+                waiting.append(undealt(blob.as_py()))
+        if waiting:
+            yield kept()
+
+    ranges = parts.repartitionById(buckets, F.col("part") % buckets).sortWithinPartitions("part")
+    rows = ranges.mapInArrow(compare, "token long, set long, sketch long, doc_id long, n int, pos int")
+    return bucketed(rows.repartition(buckets, "token"), "line_prefixes", buckets, ["token"])
 
 
 def candidates(one: DataFrame, two: DataFrame, percent: int) -> DataFrame:
@@ -249,13 +334,9 @@ def marked(sets: DataFrame) -> np.ndarray:
     return bits
 
 
-def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, percent: int, least_words: int) -> DataFrame:
-    """Of the pairs a, b (tie: first found in one document) those that are alike, a before b: the sets b."""
-    pairs = written(pairs.distinct(), "pairs")
-    at = [first.select(F.col("set").alias(side), F.col("place").alias(f"{side}_place")) for side in "ab"]
-    ties = pairs.filter("tie").join(at[0], "a").join(at[1], "b").filter("a_place < b_place").select("a", "b")
-    ordered = written(pairs.filter("not tie").select("a", "b").union(ties), "ordered")
-    wanted = marked(ordered.select(F.col("a").alias("set")).union(ordered.select("b")))
+def full_sets(docs: DataFrame, some: DataFrame) -> DataFrame:
+    """set, words and wide sketch of some sets at least, from the texts."""
+    wanted = marked(some)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, seen = Words(), set()
@@ -283,7 +364,15 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, percent: int,
             )
 
     schema = ", ".join(["set long", "words array<long>", *(f"{name} long" for name in WIDE)])
-    held = written(docs.select("text").mapInArrow(sets, schema).dropDuplicates(["set"]), "sets")
+    return written(docs.select("text").mapInArrow(sets, schema).dropDuplicates(["set"]), "sets")
+
+
+def verified(pairs: DataFrame, first: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs a, b (tie: first found in one document) those that are alike, a before b: the sets b."""
+    pairs = written(pairs.distinct(), "pairs")
+    at = [first.select(F.col("set").alias(side), F.col("place").alias(f"{side}_place")) for side in "ab"]
+    ties = pairs.filter("tie").join(at[0], "a").join(at[1], "b").filter("a_place < b_place").select("a", "b")
+    ordered = written(pairs.filter("not tie").select("a", "b").union(ties), "ordered")
     sides = [
         held.select(F.col("set").alias(side), F.size("words").alias(f"{side}_n"), *[F.col(name).alias(f"{side}_{name}") for name in WIDE])
         for side in "ab"
@@ -302,18 +391,21 @@ def verified(pairs: DataFrame, first: DataFrame, docs: DataFrame, percent: int,
 def repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 3) -> DataFrame:
     """k and line of every line to be removed, once."""
     spark = docs.sparkSession
-    lines = written(all_lines(docs, least_words), "lines")
+    noted = written(all_lines(docs, least_words), "lines")
+    lines = noted.filter("set is not null").drop("counts")
     place = F.struct(last_if_null("doc_id").alias("doc_id"), "k", "line")
     first = written(lines.groupBy("set").agg(F.min(place).alias("place")), "first")
 
-    stored = store_by_token(filed(docs, rarity(docs), percent, least_words), spark)
+    ranges = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = store_by_token(filed(docs, rarity(noted), percent, least_words, ranges), percent, spark)
     rows = spark.table(stored)
+    held = full_sets(docs, rows.select("set"))
     entry = F.struct("doc_id", "set", "n", "pos", "sketch")
     leaders = rows.groupBy("token").agg(F.min(entry).alias("lead"), F.count("*").alias("many")).filter("many > 1")
     leaders = leaders.select("token", "lead.*")
-    removed = written(verified(both_ways(candidates(leaders, rows, percent)), first, docs, percent, least_words), "removed")
+    removed = written(verified(both_ways(candidates(leaders, rows, percent)), first, held, percent), "removed")
     left = rows.join(bounded(removed), "set", "left_anti")
-    more = verified(candidates(rows, left, percent), first, docs, percent, least_words)
+    more = verified(candidates(rows, left, percent), first, held, percent)
     removed = written(removed.union(more).distinct().withColumn("alike", F.lit(True)), "removed")
     later = (
         lines.join(first, "set")

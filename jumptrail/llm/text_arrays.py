@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes looked at together; a slice ends at the next break between words.
-SLICE = 1 << 20
+SLICE = 1 << 17
 
 MULTIPLIER = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2 ** 64
 

@@ -14,7 +14,7 @@ import pytest
 from jumptrail.llm import suffixes
 from jumptrail.llm.components import components
 from jumptrail.llm.decontamination import benchmark_terms, build_index, contamination, near_matches, postings_of
-from jumptrail.llm.lines import WIDE, apart, op7_line_dedup, repeated_lines, sketches, without_lines
+from jumptrail.llm.lines import ENTRY, WIDE, apart, dealt, op7_line_dedup, repeated_lines, sketches, undealt, with_candidates, without_lines
 from jumptrail.llm.near_duplicates import near_duplicates
 from jumptrail.llm.suffixes import remove_repeats
 from pyspark.sql import functions as F
@@ -260,3 +260,33 @@ def test_line_stage_keeps_columns_and_their_order(spark):
     found = corpus_pipeline.line_dedup(spark, docs, "")
     assert found.columns == docs.columns
     assert set(map(tuple, found.collect())) == {rows[0], ("v", 2, "y", 1, 2.5), ("z", None, None, None, 3.5)}
+
+
+def test_lines_filed_are_those_with_a_candidate():
+    random_ = np.random.default_rng(9)
+    entries = np.zeros(400, ENTRY)
+    entries["token"] = random_.integers(0, 6, entries.size)
+    entries["set"] = random_.integers(0, 150, entries.size)
+    entries["n"] = 5 + entries["set"] % 7  # of one set everywhere the same
+    entries["pos"] = entries["set"] // 7 % 3
+    entries["sketch"] = entries["set"] // 50 * 0x0303030303030303
+    entries["doc_id"] = random_.integers(0, 90, entries.size)
+    least: dict[tuple, int] = {}
+    for row in entries:
+        key = int(row["token"]), int(row["set"])
+        least[key] = min(least.get(key, 99), int(row["doc_id"]))
+    known = {int(row["set"]): (int(row["n"]), int(row["pos"]), int(row["set"]) // 50) for row in entries}
+    want = set()
+    for token, one in least:
+        for other in (two for word, two in least if word == token and two != one):
+            (n, pos, sketch), (m, at, wide) = known[one], known[other]
+            overlap = -(-(n + m) * 80 // 180)
+            if min(n, m) * 100 >= max(n, m) * 80 and min(n - pos, m - at) >= overlap and 48 * abs(sketch - wide) <= n + m - 2 * overlap:
+                want.add((token, one, least[token, one]))
+    parts = dealt(entries, 3)
+    back = np.concatenate([undealt(blob.as_py()) for blob in parts.column("entries")])
+    assert sorted(back.tolist()) == sorted(entries.tolist())
+    assert {word for blob in parts.column("entries") for word in undealt(blob.as_py())["token"].tolist()} == set(range(6))
+    found = with_candidates(back, 80)[["token", "set", "doc_id"]].tolist()
+    assert len(found) == len(set(found)) and set(found) == want and 0 < len(want) < len(least)
+    assert with_candidates(entries[:1], 80).size == 0
