@@ -33,6 +33,7 @@ from jumptrail.shared import written
 LENGTH = 50
 KEY = 24
 BATCH = 32 << 20  # bytes of text in a batch
+SLICE = 1 << 17  # bytes hashed together: their hashes stay in a core's cache
 CROWD = 2048  # different runs of one hash in a range from which their windows are dealt alone
 
 ENTRY = np.dtype([("key", "<u8"), ("print", "<u8"), ("doc", "<i8"), ("tag", "<i8"), ("start", "<i4"), ("many", "<i4")])
@@ -106,16 +107,29 @@ def runs(data: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.nd
     return text, start - bounds[text], many, key, fingerprints(windows, start, many)
 
 
+def ranking(entries: np.ndarray) -> np.ndarray:
+    """The order of entries by key, print and document: one sort of the keys, the rest only where keys are equal."""
+    order = np.argsort(entries["key"].copy())
+    key = entries["key"][order]
+    equal = np.zeros(order.size, bool)
+    equal[1:] = key[1:] == key[:-1]
+    equal[:-1] |= equal[1:]
+    at = np.flatnonzero(equal)
+    tied = order[at]
+    order[at] = tied[np.lexsort((entries["doc"][tied], entries["print"][tied], key[at]))]
+    return order
+
+
 def settle(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted entries of the smallest document of each (key, print), and those of larger documents: they are covered."""
-    entries = entries[np.lexsort((entries["doc"], entries["print"], entries["key"]))]
+    entries = entries.take(ranking(entries))
     if not entries.size:
         return entries, entries
     fresh = np.ones(entries.size, bool)
     fresh[1:] = (entries["key"][1:] != entries["key"][:-1]) | (entries["print"][1:] != entries["print"][:-1])
     least = entries["doc"][np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
     larger = entries["doc"] > least
-    return entries[~larger], entries[larger]
+    return entries.take(np.flatnonzero(~larger)), entries.take(np.flatnonzero(larger))
 
 
 class Levels:
@@ -190,6 +204,7 @@ def dealt(entries: np.ndarray, buckets: int, texts: list[bytes] | None = None, c
     where = (entries["doc"].astype(np.uint64) if covered else entries["key"] >> np.uint64(20)) % np.uint64(buckets)
     order = np.argsort(where, kind="stable")
     cuts = np.searchsorted(where[order], np.arange(buckets + 1))
+    side_by_side = entries.take(order)
     rows: list[tuple] = []
     for bucket in range(buckets):
         chosen = order[cuts[bucket] : cuts[bucket + 1]]
@@ -199,7 +214,7 @@ def dealt(entries: np.ndarray, buckets: int, texts: list[bytes] | None = None, c
                 import zstandard
 
                 together = zstandard.ZstdCompressor(level=1).compress(b"".join([texts[row] for row in chosen]))
-            rows.append((bucket, packed(entries[chosen]), covered, together))
+            rows.append((bucket, packed(side_by_side[cuts[bucket] : cuts[bucket + 1]]), covered, together))
     columns = list(zip(*rows)) if rows else [[]] * 4
     kinds = (pa.int32(), pa.binary(), pa.bool_(), pa.binary())
     yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds)], ["bucket", "part", "covered", "texts"])
@@ -229,7 +244,7 @@ def first_round(docs: DataFrame, buckets: int) -> DataFrame:
                 yield from dealt(entries, buckets)
                 yield from dealt(covered, buckets, covered=True)
 
-        for batch in small_batches(batches, 0, 1 << 20):
+        for batch in small_batches(batches, 0, SLICE):
             data, bounds = raw_bytes(batch.column(0))
             text, start, many, key, mark = runs(data, bounds, codes)
             doc, tags = batch.column(1).to_numpy(), batch.column(2).to_numpy()
@@ -296,7 +311,7 @@ def second_round(docs: DataFrame, again: DataFrame, buckets: int) -> DataFrame:
             key = np.where(state[row] == 2, windows[at], grams[at])
             mark = fingerprints(windows, at, many)
             entries = as_entries(key, mark, doc[text], tags[text], start, many)
-            order = np.lexsort((entries["doc"], entries["print"], entries["key"]))
+            order = ranking(entries)
             kept, covered = settle(entries)
             larger = np.zeros(entries.size, bool)
             if covered.size:

@@ -262,6 +262,23 @@ def test_line_stage_keeps_columns_and_their_order(spark):
     assert set(map(tuple, found.collect())) == {rows[0], ("v", 2, "y", 1, 2.5), ("z", None, None, None, 3.5)}
 
 
+def test_entries_of_suffixes_are_ranked_by_all_they_are_compared_by():
+    random_ = np.random.default_rng(8)
+    entries = np.zeros(5000, suffixes.ENTRY)
+    for name, kinds in (("key", 900), ("print", 3), ("doc", 4)):
+        entries[name] = random_.integers(0, kinds, entries.size)
+    entries["key"][::7] |= np.uint64(1 << 63)  # above what a signed number holds
+    want = sorted(entries[["key", "print", "doc"]].tolist())
+    assert entries[suffixes.ranking(entries)][["key", "print", "doc"]].tolist() == want
+    assert suffixes.ranking(entries[:0]).size == 0
+    kept, covered = suffixes.settle(entries)
+    least = {}
+    for key, mark, doc in want:
+        least.setdefault((key, mark), doc)
+    assert kept[["key", "print", "doc"]].tolist() == [row for row in want if row[2] == least[row[:2]]]
+    assert covered[["key", "print", "doc"]].tolist() == [row for row in want if row[2] > least[row[:2]]]
+
+
 def test_lines_filed_are_those_with_a_candidate():
     random_ = np.random.default_rng(9)
     entries = np.zeros(400, ENTRY)
