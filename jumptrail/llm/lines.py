@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jumptrail.llm.near_duplicates import document_key
-from jumptrail.llm.text_arrays import Words, distinct, mix, raw_bytes, small_batches
+from jumptrail.llm.text_arrays import Words, distinct, mix, ranking_of, raw_bytes, small_batches
 from jumptrail.shared import bucketed, unbucketed, written
 
 RARITY = 1 << 17
@@ -251,7 +251,8 @@ def with_candidates(entries: np.ndarray, percent: int) -> np.ndarray:
     """Each set once under a word, with its smallest doc_id, if another set under that word passes the filters with it.
 
     Under a word the sets stand by size, so each meets the next ones as long as their sizes allow the overlap."""
-    entries = entries.take(np.lexsort((entries["doc_id"], entries["set"], entries["n"], entries["token"])))
+    token_and_size = entries["token"] << (64 - 1 - BITS) | np.minimum(entries["n"], (1 << (64 - 1 - BITS)) - 1)
+    entries = entries.take(ranking_of(token_and_size, entries["doc_id"], entries["set"], entries["n"]))
     if entries.size < 2:
         return entries[:0]
     fresh = np.ones(entries.size, bool)
@@ -394,7 +395,7 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 3) ->
     noted = written(all_lines(docs, least_words), "lines")
     lines = noted.filter("set is not null").drop("counts")
     place = F.struct(last_if_null("doc_id").alias("doc_id"), "k", "line")
-    first = written(lines.groupBy("set").agg(F.min(place).alias("place")), "first")
+    first = written(lines.groupBy("set").agg(F.min(place).alias("place"), F.count("*").alias("many")), "first")
 
     ranges = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = store_by_token(filed(docs, rarity(noted), percent, least_words, ranges), percent, spark)
@@ -407,13 +408,9 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 3) ->
     left = rows.join(bounded(removed), "set", "left_anti")
     more = verified(candidates(rows, left, percent), first, held, percent)
     removed = written(removed.union(more).distinct().withColumn("alike", F.lit(True)), "removed")
-    later = (
-        lines.join(first, "set")
-        .join(removed, "set", "left")
-        .filter(F.col("alike") | (place != F.col("place")))
-        .select("k", "line")
-        .distinct()
-    )
+    known = first.join(removed, "set", "left").filter("many > 1 or alike").withColumnRenamed("place", "first_place")
+    known = written(known, "known")  # only lines of these sets can go: few where most lines are like no other
+    later = lines.join(known, "set").filter(F.col("alike") | (place != F.col("first_place"))).select("k", "line").distinct()
     later = written(later, "repeated")
     unbucketed(spark, stored)
     return later

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jumptrail.llm.text_arrays import MULTIPLIER, byte_codes, mix, raw_bytes, small_batches
+from jumptrail.llm.text_arrays import MULTIPLIER, byte_codes, mix, ranking_of, raw_bytes, small_batches
 from jumptrail.shared import written
 
 LENGTH = 50
@@ -108,16 +108,8 @@ def runs(data: np.ndarray, bounds: np.ndarray, codes: np.ndarray) -> tuple[np.nd
 
 
 def ranking(entries: np.ndarray) -> np.ndarray:
-    """The order of entries by key, print and document: one sort of the keys, the rest only where keys are equal."""
-    order = np.argsort(entries["key"].copy())
-    key = entries["key"][order]
-    equal = np.zeros(order.size, bool)
-    equal[1:] = key[1:] == key[:-1]
-    equal[:-1] |= equal[1:]
-    at = np.flatnonzero(equal)
-    tied = order[at]
-    order[at] = tied[np.lexsort((entries["doc"][tied], entries["print"][tied], key[at]))]
-    return order
+    """The order of entries by key, print and document."""
+    return ranking_of(entries["key"].copy(), entries["doc"], entries["print"])
 
 
 def settle(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -143,6 +143,19 @@ def distinct(values: np.ndarray) -> np.ndarray:
     return values[np.concatenate(([True], values[1:] != values[:-1]))]
 
 
+def ranking_of(key: np.ndarray, *ties: np.ndarray) -> np.ndarray:
+    """The order that lexsort gives to (*ties, key): one sort of the keys, the rest only where keys are equal."""
+    order = np.argsort(key)
+    ranked = key[order]
+    equal = np.zeros(order.size, bool)
+    equal[1:] = ranked[1:] == ranked[:-1]
+    equal[:-1] |= equal[1:]
+    at = np.flatnonzero(equal)
+    tied = order[at]
+    order[at] = tied[np.lexsort((*(one[tied] for one in ties), ranked[at]))]
+    return order
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], text: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose texts (column number `text`) have about `most` bytes, one row at least."""
     for batch in batches:
