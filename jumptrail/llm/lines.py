@@ -129,8 +129,11 @@ class Lines:
 
 
 def all_lines(docs: DataFrame, least_words: int) -> DataFrame:
-    """doc_id, k, line and set of every line that takes part, and a row for each task that has only counts: how many
-    words of all its lines fall into each hash bucket. The texts are read once for both."""
+    """doc_id, k, line and set of every line that takes part, with times: how many lines of its batch have its set at the
+    first of them, 0 at others. Besides, a row for each task that has only counts: how many words of all its lines fall
+    into each hash bucket. The texts are read once for both."""
+
+    names = ["doc_id", "k", "line", "set", "times", "counts"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, total = Words(), np.zeros(RARITY, np.int64)
@@ -140,22 +143,29 @@ def all_lines(docs: DataFrame, least_words: int) -> DataFrame:
             tokens, sizes = sorted_sets(lines.tokens, lines.first)
             keep = np.flatnonzero(sizes >= max(least_words, 1))
             text = pa.array(lines.text[keep])
+            marks = set_hashes(tokens, sizes)[keep]
+            ids = batch.column(1).fill_null(2**63 - 1).to_numpy()[lines.text[keep]]
+            order = ranking_of(marks, lines.line[keep], batch.column(2).to_numpy()[lines.text[keep]], ids)
+            begins = np.flatnonzero(np.append(True, np.diff(marks[order]) != 0)[: keep.size])
+            times = np.zeros(keep.size, np.int64)
+            times[order[begins]] = np.diff(np.append(begins, keep.size))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(1).take(text),
                     batch.column(2).take(text),
                     pa.array(lines.line[keep].astype(np.int32)),
-                    pa.array(set_hashes(tokens, sizes)[keep]),
+                    pa.array(marks),
+                    pa.array(times),
                     pa.nulls(keep.size, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "k", "line", "set", "counts"],
+                names,
             )
-        ends = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64())]
+        ends = [pa.nulls(1, kind) for kind in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64())]
         all_counts = pa.ListArray.from_arrays(pa.array([0, RARITY], pa.int32()), pa.array(total))
-        yield pa.RecordBatch.from_arrays([*ends, all_counts], ["doc_id", "k", "line", "set", "counts"])
+        yield pa.RecordBatch.from_arrays([*ends, all_counts], names)
 
     rows = docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), document_key().alias("k"))
-    return rows.mapInArrow(cut, "doc_id long, k long, line int, set long, counts array<long>")
+    return rows.mapInArrow(cut, "doc_id long, k long, line int, set long, times long, counts array<long>")
 
 
 def rarity(noted: DataFrame) -> np.ndarray:
@@ -393,9 +403,10 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 3) ->
     """k and line of every line to be removed, once."""
     spark = docs.sparkSession
     noted = written(all_lines(docs, least_words), "lines")
-    lines = noted.filter("set is not null").drop("counts")
+    lines = noted.filter("set is not null").drop("times", "counts")
     place = F.struct(last_if_null("doc_id").alias("doc_id"), "k", "line")
-    first = written(lines.groupBy("set").agg(F.min(place).alias("place"), F.count("*").alias("many")), "first")
+    firsts = noted.filter("times > 0").repartition("set")  # however common a line, at most one for each batch of texts
+    first = written(firsts.groupBy("set").agg(F.min(place).alias("place"), F.sum("times").alias("many")), "first")
 
     ranges = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     stored = store_by_token(filed(docs, rarity(noted), percent, least_words, ranges), percent, spark)
@@ -418,7 +429,8 @@ def repeated_lines(docs: DataFrame, percent: int = 80, least_words: int = 3) ->
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """Where both are first found in one document, either may come first."""
-    return pairs.union(pairs.filter("tie").select("b", "a", "tie"))
+    one, other = F.struct("a", "b", "tie"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "tie")
+    return pairs.select(F.explode(F.when(F.col("tie"), F.array(one, other)).otherwise(F.array(one))).alias("pair")).select("pair.*")
 
 
 def bounded(rows: DataFrame) -> DataFrame:
