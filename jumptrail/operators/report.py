@@ -76,7 +76,7 @@ def document_rows(docs: DataFrame) -> DataFrame:
 
     entries = rows(F.col("DestList.DestListEntryV2"), "DestList", "_EntryNumber", "_Path", "_LastModified")
     lnks = rows(F.col("LNKs.LNK"), "LNKs", "LinkInfo._LocalBasePath", "NAME_STRING._String", "COMMAND_LINE_ARGUMENTS._String")
-    kept = [name for name in docs.columns if name not in ("first", "DestList", "LNKs")]
+    kept = [name for name in docs.columns if name not in ("first", "part", "DestList", "LNKs")]
     number = F.when(F.col("section") == "DestList", F.col("c1").try_cast("bigint").cast("string")).otherwise(F.col("c1"))
     return docs.select(*kept, F.inline(F.concat(entries, lnks))).withColumn("c1", number)
 

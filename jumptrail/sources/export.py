@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jumptrail.shared import written
+from jumptrail.sources.cutting import index_entries
 from jumptrail.sources.files import Paths, listed, unescaped, whole_files
 from jumptrail.sources.named import write_named
 from jumptrail.sources.store import Store, listed_documents, stored_index
@@ -72,7 +73,7 @@ def container_texts(docs: DataFrame) -> DataFrame:
         part(4, F.lit(f"  </LNKs>\n</{ROW_TAG}>\n")),
     ]
     parts = [part(1, joined(F.col("DestList.DestListEntryV2"), _entry)), part(3, joined(F.col("LNKs.LNK"), _lnk))]
-    every = F.concat(F.array(*parts), F.when(F.col("first") == 0, F.array(*frame)).otherwise(F.array()))
+    every = F.concat(F.array(*parts), F.when((F.col("first") == 0) & (F.col("part") >= 0), F.array(*frame)).otherwise(F.array()))
     return docs.select("host", "file", "first", F.inline(every)).filter("text <> ''")
 
 
@@ -113,9 +114,9 @@ def write_master(spark: SparkSession, index: DataFrame, path: str) -> None:
 
 def read_master(spark: SparkSession, paths: Paths) -> DataFrame:
     """(host, place, file, appid) of index files, the place counted from 1 within each file."""
-    files = whole_files(spark, listed(spark, paths).filter(F.col("location").endswith(MASTER)))
+    files = whole_files(spark, listed(spark, paths).filter(F.col("location").endswith(MASTER)), cut=index_entries)
     schema = "autoFile array<struct<_file:string,_appid:string>>"
     entries = F.from_xml("text", schema, {"mode": "PERMISSIVE"})["autoFile"]
     return files.select(
-        F.coalesce(partition_value(F.col("path"), "host"), F.lit("")).alias("host"), F.posexplode(entries)
-    ).select("host", (F.col("pos") + 1).cast("bigint").alias("place"), F.col("col._file").alias("file"), F.col("col._appid").alias("appid"))
+        F.coalesce(partition_value(F.col("path"), "host"), F.lit("")).alias("host"), "before", F.posexplode(entries)
+    ).select("host", (F.col("before") + F.col("pos") + 1).cast("bigint").alias("place"), F.col("col._file").alias("file"), F.col("col._appid").alias("appid"))

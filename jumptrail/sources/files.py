@@ -1,43 +1,30 @@
-"""Files of exported containers as text, one row per file, so that no file can vanish without a row.
+"""Files of exported containers as pieces of text, so that no file can vanish without a row.
 
 Tasks list the folders and open the files, so the driver holds no list of them, however many there are; only in a
-store that tasks cannot open themselves does Spark's own file source list and read them.
-
-A file of at most WHOLE bytes is read whole and decoded by its byte order mark, by how its first bytes look, or by
-the encoding it declares. A longer file is read as UTF-8 in pieces by many tasks, cut before every start tag.
+store that tasks cannot open themselves does Spark's own file source list and read them. A task reads its files block
+by block, see `cutting`, so neither a long file nor a long document is ever one value.
 """
 
 from __future__ import annotations
 
+import io
 import os
 import sys
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import datetime, timezone
 
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from jumptrail.shared import few_rows, no_rows, written
+from jumptrail.sources import cutting
 from jumptrail.sources.named import file_system
 
-# Up to this many bytes a file is one value in a task.
-WHOLE = 64 << 20
-
-UTF_8 = "UTF-8"
-
-# What the first bytes of a file say (hex), and how long the mark is that must go.
-BYTE_ORDERS = [
-    ("0000FEFF", "UTF-32BE"), ("FFFE0000", "UTF-32LE"), ("FEFF", "UTF-16BE"), ("FFFE", "UTF-16LE"), ("EFBBBF", UTF_8),
-    ("0000003C", "UTF-32BE"), ("3C000000", "UTF-32LE"), ("003C", "UTF-16BE"), ("3C00", "UTF-16LE"),
-]
-
-# A declared encoding of whole-word units cannot be true where the declaration itself was read byte by byte.
-_DECLARED = r"""^\s*<\?xml[^>]*?encoding\s*=\s*["']([A-Za-z0-9._:-]+)["']"""
-_AS_UTF_8 = r"(?i)^(|utf-?8|us-ascii|ascii|utf-?16.*|utf-?32.*|ucs-?[24].*|iso-10646.*)$"
+# Layout only: up to this many bytes a file is held by the task that reads it, a longer one is opened again.
+WHOLE = cutting.BLOCK
 
 # The UDF carries this module along, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -48,11 +35,18 @@ Paths = str | Sequence[str] | DataFrame
 LISTED = "path string, location string, length bigint, modified timestamp"
 _LISTED = pa.schema([("path", pa.string()), ("location", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC"))])
 _FOUND = _LISTED.append(pa.field("folder", pa.bool_()))
-_CONTENTS = _LISTED.append(pa.field("content", pa.binary()))
+
+READ = "path string, name string, length bigint, modified timestamp, digest string, " + cutting.PIECE
+_READ = pa.schema(
+    [
+        ("path", pa.string()), ("name", pa.string()), ("length", pa.int64()), ("modified", pa.timestamp("us", "UTC")), ("digest", pa.string()),
+        ("part", pa.int32()), ("before", pa.int64()), ("opening", pa.string()), ("text", pa.string()), ("reason", pa.string()),
+    ]
+)
 
 # Layout only: a file of a listing names about so many bytes and at most so many files, and a batch holds so many bytes.
 PART_BYTES, PART_FILES = 32 << 20, 2000
-_BATCH_BYTES = 8 << 20
+_BATCH_BYTES = 4 << 20
 
 # What a URI's path holds as it is.
 _URI = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_.!~*'():@&=+$,;/")
@@ -243,112 +237,63 @@ def spread(files: DataFrame) -> DataFrame:
     return files.repartition(int(parts))
 
 
-def encoding_of(content: Column) -> Column:
-    """The encoding of a file's bytes, UTF-8 unless they say otherwise."""
-    first = F.hex(F.substring(content, 1, 4))
-    declared = F.regexp_extract(F.make_valid_utf8(F.substring(content, 1, 300).cast("string")), _DECLARED, 1)
-    found = F.when(F.rlike(declared, F.lit(_AS_UTF_8)), UTF_8).otherwise(F.upper(declared))
-    for mark, name in reversed(BYTE_ORDERS):
-        found = F.when(first.startswith(mark), name).otherwise(found)
-    return found
-
-
-@F.arrow_udf(StringType())
-def _decoded(contents: pa.Array, encodings: pa.Array) -> pa.Array:
-    """Text of bytes in other encodings; null where there are none or they cannot be read."""
-
-    def text(content: bytes | None, encoding: str) -> str | None:
-        if content is None:
-            return None
-        try:
-            found = content.decode(encoding)
-            found.encode()
-            return found
-        except (LookupError, ValueError):
-            return None
+def _read(skip_gone: bool, cut: Callable[[cutting.Text], Iterator[cutting.Piece]]):
+    """Rows of a listing as pieces of each file, by tasks that open it unless the rows hold its bytes."""
 
-    return pa.array([text(c.as_py(), e.as_py()) for c, e in zip(contents, encodings)], pa.string())
+    def opener(row: dict) -> Callable:
+        if "content" in row:
+            return lambda: io.BytesIO(row["content"])
+        system, path = _in_store(row["location"])
+        return lambda: system.open_input_stream(path)
 
-
-def _contents(skip_gone: bool):
-    """Rows of a listing with the bytes of each file, by tasks that open it."""
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for listing in batches:
+            for number in range(listing.num_rows):
+                row = listing.slice(number, 1).to_pylist()[0]
+                name = row["location"].rpartition("/")[2]
+                begun = False
+                try:
+                    text = cutting.Text(opener(row), WHOLE)
+                    for piece in cut(text):
+                        begun = True
+                        yield row["path"], name, text.length, row["modified"], text.digest, *piece
+                except FileNotFoundError:
+                    if begun or not skip_gone:
+                        raise
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
 
         def batch() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*held), _CONTENTS)], schema=_CONTENTS)
-
-        for listing in batches:
-            for row in listing.to_pylist():
-                try:
-                    system, path = _in_store(row["location"])
-                    with system.open_input_stream(path) as stream:
-                        content = stream.read()
-                except FileNotFoundError:
-                    if skip_gone:
-                        continue
-                    raise
-                held.append((row["path"], row["location"], len(content), row["modified"], content))
-                size += len(content)
-                if size >= _BATCH_BYTES or len(held) == 1000:
-                    yield batch()
-                    held, size = [], 0
+            return pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*held), _READ)], schema=_READ)
+
+        for row in pieces(batches):
+            held.append(row)
+            size += len(row[-2] or "")
+            if size >= _BATCH_BYTES or len(held) == 1000:
+                yield batch()
+                held, size = [], 0
         if held:
             yield batch()
 
     return read
 
 
-def _read_whole(spark: SparkSession, paths: Paths, skip_gone: bool) -> DataFrame:
-    """(path, name, length, modified, content) of the files that are read whole."""
-    files = listed(spark, paths).filter(F.col("length") <= WHOLE).select("path", "location", "length", "modified")
+def whole_files(
+    spark: SparkSession, paths: Paths, skip_gone: bool = False, cut: Callable[[cutting.Text], Iterator[cutting.Piece]] = cutting.containers
+) -> DataFrame:
+    """(path, name, length, modified, digest, part, before, opening, text, reason): the pieces that `cut` makes of each file.
+
+    A file that went away since it was listed is an error, or left out.
+    """
+    files = listed(spark, paths).select("path", "location", "length", "modified")
     some = files.select("location").first()
-    if some is None or _opens(some["location"]):
-        found = files.mapInArrow(_contents(skip_gone), LISTED + ", content binary")
-    else:
+    if some is not None and not _opens(some["location"]):
         reader = spark.read.format("binaryFile").option("ignoreMissingFiles", str(skip_gone).lower())
         source = paths if not isinstance(paths, DataFrame) else [r["location"] for r in files.select("location").collect()]
         bytes_of = load(reader, source).select(file_path().alias("path"), "content")
         # Spark's scans leave out files without a byte.
-        found = files.join(bytes_of, "path", "left").withColumn("content", F.when(F.col("length") == 0, F.lit(b"")).otherwise(F.col("content")))
-        found = found.filter("content IS NOT NULL")
-    return found.select("path", F.element_at(F.split("location", "/"), -1).alias("name"), "length", "modified", "content")
-
-
-def whole_files(spark: SparkSession, paths: Paths, skip_gone: bool = False) -> DataFrame:
-    """(path, name, length, modified, digest, encoding, text, readable) of the files that are read whole.
-
-    `readable` tells whether the bytes are text of that encoding; where they are not, `text` shows what it can. A file
-    that went away since it was listed is an error, or left out.
-    """
-    files = _read_whole(spark, paths, skip_gone)
-    known = files.withColumn("encoding", encoding_of(F.col("content")))
-    other = F.when(F.col("encoding") != UTF_8, F.col("content"))
-    decoded = known.withColumn("decoded", _decoded(other, F.col("encoding")))
-    plain = F.col("content").cast("string")
-    readable = F.when(F.col("encoding") == UTF_8, F.is_valid_utf8(plain)).otherwise(F.col("decoded").isNotNull())
-    text = F.coalesce("decoded", F.make_valid_utf8(plain))
-    return decoded.select(
-        "path", "name", "length", "modified", F.sha2("content", 256).alias("digest"), "encoding",
-        text.alias("text"), readable.alias("readable"),
-    ).withColumn("text", F.when(F.col("text").startswith("\ufeff"), F.expr("substring(text, 2)")).otherwise(F.col("text")))
-
-
-def long_files(spark: SparkSession, paths: Paths, separator: str, skip_gone: bool = False) -> DataFrame | None:
-    """(path, name, length, modified, text) of the longer files, a row for what lies between two separators; None
-    without any. They are few, as each holds more than WHOLE bytes."""
-    names = [row["location"] for row in listed(spark, paths).filter(F.col("length") > WHOLE).select("location").collect()]
-    if skip_gone:
-        names = [name for name in names if _roots(spark, [name])]
-    if not names:
-        return None
-    reader = spark.read.format("text").schema("value string").option("lineSep", separator)
-    return load(reader, names).select(
-        file_path().alias("path"),
-        file_name().alias("name"),
-        F.col("_metadata.file_size").alias("length"),
-        F.col("_metadata.file_modification_time").alias("modified"),
-        F.col("value").alias("text"),
-    )
+        files = files.join(bytes_of, "path", "left").withColumn("content", F.when(F.col("length") == 0, F.lit(b"")).otherwise(F.col("content")))
+        files = files.filter("content IS NOT NULL")
+    return files.mapInArrow(_read(skip_gone, cut), READ)

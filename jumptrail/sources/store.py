@@ -47,7 +47,7 @@ def store_export(spark: SparkSession, paths: Paths, host: str = "", buckets: int
     whole, left = split_incomplete(docs)
     rejects = fresh_path(spark, "rejects")
     left.write.parquet(rejects)
-    pieces = whole.select(*KEY, "appid", "DestList", "LNKs")
+    pieces = whole.select(*KEY, "part", "appid", "DestList", "LNKs")
     return Store(_bucketed(pieces, "documents", buckets), store_index(containers, docs, buckets), folder, rejects)
 
 
@@ -55,7 +55,7 @@ def store_index(containers: DataFrame, docs: DataFrame, buckets: int) -> str:
     """The index of the eligible containers, by host and file, as a table with a row for each of their documents."""
     listed = containers.filter("eligible").select("host", "file", "appid")
     placed = ranked(listed, [F.asc("host"), F.asc("file")], into="place")
-    return _bucketed(docs.select(*KEY).join(placed, ["host", "file"]), "index", buckets)
+    return _bucketed(docs.filter("part >= 0").select(*KEY).join(placed, ["host", "file"]), "index", buckets)
 
 
 def stored_index(spark: SparkSession, store: Store) -> DataFrame:

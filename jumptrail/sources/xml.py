@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from jumptrail.functions.text import file_stem
 from jumptrail.operators.documents import DECLARED, entries_of, lnks_of, parse_documents, split_rejects
-from jumptrail.sources.files import UTF_8, Paths, listed, long_files, unescaped, whole_files
+from jumptrail.sources.cutting import ROW_TAG, START
+from jumptrail.sources.files import Paths, listed, unescaped, whole_files
 
-ROW_TAG = "AutomaticDestinations"
 INDEX_SCHEMA = "_host string, _file string, _appid string"
 
 # Layout only: writers start a new file after this many rows.
@@ -20,111 +20,22 @@ INDEX_ROWS_PER_FILE = 1_000_000
 INDENT = " "
 
 
-START, END = f"<{ROW_TAG}", f"</{ROW_TAG}>"
-
-# What follows the start of a document's tag: its end, or an attribute.
-_AFTER_START = r"^\s*(/?>|[\w:.-]+\s*=)"
-_STARTS = rf"^{START}[\s/>]"
-
-# What may stand around documents and is nothing lost: closing tags, comments, instructions, blanks.
-_AROUND = r"(?s)</[^<>]*>|<!--.*?-->|<\?.*?\?>|\s+"
-
-# What stands before the first document of a long file is at most this long.
-_LONGEST_HEAD = 1 << 16
-
-_PIECE = "struct<text:string,reason:string>"
-
-
-def _piece(text: Column, reason: Column) -> Column:
-    return F.struct(text.alias("text"), reason.cast("string").alias("reason"))
-
-
-def _documents_and_rests(texts: Column) -> Column:
-    """Documents as far as their end tags, each followed by what comes after it where that is more than closing tags."""
-
-    def ended(text: Column) -> Column:
-        tag = F.locate(END, text)
-        alone = F.length(F.regexp_extract(text, rf"^{START}[^<>]*/>", 0))
-        return F.struct(text.alias("text"), F.when(tag > 0, tag + len(END) - 1).otherwise(alone).alias("end"))
-
-    def pieces(one: Column) -> Column:
-        rest = F.substring(one["text"], one["end"] + 1, F.length(one["text"]))
-        lost = F.regexp_replace(rest, _AROUND, "") != ""
-        return F.when(one["end"] == 0, F.array(_piece(one["text"], F.lit(None)))).otherwise(
-            F.array(
-                _piece(F.substring(one["text"], F.lit(1), one["end"]), F.lit(None)),
-                F.when(lost, _piece(rest, F.lit("outside any document"))).otherwise(F.lit(None)),
-            )
-        )
-
-    return F.flatten(F.transform(F.transform(texts, ended), pieces))
-
-
-def _short_pieces(rows: DataFrame) -> DataFrame:
-    """All documents of a file's text, and what is no document with the reason; an index file has neither."""
-    text, readable, cut = F.col("text"), F.col("readable"), F.col("cut")
-    head = F.get(cut, F.lit(0))
-    odd_head = ~F.rlike(head, F.lit(_STARTS)) & F.contains(head, F.lit(ROW_TAG))
-    first = F.when(odd_head, _piece(head, F.lit("outside any document")))
-    unread = F.concat(F.lit("cannot be read as "), F.col("encoding"))
-    # Of a file that is not all UTF-8, a document counts if nothing in it was replaced.
-    lost = F.col("encoding") != UTF_8
-    damaged = F.transform(
-        "documents", lambda p: F.when(lost | F.contains(p["text"], F.lit("\ufffd")), _piece(p["text"], unread)).otherwise(p)
-    )
-    none = F.when(F.trim(text) == "", "empty file").when(~readable, unread).otherwise("no document")
-    is_index = F.rlike(text, F.lit(r"^[^\x00]{0,2000}?<autoFiles[\s/>]"))
-    # In steps, so that each is computed once.
-    return (
-        rows.withColumn("cut", F.split(text, rf"(?={START}[\s/>])"))
-        .withColumn("found", F.when(F.rlike(head, F.lit(_STARTS)), cut).otherwise(F.slice(cut, F.lit(2), F.size(cut))))
-        .withColumn("documents", _documents_and_rests(F.col("found")))
-        .withColumn("documents", F.when(readable, F.col("documents")).otherwise(damaged))
-        .withColumn(
-            "pieces",
-            F.when(F.size("found") > 0, F.array_compact(F.concat(F.array(first), F.col("documents"))))
-            .when(is_index, F.array().cast(f"array<{_PIECE}>"))
-            .otherwise(F.array(_piece(text, none))),
-        )
-    )
-
-
-def _long_pieces(rows: DataFrame) -> DataFrame:
-    """The same of the rows of long files, which are UTF-8."""
-    text = F.col("text")
-    readable = F.is_valid_utf8(text)
-    starts = F.rlike(text, F.lit(_AFTER_START))
-    head = (F.length(text) <= _LONGEST_HEAD) & ~F.contains(text, F.lit(ROW_TAG)) & F.rlike(text, F.lit(r"^\ufeff?\s*(<|$)"))
-    whole = F.concat(F.lit(START), F.make_valid_utf8(text))
-    found = (
-        F.when(~readable, F.array(_piece(F.when(starts, whole).otherwise(F.make_valid_utf8(text)), F.lit("cannot be read as UTF-8"))))
-        .when(starts, F.array_compact(_documents_and_rests(F.array(whole))))
-        .when(head, F.array().cast(f"array<{_PIECE}>"))
-        .otherwise(F.array(_piece(text, F.lit("no document"))))
-    )
-    return rows.withColumn("pieces", found)
-
-
 def read_pieces(spark: SparkSession, paths: Paths, empty: bool = True, skip_gone: bool = False) -> DataFrame:
-    """(path, name, length, modified, digest, pieces) of files; pieces are texts with the reason if one is no document.
+    """(path, name, length, modified, digest, part, before, opening, text, reason) of files: a row for each document, or
+    for each part of a long one, and for what is no document, with the reason.
 
-    Every file is a row, and has at least one piece unless it is an index. A file longer than WHOLE is several rows,
-    without a digest. Who needs only documents can do without empty files.
+    Every file has a row at least; an index has one without text. Who needs only documents can do without empty files.
     """
-    names = ["path", "name", "length", "modified", "digest", "pieces"]
     files = listed(spark, paths)
     if not empty:
         files = files.filter("length > 0")
-    found = _short_pieces(whole_files(spark, files, skip_gone)).select(names)
-    long = long_files(spark, files, START, skip_gone)
-    if long is None:
-        return found
-    return found.unionByName(_long_pieces(long).withColumn("digest", F.lit(None).cast("string")).select(names))
+    return whole_files(spark, files, skip_gone)
 
 
 def documents_of(pieces: DataFrame, host: str = "") -> DataFrame:
     """Documents of `read_pieces` with source (the file's path), digest, host, AppID and file; raw is their text, and
-    what is unreadable has it in _corrupt_record.
+    what is unreadable has it in _corrupt_record. A long document is several, of which only the first has part 0, and
+    whose part is negative where an earlier one has the same first record.
 
     An export by Spark says host and AppID in attributes; any other export says the AppID in the file name, and the
     host in a `host=` folder or by argument.
@@ -133,19 +44,20 @@ def documents_of(pieces: DataFrame, host: str = "") -> DataFrame:
 
 
 def _rows_of(pieces: DataFrame) -> DataFrame:
-    """A row for each piece; an index file has one without text."""
-    # The outer kind, as for a plain one Spark would compute the pieces twice, once to filter by.
+    """Pieces with what the path says; an index file has one without text."""
     return pieces.select(
-        F.col("path").alias("source"), "digest", "name", partition_value(F.col("path"), "host").alias("folder"), F.inline_outer("pieces")
-    )
+        F.col("path").alias("source"), "digest", "name", partition_value(F.col("path"), "host").alias("folder"),
+        "part", "before", "opening", "text", "reason",
+    )
 
 
 def _parsed(rows: DataFrame, host: str) -> DataFrame:
+    shown = F.coalesce("opening", "text")
     tag = F.when(
-        F.col("text").startswith(START), F.concat(F.regexp_extract("text", rf"^{START}[^<>]*?(?=/*>|<|$)", 0), F.lit("/>"))
+        shown.startswith(START), F.concat(F.regexp_extract(shown, rf"^{START}[^<>]*?(?=/*>|<|$)", 0), F.lit("/>"))
     )
     head = F.from_xml(tag, "_host string, _appid string, _first string", {"mode": "PERMISSIVE"})
-    named = rows.withColumn("tag", head).select("source", "digest", "name", "text", "reason", "folder", "tag.*")
+    named = rows.withColumn("tag", head).select("source", "digest", "name", "part", "before", "text", "reason", "folder", "tag.*")
     appid = F.coalesce("_appid", file_stem(F.col("name")))
     named = named.select(
         "source",
@@ -153,7 +65,8 @@ def _parsed(rows: DataFrame, host: str) -> DataFrame:
         F.coalesce("_host", F.lit(host) if host else F.lit(None).cast("string"), "folder", F.lit("")).alias("host"),
         appid.alias("appid"),
         F.concat(appid, F.lit(".xml")).alias("file"),
-        F.coalesce(F.col("_first").try_cast("bigint"), F.lit(0)).alias("first"),
+        "part",
+        (F.coalesce(F.col("_first").try_cast("bigint"), F.lit(0)) + F.col("before")).alias("first"),
         F.col("text").alias("raw"),
         F.when(F.col("reason").isNull(), F.col("text")).alias("text"),
         "reason",
@@ -189,8 +102,9 @@ def account(spark: SparkSession, paths: Paths, host: str = "") -> DataFrame:
     docs = _parsed(_rows_of(read_pieces(spark, files)), host)
     broken, index = F.col("_corrupt_record").isNotNull(), F.col("raw").isNull()
     good = ~broken & ~index
+    begins = F.col("part") == 0
     read = docs.groupBy("source").agg(
-        F.count_if(good).alias("n_documents"), F.count_if(broken).alias("n_rejects"),
+        F.count_if(good & begins).alias("n_documents"), F.count_if(broken & begins).alias("n_rejects"),
         F.sum(F.when(good, F.greatest(F.size("DestList.DestListEntryV2"), F.lit(0))).otherwise(0)).alias("n_entries"),
         F.sum(F.when(good, F.greatest(F.size("LNKs.LNK"), F.lit(0))).otherwise(0)).alias("n_lnks"),
         F.sort_array(F.collect_set("reason")).alias("reasons"),

@@ -94,9 +94,9 @@ def _write_batch(spark: SparkSession, out_dir: str, host: str) -> Callable[[Data
         there = spread(changes.filter("NOT gone").select("path", "location", "length", "modified"))
         documents_of(read_pieces(spark, there, skip_gone=True), host).drop("raw").write.option("compression", SMALL).parquet(parsed)
         docs = spark.read.parquet(parsed)
-        broken = F.col("_corrupt_record").isNotNull()
+        broken, begins = F.col("_corrupt_record").isNotNull(), F.col("part") == 0
         read = docs.groupBy(F.col("source").alias("path")).agg(
-            F.max("digest").alias("digest"), F.count_if(~broken).alias("n_documents"), F.count_if(broken).alias("n_rejects")
+            F.max("digest").alias("digest"), F.count_if(~broken & begins).alias("n_documents"), F.count_if(broken & begins).alias("n_rejects")
         )
         same = ~F.col("gone") & F.col("digest").eqNullSafe(F.col("old")) & F.col("digest").isNotNull() & F.col("was").isNotNull()
         files = (

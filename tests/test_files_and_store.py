@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from jumptrail.operators import documents as docs
 from jumptrail.operators import report
-from jumptrail.sources import export, files, named, store, xml
+from jumptrail.sources import cutting, export, files, named, store, xml
 from jumptrail.streaming import ingest
 
 ENTRY = '<DestListEntryV2 EntryNumber="{}" Path="{}"/>'
@@ -302,3 +302,79 @@ def test_a_store_that_tasks_cannot_open_is_read_by_the_file_source(spark, odd, m
     want = sorted(map(str, xml.account(spark, odd).collect()))
     monkeypatch.setattr(files, "_opens", lambda location: False)
     assert sorted(map(str, xml.account(spark, odd).collect())) == want
+
+
+def long_one(host: str, n: int, head: str = "", told: str = "") -> str:
+    """A container that is long where texts are cut after a few hundred characters, with what makes it hard to cut."""
+    rows = "".join(f'<DestListEntryV2 EntryNumber="{i}" Path="Größe > {i}"/>' + "<DestListEntryV1/>" * (i % 2) for i in range(n))
+    links = "".join(f"<LNK><LinkInfo LocalBasePath='/&gt;{i}'/></LNK>" if i % 3 else "<LNK/> " for i in range(n + 7))
+    other = "<Other><LNK/>" + "<x>y</x>" * 50 + "</Other><!-- <DestList> -->"
+    return f'{head}<AutomaticDestinations host="{host}"{told}>\n<DestList><DestListEntryV2 Path="old"/></DestList>{other}<DestList>{rows}</DestList><LNKs>{links}</LNKs></AutomaticDestinations>'
+
+
+def long_files():
+    one = long_one("H", 40)
+    yield "plain.xml", one.encode()
+    yield "u16.xml", long_one("H", 40, declared("UTF-16")).encode("utf-16")
+    yield "latin.xml", long_one("H", 40, declared("ISO-8859-1")).encode("latin-1")
+    yield "told.xml", long_one("H", 40, told=" ownEntries='40' ownLnks='47' allEntries='40' allLnks='47'").encode()
+    yield "short.xml", long_one("H", 40, told=" ownEntries='41' ownLnks='47'").encode()
+    yield "cut.xml", one[:-100].encode()
+    yield "broken.xml", one.replace("<LNK/> ", "<LNK>").encode()
+    yield "unbound.xml", one.replace("y</x>", "<p:y/></x>", 1).encode()
+    yield "many.xml", ("<!-- " + "x" * 900 + " -->" + one + "junk" * 200 + one + "  </jumpLists> <!-- " + "y" * 700 + "-->" + one[:-30]).encode()
+    yield "bad.xml", (one + one).replace("Größe > 7", "Gr\xff", 1).encode("latin-1")
+    yield "cut16.xml", one.encode("utf-16")[:-7]
+    yield "zeros.xml", bytes(5000)
+    yield "blank.xml", b" " * 5000
+
+
+def test_what_a_file_gives_does_not_depend_on_its_length(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name, content in long_files():
+        (folder / name).write_bytes(content)
+
+    def found():
+        accounts = sorted(map(str, xml.account(spark, str(folder)).collect()))
+        read = xml.read_documents(spark, str(folder))
+        entries = sorted((r.file, r.position, r.path) for r in docs.entries_of(docs.split_rejects(read)[0]).collect())
+        links = sorted((r.file, r.position, str(r.local_base_path)) for r in xml.read_lnks(spark, str(folder)).collect())
+        eligible = sorted(map(str, docs.eligible(read.filter("file <> 'many.xml'")).collect()))
+        rejects = {(r.host, r.file, r.reason) for r in docs.split_rejects(read)[1].collect()}
+        kept = store.store_export(spark, str(folder), buckets=4)
+        report_rows = sorted(map(str, report.document_rows(store.listed_documents(spark, kept).filter("file <> 'many.xml'").drop("place")).collect()))
+        path = str(tmp_path / f"out{cutting.LONG}")
+        export.export_containers(spark, kept, path)
+        texts = {name: (tmp_path / path / "host=H" / name).read_text().split() for name in ("plain.xml", "u16.xml", "told.xml")}
+        store.release(spark, kept)
+        return accounts, entries, links, eligible, rejects, report_rows, texts
+
+    want = found()
+    assert [(f, p) for f, p, path in want[1] if f == "u16.xml"] == [("u16.xml", i) for i in range(1, 41)] and len(want[2]) > 4 * 47
+    assert "reasons=['cannot be read as UTF-16LE']" in "".join(a for a in want[0] if "cut16.xml" in a) and len(want[3]) == 5
+    monkeypatch.setattr(files, "WHOLE", 10)
+    monkeypatch.setattr(cutting, "BLOCK", 61)
+    monkeypatch.setattr(cutting, "LONG", 600)
+    got = found()
+    for one, other in zip(got, want):
+        assert one == other
+
+
+def test_a_long_index_is_read_whole(spark, tmp_path, monkeypatch):
+    (tmp_path / "host=H").mkdir()
+    lines = "".join(f'  <autoFile file="f{i} &amp;&#9;x.xml" appid="f{i}"/>\n' for i in range(60))
+    (tmp_path / "host=H" / "master.xml").write_text(f"{export.HEAD}<autoFiles>\n{lines}</autoFiles>\n")
+    (tmp_path / "host=I").mkdir()
+    (tmp_path / "host=I" / "master.xml").write_text(f"{export.HEAD}<autoFiles>\n{lines}")
+
+    def rows():
+        return sorted(map(tuple, export.read_master(spark, str(tmp_path)).collect()))
+
+    want = rows()
+    assert [(r[0], r[1], r[3]) for r in want] == [("H", i + 1, f"f{i}") for i in range(60)]
+    monkeypatch.setattr(files, "WHOLE", 10)
+    monkeypatch.setattr(cutting, "BLOCK", 61)
+    monkeypatch.setattr(cutting, "LONG", 300)
+    assert rows() == want
+    assert files.whole_files(spark, str(tmp_path), cut=cutting.index_entries).count() > 5
