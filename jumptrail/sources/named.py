@@ -22,6 +22,10 @@ FORMAT = "named_files"
 LISTS = "_written"
 PENDING = "_temporary"
 
+# Layout only: rows go to a task's Python in batches of about so many bytes, which it holds several times over.
+BATCH = "4m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # The classes travel with the job, so workers need not have the package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -111,4 +115,9 @@ def write_named(rows: DataFrame, path: str) -> None:
     """Write rows of name and content (binary), in their order; all rows of a name must be in one partition, together."""
     spark: SparkSession = rows.sparkSession
     spark.dataSource.register(NamedFiles)
-    rows.select("name", "content").write.format(FORMAT).mode("append").save(path)
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, BATCH)
+    try:
+        rows.select("name", "content").write.format(FORMAT).mode("append").save(path)
+    finally:
+        spark.conf.set(_BATCH, before)
