@@ -13,11 +13,13 @@ A file rewritten with the same length within the same millisecond of its time is
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.util import inheritable_thread_target
 
 from jumptrail.operators.documents import container_parts, containers_of, entries_of, lnks_of, split_rejects
 from jumptrail.shared import SMALL, fresh_path, no_rows, remove
@@ -80,6 +82,13 @@ def note_changes(spark: SparkSession, in_dir: str, log_dir: str, files_per_batch
     rows.unpersist()
 
 
+def _side_by_side(spark: SparkSession, *steps: Callable[[], None]) -> None:
+    """Steps that do not wait for each other: of a batch each is a short job, and takes longer to plan than to run."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        for step in [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]:
+            step.result()
+
+
 def _write_batch(spark: SparkSession, out_dir: str, host: str) -> Callable[[DataFrame, int], None]:
     def write(changes: DataFrame, batch: int) -> None:
         def put(rows: DataFrame, table: str) -> None:
@@ -108,13 +117,18 @@ def _write_batch(spark: SparkSession, out_dir: str, host: str) -> Callable[[Data
                 F.when(same, F.col("was")).when(~F.col("gone"), F.lit(batch)).cast("bigint").alias("held"),
             )
         ).persist()
+        files.count()
         new = F.broadcast(files.filter(F.col("held") == batch).select(F.col("path").alias("source")))
         docs_new = docs.join(new, "source", "left_semi")
         good, rejects = split_rejects(docs_new)
-        put(entries_of(good, "source"), ENTRIES)
-        put(lnks_of(good, "source"), LNKS)
-        put(rejects, REJECTS)
-        put(container_parts(docs_new, "source"), PARTS)
+        _side_by_side(
+            spark,
+            lambda: put(entries_of(good, "source"), ENTRIES),
+            lambda: put(lnks_of(good, "source"), LNKS),
+            lambda: put(rejects, REJECTS),
+            lambda: put(container_parts(docs_new, "source"), PARTS),
+        )
+        # Last, as the batch counts when its files are noted.
         put(files, FILES)
         for table in (changes, files):
             table.unpersist()

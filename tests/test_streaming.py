@@ -90,3 +90,26 @@ def test_folders_grow_with_the_logarithm_of_the_batches(spark, tmp_path, monkeyp
     assert {r.path: r.last_modified.minute for r in recents(spark, out).collect()} == want | {"d2": 30}
     left = [name for name in (p.name for p in (tmp_path / "out").iterdir()) if name != "_manifest"]
     assert "level=0-orphan" not in left and len(left) <= 8
+
+
+def test_tables_of_a_batch_are_written_side_by_side_and_noted_last(spark, tmp_path, monkeypatch):
+    from threading import Barrier
+
+    from jumptrail.streaming import ingest
+
+    met = Barrier(3, timeout=60)
+
+    def waits(of):
+        def step(*args):
+            met.wait()
+            assert not (tmp_path / "out" / ingest.FILES).exists()
+            return of(*args)
+
+        return step
+
+    for name in ("entries_of", "lnks_of", "container_parts"):
+        monkeypatch.setattr(ingest, name, waits(getattr(ingest, name)))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text(container("a", 3))
+    stream_ingest(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    assert ingested(spark, str(tmp_path / "out")).count() == 3 and ingested(spark, str(tmp_path / "out"), LNKS).count() == 1
